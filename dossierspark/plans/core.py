@@ -470,9 +470,8 @@ def agg_core_items(spark, d):
 
 
 @reg.add("agg_first_seen_id", f"""
-SELECT l_suppkey, p_name, p_type, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY a, b, c, p_name, p_type) AS BIGINT) AS citation_id FROM (
-  SELECT l_suppkey, p_name, p_type, min({{'a': l_orderkey, 'b': l_linenumber, 'c': l_extendedprice}}) AS m, m.a AS a, m.b AS b, m.c AS c FROM {FACTS} GROUP BY ALL)""".replace(
-    "GROUP BY ALL", "GROUP BY l_suppkey, p_name, p_type"))
+WITH f AS (SELECT l_suppkey, p_name, p_type, min({{'a': l_orderkey, 'b': l_linenumber, 'c': l_extendedprice}}) AS m FROM {FACTS} GROUP BY ALL)
+SELECT l_suppkey, p_name, p_type, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY m, p_name, p_type) AS BIGINT) AS citation_id FROM f""")
 def agg_first_seen_id(spark, d):
     facts = named_facts(spark, d)
     seq = ["l_orderkey", "l_linenumber", "l_extendedprice"]
