@@ -21,23 +21,37 @@ def any_substring(text: Column, terms) -> Column:
     return text.rlike("|".join(re.escape(t) for t in terms))
 
 
+def _spaced(text: str) -> str:
+    return " " + " ".join(re.sub(r"([^a-z0-9_\s]+)", r" \1 ", text.lower()).split()) + " "
+
+
 def word_pattern(terms) -> str:
-    """Whole words by explicit ASCII boundaries; a space in a term matches any white space."""
-    alternatives = "|".join(re.escape(t).replace(r"\ ", r"[ \t\n\r]+") for t in terms)
-    return rf"(?:^|[^a-z0-9_])(?:{alternatives})(?:[^a-z0-9_]|$)"
+    """Whole words as one pattern with explicit ASCII boundaries."""
+    alternatives = "|".join(re.escape(t).replace(r"\ ", " ") for t in terms)
+    return rf"(?<![a-z0-9_])(?:{alternatives})(?![a-z0-9_])"
+
+
+def word_text(lowered: Column) -> Column:
+    """Words and punctuation runs of a lower-case one-line text, each between single spaces.
+
+    A whole-word test is then a plain ``contains``, so a row is tokenised once for all terms.
+    """
+    apart = F.regexp_replace(lowered, r" *([^a-z0-9_ ]+) *", " $1 ")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(apart, r" {2,}", " ")), F.lit(" "))
 
 
-def any_word(text: Column, terms) -> Column:
-    return text.rlike(word_pattern(terms))
+def any_word(words: Column, terms) -> Column:
+    """Whole-word test on a ``word_text`` column."""
+    return reduce(lambda a, b: a | b, [words.contains(_spaced(t)) for t in terms])
 
 
 def any_pattern(text: Column, patterns) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
-def matched_words(text: Column, terms) -> Column:
-    """The terms found, in list order. Literal patterns, so each is compiled once per task."""
-    return F.array_compact(F.array(*[F.when(any_word(text, [t]), F.lit(t)) for t in terms]))
+def matched_words(words: Column, terms) -> Column:
+    """The terms found in a ``word_text`` column, in list order."""
+    return F.array_compact(F.array(*[F.when(any_word(words, [t]), F.lit(t)) for t in terms]))
 
 
 def reason(matches: Column, limit: int = 3) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\n\r\f\x0B]+"
+# Any white-space run other than one plain space: most words need no replacement.
+SPACE = r" *[\t\n\r\f\x0B][ \t\n\r\f\x0B]*| {2,}"
 
 
 def clean_text(c: Column) -> Column:
-    c = F.translate(F.coalesce(c, F.lit("")), "\x00", " ")
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("\x00"), F.lit(" "))
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
@@ -17,7 +18,7 @@ def clean_text(c: Column) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    c = F.translate(F.coalesce(c, F.lit("")), "\x00", " ")
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("\x00"), F.lit(" "))
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
@@ -134,14 +135,21 @@ def redact_numbers(c: Column, marker: str = "[number omitted]") -> Column:
     return F.regexp_replace(c, r"(?<![A-Za-z])[-+]?[0-9]+(?:[.,][0-9]+)*%?", marker)
 
 
+def _with_previous(sorted_items: Column, field: str) -> Column:
+    """Each element next to the field of the one before it; keeps heavy arrays out of lambdas."""
+    keys = F.transform(sorted_items, lambda s: s[field])
+    shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), keys), F.lit(1), F.size(sorted_items))
+    return F.zip_with(sorted_items, shifted, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+
+
 def dedupe_list(items: Column) -> Column:
     """Case-insensitive distinct in first-seen order; sorts by key instead of comparing all pairs."""
     tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(
         F.lower(one_line(x)).alias("k"), i.alias("i"), one_line(x).alias("x"))))
-    firsts = F.filter(tagged, lambda s, i: (s["k"] != "") & (
-        (i == 0) | (s["k"] != F.get(tagged, i - 1)["k"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))),
-                       lambda s: s["x"])
+    firsts = F.filter(_with_previous(tagged, "k"), lambda t: (t["s"]["k"] != "") & (
+        t["p"].isNull() | (t["s"]["k"] != t["p"])))
+    ordered = F.array_sort(F.transform(firsts, lambda t: F.struct(t["s"]["i"].alias("i"), t["s"]["x"].alias("x"))))
+    return F.transform(ordered, lambda s: s["x"])
 
 
 def singular(word: Column) -> Column:
@@ -187,11 +195,10 @@ def dedupe_lines(text_lines: Column) -> Column:
     """First copy of each content line; blank runs shrink to one; original order kept."""
     strip = lambda s: F.regexp_replace(s, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
     tagged = F.array_sort(F.transform(text_lines, lambda s, i: F.struct(strip(s).alias("k"), i.alias("i"))))
-    kept = F.filter(tagged, lambda s, i: (s["k"] == "") | (i == 0) | (s["k"] != F.get(tagged, i - 1)["k"]))
-    ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["k"].alias("k"))))
-    return F.transform(
-        F.filter(ordered, lambda s, i: (s["k"] != "") | (i == 0) | (F.get(ordered, i - 1)["k"] != "")),
-        lambda s: s["k"])
+    kept = F.filter(_with_previous(tagged, "k"), lambda t: (t["s"]["k"] == "") | t["p"].isNull() | (t["s"]["k"] != t["p"]))
+    ordered = F.array_sort(F.transform(kept, lambda t: F.struct(t["s"]["i"].alias("i"), t["s"]["k"].alias("k"))))
+    single = F.filter(_with_previous(ordered, "k"), lambda t: (t["s"]["k"] != "") | t["p"].isNull() | (t["p"] != ""))
+    return F.transform(single, lambda t: t["s"]["k"])
 
 
 def section(c: Column, heading: str) -> Column:

@@ -15,10 +15,13 @@ reg = Registry()
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 SQL_LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
-BY_VALUE = [F.col("l_quantity").desc(), F.col("p_name"), *[F.col(c) for c in LINE_ORDER]]
 SQL_BY_VALUE = f"l_quantity DESC, p_name, {SQL_LINE_ORDER}"
 
 
+def by_value():
+    return [F.col("l_quantity").desc(), F.col("p_name"), *[F.col(c) for c in LINE_ORDER]]
+
+
 def named_facts(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     return J.with_label(table(spark, d, "lineitem"), part, F.col("l_partkey") == F.col("p_partkey"))
@@ -34,7 +37,7 @@ SELECT l_suppkey, CAST(rank AS BIGINT) AS rank, p_name, l_quantity, l_orderkey,
   SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {SQL_BY_VALUE}) AS rank FROM {FACTS})
 WHERE rank <= 10""")
 def win_topn(spark, d):
-    top = R.top_n(named_facts(spark, d), ["l_suppkey"], BY_VALUE, 10)
+    top = R.top_n(named_facts(spark, d), ["l_suppkey"], by_value(), 10)
     return top.select("l_suppkey", F.col("rank").cast("long").alias("rank"), "p_name", "l_quantity",
                       "l_orderkey", "l_partkey")
 
@@ -77,7 +80,7 @@ WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, p_name ORDER BY
 b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {SQL_BY_VALUE}) AS r FROM a WHERE k <= 2)
 SELECT l_suppkey, CAST(r AS BIGINT) AS rank, p_name, l_quantity, l_orderkey FROM b WHERE r <= 10""")
 def win_cap_per_key(spark, d):
-    return R.cap_per_key(named_facts(spark, d), ["l_suppkey"], ["p_name"], BY_VALUE, 2, 10).select(
+    return R.cap_per_key(named_facts(spark, d), ["l_suppkey"], ["p_name"], by_value(), 2, 10).select(
         "l_suppkey", F.col("rank").cast("long").alias("rank"), "p_name", "l_quantity", "l_orderkey")
 
 
@@ -88,9 +91,9 @@ SELECT l_suppkey, p_name, p_type,
   CAST(row_number() OVER (PARTITION BY l_suppkey, p_type ORDER BY {SQL_BY_VALUE}) AS BIGINT) AS group_rank
 FROM a WHERE k = 1""")
 def win_ranks(spark, d):
-    once = R.best_row(named_facts(spark, d), ["l_suppkey", "p_name"], BY_VALUE)
-    both = R.ranked(R.ranked(once, ["l_suppkey"], BY_VALUE, "original_rank"),
-                    ["l_suppkey", "p_type"], BY_VALUE, "group_rank")
+    once = R.best_row(named_facts(spark, d), ["l_suppkey", "p_name"], by_value())
+    both = R.ranked(R.ranked(once, ["l_suppkey"], by_value(), "original_rank"),
+                    ["l_suppkey", "p_type"], by_value(), "group_rank")
     return both.select("l_suppkey", "p_name", "p_type", "original_rank", "group_rank")
 
 
@@ -99,7 +102,7 @@ SELECT l_suppkey, p_type, CAST(rank AS BIGINT) AS rank, p_name, CAST(greatest(n
   SELECT *, row_number() OVER (PARTITION BY l_suppkey, p_type ORDER BY {SQL_BY_VALUE}) AS rank,
     count(*) OVER (PARTITION BY l_suppkey, p_type) AS n FROM {FACTS}) WHERE rank <= 5""")
 def win_remainder(spark, d):
-    return R.top_n(named_facts(spark, d), ["l_suppkey", "p_type"], BY_VALUE, 5, remainder="more").select(
+    return R.top_n(named_facts(spark, d), ["l_suppkey", "p_type"], by_value(), 5, remainder="more").select(
         "l_suppkey", "p_type", F.col("rank").cast("long").alias("rank"), "p_name", "more")
 
 
@@ -121,7 +124,7 @@ picked AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY pool, po
 @reg.add("win_two_pool", SQL_TWO_POOL + """
 SELECT l_suppkey, CAST(pool AS BIGINT) AS pool, CAST(rank AS BIGINT) AS rank, p_name, l_quantity FROM picked WHERE rank <= 10""")
 def win_two_pool(spark, d):
-    return R.two_pool_pick(_pools(spark, d), "l_suppkey", "pool", "p_name", BY_VALUE).select(
+    return R.two_pool_pick(_pools(spark, d), "l_suppkey", "pool", "p_name", by_value()).select(
         "l_suppkey", F.col("pool").cast("long").alias("pool"), F.col("rank").cast("long").alias("rank"),
         "p_name", "l_quantity")
 
@@ -129,7 +132,7 @@ def win_two_pool(spark, d):
 @reg.add("win_rank_decay", SQL_TWO_POOL + """
 SELECT l_suppkey, p_name, round(greatest(0.72, CAST(0.96 AS DOUBLE) - CAST(0.025 AS DOUBLE) * (rank - 1)), 6) AS fit_score FROM picked WHERE rank <= 10""")
 def win_rank_decay(spark, d):
-    picked = R.two_pool_pick(_pools(spark, d), "l_suppkey", "pool", "p_name", BY_VALUE)
+    picked = R.two_pool_pick(_pools(spark, d), "l_suppkey", "pool", "p_name", by_value())
     return picked.select("l_suppkey", "p_name", F.round(R.rank_decay(F.col("rank")), 6).alias("fit_score"))
 
 
@@ -517,7 +520,7 @@ SELECT l_suppkey, p_name, CAST(set_no AS BIGINT) AS set_no, l_quantity FROM (
 def set_merge_first(spark, d):
     f = named_facts(spark, d)
     out = S.merge_first([f.filter("l_returnflag = 'R' AND l_quantity >= 40"), f.filter("l_returnflag = 'A'")],
-                        ["l_suppkey", "p_name"], BY_VALUE)
+                        ["l_suppkey", "p_name"], by_value())
     return out.select("l_suppkey", "p_name", F.col("set_no").cast("long").alias("set_no"), "l_quantity")
 
 
