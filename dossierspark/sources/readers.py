@@ -14,8 +14,11 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType, mode: str = "str
     if mode == "strict":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     wide = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
-    return rows.filter(F.col(BAD).isNull()).drop(BAD), rows.filter(F.col(BAD).isNotNull()).select(BAD)
+    line = F.col("value")
+    parsed = spark.read.text(path).filter(F.trim(line) != "").select(
+        F.from_json(line, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    bad = F.col(f"r.{BAD}").isNotNull()
+    return parsed.filter(~bad).select(*[f"r.{n}" for n in schema.names]), parsed.filter(bad).select(f"r.{BAD}")
 
 
 def read_delimited(spark: SparkSession, path, sep: str = ",") -> DataFrame:
