@@ -23,6 +23,22 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
+def ratio_at_least(threshold: float):
+    """The ratio where it reaches the threshold, null elsewhere.
+
+    The shared characters bound the ratio, so most pairs never reach the block search.
+    """
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            m = SequenceMatcher(None, x or "", y or "")
+            value = m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
+            out.append(value if value >= threshold else None)
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
 def ratio_bound(a, b):
     """Upper bound of the ratio from the lengths alone, so hopeless pairs skip the Python call."""
     la, lb = F.length(a), F.length(b)

@@ -146,6 +146,9 @@ def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote
     schema = (f"component {kind['component']}, group_no long, best {kind['id']}, best_rank array<double>, members long, "
               "claims array<string>, quotes array<string>")
 
+    def close(m: SequenceMatcher) -> bool:
+        return m.quick_ratio() >= threshold and m.ratio() >= threshold
+
     def step(state: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         component = part["component"].iat[0] if len(part) else state["component"].iat[0]
         groups = [dict(r, claims=dict.fromkeys(r["claims"]), quotes=dict.fromkeys(r["quotes"])) for r in state.sort_values("group_no").to_dict("records")]
@@ -157,7 +160,7 @@ def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote
                     return True
                 return bool(c) and any(
                     m and 2.0 * min(len(c), len(m)) >= threshold * (len(c) + len(m))
-                    and SequenceMatcher(None, c, m).ratio() >= threshold for m in g["claims"])
+                    and close(SequenceMatcher(None, c, m)) for m in g["claims"])
 
             home = next((g for g in groups if belongs(g)), None)
             if home is None:

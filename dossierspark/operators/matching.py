@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierspark.functions import text as X
-from dossierspark.functions.udfs import ratio_bound, seq_ratio
+from dossierspark.functions.udfs import ratio_at_least, ratio_bound
 from dossierspark.operators.ranking import best_row, top_n
 from dossierspark.operators.sets import jaccard
 from dossierspark.session import is_at_most
@@ -50,7 +50,7 @@ def fuzzy_best(rows: DataFrame, ref: DataFrame, row_id: str, block: str, text: s
     cls = lambda c: F.floor(F.log(F.length(c).cast("double")) / base)
     near = known.withColumn("_c", F.explode(F.array(cls("_t") - 1, cls("_t"), cls("_t") + 1)))
     pairs = asked.withColumn("_c", cls("_q")).join(near, ["_b", "_c"]).filter(ratio_bound(F.col("_q"), F.col("_t")) >= least)
-    scored = pairs.withColumn("similarity", seq_ratio("_q", "_t")).filter(F.col("similarity") >= least)
+    scored = pairs.withColumn("similarity", ratio_at_least(least)("_q", "_t")).filter(F.col("similarity").isNotNull())
     best = best_row(scored, ["_b", "_q"], [F.col("similarity").desc(), F.col("matched_item")])
     return rows.select(row_id, F.col(block).alias("_b"), F.col(text).alias("_q")).join(best, ["_b", "_q"]).select(row_id, "matched_item", "similarity")
 
@@ -166,6 +166,14 @@ def similar_title(needles: DataFrame, titles: DataFrame, needle: str, title: str
     return best_row(found, [needle], [F.col("similarity").desc(), F.col(title)])
 
 
+def by_variant(requests: DataFrame, names: DataFrame, request: str) -> DataFrame:
+    """First entity with a name whose singular or plural form equals one of the request's."""
+    order = [F.col("place"), F.col("entity")]
+    mine = requests.select(request, F.explode(X.title_variants(F.col(request))).alias("variant"))
+    theirs = names.select("entity", "place", F.explode(X.title_variants(F.col("name"))).alias("variant"))
+    return best_row(mine.join(best_row(theirs, ["variant"], order), "variant"), [request], order).select(request, "entity")
+
+
 def resolve_aliases(requests: DataFrame, titles: DataFrame, request: str, preferred: DataFrame | None = None) -> DataFrame:
     """Official title, preference, alias, containment, similarity: the first stage that finds something.
 
@@ -173,18 +181,11 @@ def resolve_aliases(requests: DataFrame, titles: DataFrame, request: str, prefer
     flagged, and the entity order that settles ties. ``preferred`` holds (key, entity).
     """
     asked = requests.select(request).distinct().withColumn("key", X.title_key(F.col(request)))
-    variants = asked.select(request, F.explode(X.title_variants(F.col(request))).alias("variant"))
     names = titles.withColumn("name_key", X.title_key(F.col("name")))
-    name_variants = names.select("entity", "official", "place", F.explode(X.title_variants(F.col("name"))).alias("variant"))
-
-    def by_variant(side: DataFrame) -> DataFrame:
-        first = best_row(side, ["variant"], [F.col("place"), F.col("entity")])
-        return best_row(variants.join(first, "variant"), [request], [F.col("place"), F.col("entity")]).select(request, "entity")
-
-    stages = [(by_variant(name_variants.filter("official")), "official_title_exact", 0.99)]
+    stages = [(by_variant(asked, titles.filter("official"), request), "official_title_exact", 0.99)]
     if preferred is not None:
         stages.append((asked.join(preferred, "key").select(request, "entity"), "preferred_title", 0.88))
-    stages.append((by_variant(name_variants.filter("NOT official")), "alias_exact", 0.94))
+    stages.append((by_variant(asked, titles.filter("NOT official"), request), "alias_exact", 0.94))
     out = asked
     for i, (found, _, _) in enumerate(stages):
         out = out.join(found.withColumnRenamed("entity", f"_e{i}"), request, "left")

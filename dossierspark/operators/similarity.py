@@ -13,9 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dossierspark.functions.udfs import seq_ratio
+from dossierspark.functions.udfs import ratio_at_least
 from dossierspark.operators.sets import jaccard
+from dossierspark.session import durable
 
 FREQUENT = 10000
 
@@ -62,8 +64,10 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, id_: str, column: str) -> Dat
 
 def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: float = 0.94, least_tokens: int = 1) -> DataFrame:
     """Links with token Jaccard at or above the threshold: copies by star, distinct sets by pair."""
-    sets = df.select(id_, block, F.array_sort(F.array_distinct(tokens)).alias("_t")).filter(F.size("_t") >= least_tokens)
+    # Written once: the sets are read by the collapse, the prefixes and both sides of the check.
+    sets = durable(df.select(id_, block, F.array_sort(F.array_distinct(tokens)).alias("_t")).filter(F.size("_t") >= least_tokens))
     reps, copies = collapse(sets, id_, block, F.array_join("_t", " "))
+    reps = durable(reps)
     n = F.size("_t")
     prefix = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
     near = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.lit(threshold) * F.greatest(x, y))
@@ -72,7 +76,7 @@ def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: f
     return scored.filter(F.col("similarity") >= threshold).unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def char_grams(s: pd.Series) -> pd.Series:
     """Character 3-grams (single characters for short texts), numbered by occurrence."""
     def grams(text):
@@ -96,9 +100,9 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
     """
     if threshold < 0.88:
         raise ValueError("below 0.88 shared 3-grams are not guaranteed")
-    texts = df.select(id_, block, F.col(text).alias("_x")).filter("_x <> ''")
+    texts = durable(df.select(id_, block, F.col(text).alias("_x")).filter("_x <> ''"))
     reps, copies = collapse(texts, id_, block, F.col("_x"))
-    reps = reps.withColumn("_g", char_grams("_x"))
+    reps = durable(reps.withColumn("_g", char_grams("_x")))
     n = F.length("_x")
     loose = F.floor(2.0 * n * (1 - threshold) / threshold + 1e-9)
     # Short texts hold grams of two kinds; their prefix covers all of them.
@@ -108,7 +112,7 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
     pairs = _with_sides(candidates, reps, id_, "_x")
     la, lb = F.length("side_a"), F.length("side_b")
     bounded = pairs.filter(2.0 * F.least(la, lb) / (la + lb) >= threshold)
-    scored = bounded.withColumn("similarity", seq_ratio("side_a", "side_b")).filter(F.col("similarity") >= threshold)
+    scored = bounded.withColumn("similarity", ratio_at_least(threshold)("side_a", "side_b")).filter(F.col("similarity").isNotNull())
     return scored.select(block, "id_a", "id_b", "similarity").unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
 
@@ -119,8 +123,9 @@ def containment_pairs(df: DataFrame, id_: str, block: str, text: str, share: flo
     The match starts in the first tenth of the longer text, so the shorter text's opening is joined
     with the few grams that start there.
     """
-    texts = df.select(id_, block, F.col(text).alias("_x")).filter(F.length("_x") >= least)
+    texts = durable(df.select(id_, block, F.col(text).alias("_x")).filter(F.length("_x") >= least))
     reps, _ = collapse(texts, id_, block, F.col("_x"))
+    reps = durable(reps)
     slack = F.floor(F.length("_x") * (1 - share) + 1e-9).cast("int")
     starts = F.transform(F.sequence(F.lit(0), slack), lambda i: F.substr(F.col("_x"), i + 1, F.lit(anchor)))
     longer = reps.select(F.col(id_).alias("long_id"), block, F.col("_x").alias("long_text"), F.explode(F.array_distinct(starts)).alias("_a"))
