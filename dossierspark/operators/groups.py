@@ -22,8 +22,8 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: i
 
     Smallest-label spreading with pointer jumps, one written table per round.
     """
-    both = durable(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(
-        edges.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct())
+    ends = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    both = durable(edges.select(F.explode(F.array(ends(a, b), ends(b, a))).alias("e")).select("e.*").distinct())
     labels = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "id"))
     for _ in range(max_rounds):
         spread = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(
@@ -40,10 +40,10 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: i
     raise RuntimeError("components did not settle")
 
 
-def with_components(rows: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
-    """Adds ``component``; rows without a link are their own."""
-    found = components(edges).withColumnRenamed("id", id_)
-    return rows.join(found, id_, "left").withColumn("component", F.coalesce("component", F.col(id_)))
+def split_linked(rows: DataFrame, edges: DataFrame, id_: str):
+    """``(linked, single)``: rows with their component, and rows without any link, which need no folding."""
+    found = durable(components(edges).withColumnRenamed("id", id_))
+    return rows.join(found, id_), rows.join(found, id_, "left_anti").withColumn("component", F.col(id_))
 
 
 def fold_groups(rows: DataFrame, step, state_schema: str, empty_state: DataFrame, seq, batch: int = BATCH) -> DataFrame:
@@ -68,6 +68,10 @@ def fold_groups(rows: DataFrame, step, state_schema: str, empty_state: DataFrame
     return done
 
 
+def _with_singles(groups: DataFrame, single: DataFrame, id_: str) -> DataFrame:
+    return groups.unionByName(single.select("component", F.lit(0).cast("long").alias("group_no"), id_, F.lit(1).cast("long").alias("members")))
+
+
 def _similar(a: set, b: set, threshold: float) -> bool:
     return bool(a) and bool(b) and len(a & b) >= threshold * len(a | b) - 1e-12
 
@@ -119,7 +123,8 @@ def leader_dedupe(rows: DataFrame, edges: DataFrame, id_: str, tokens: str, text
     ``priority`` is a list of numeric columns, highest first wins, ties keep the earlier leader.
     ``seq`` is the processing order.
     """
-    shaped = with_components(rows, edges, id_).select(
+    linked, single = split_linked(rows, edges, id_)
+    shaped = linked.select(
         "component", F.col(id_).alias("id"), F.col(tokens).alias("tokens"), F.col(text).alias("text"),
         F.array(*[p.cast("double") for p in priority]).alias("priority"), seq.alias("_seq"))
     kind = dict(shaped.dtypes)
@@ -127,7 +132,7 @@ def leader_dedupe(rows: DataFrame, edges: DataFrame, id_: str, tokens: str, text
               "priority array<double>, members long")
     empty = rows.sparkSession.createDataFrame([], schema)
     out = fold_groups(shaped, leader_step(threshold, same), schema, empty, [F.col("_seq")], batch)
-    return out.select("component", "group_no", F.col("leader").alias(id_), "members")
+    return _with_singles(out.select("component", "group_no", F.col("leader").alias(id_), "members"), single, id_)
 
 
 def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote: str, rank, seq, threshold: float = 0.90,
@@ -139,7 +144,8 @@ def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote
     """
     from difflib import SequenceMatcher
 
-    shaped = with_components(rows, edges, id_).select(
+    linked, single = split_linked(rows, edges, id_)
+    shaped = linked.select(
         "component", F.col(id_).alias("id"), F.col(claim).alias("claim"), F.col(quote).alias("quote"),
         F.array(*[p.cast("double") for p in rank]).alias("rank"), seq.alias("_seq"))
     kind = dict(shaped.dtypes)
@@ -177,7 +183,7 @@ def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote
 
     empty = rows.sparkSession.createDataFrame([], schema)
     out = fold_groups(shaped, step, schema, empty, [F.col("_seq")], batch)
-    return out.select("component", "group_no", F.col("best").alias(id_), "members")
+    return _with_singles(out.select("component", "group_no", F.col("best").alias(id_), "members"), single, id_)
 
 
 def greedy_ranked(hits: DataFrame, query: str, order, keys, tokens: str, k: int, threshold: float = 0.96) -> DataFrame:

@@ -45,15 +45,14 @@ def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, pref
         .groupBy(id_, block, "_n", "_p")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0).cast("long")).alias("f"), F.col("_e").alias("e")))).alias("_s"))
     )
-    short = ordered.select(id_, block, "_n", F.transform(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1))),
-                                                          lambda s: s["e"]).alias("_prefix"))
-    spread = short.select(id_, block, "_n", "_prefix", F.explode("_prefix").alias("_e"))
+    spread = ordered.select(id_, block, "_n", F.explode(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1)))).alias("s")).select(
+        id_, block, "_n", F.col("s.e").alias("_e"))
     a, b = spread.alias("a"), spread.alias("b")
-    first_shared = F.get(F.array_intersect(F.col("a._prefix"), F.col("b._prefix")), 0) == F.col("a._e")
-    return a.join(
+    met = a.join(
         b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._e") == F.col("b._e"))
-        & (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & compatible(F.col("a._n"), F.col("b._n")) & first_shared,
-    ).select(F.col(f"a.{block}").alias(block), F.col(f"a.{id_}").alias("id_a"), F.col(f"b.{id_}").alias("id_b"))
+        & (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & compatible(F.col("a._n"), F.col("b._n")))
+    # A pair may share several prefix elements; the ids alone are cheap to make distinct.
+    return met.select(F.col(f"a.{block}").alias(block), F.col(f"a.{id_}").alias("id_a"), F.col(f"b.{id_}").alias("id_b")).distinct()
 
 
 def _with_sides(pairs: DataFrame, sets: DataFrame, id_: str, column: str) -> DataFrame:
