@@ -45,8 +45,8 @@ def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, pref
         .groupBy(id_, block, "_n", "_p")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0).cast("long")).alias("f"), F.col("_e").alias("e")))).alias("_s"))
     )
-    spread = ordered.select(id_, block, "_n", F.explode(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1)))).alias("s")).select(
-        id_, block, "_n", F.col("s.e").alias("_e"))
+    spread = ordered.select(id_, block, "_n", F.explode(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1)))).alias("_pick")).select(
+        id_, block, "_n", F.col("_pick.e").alias("_e"))
     a, b = spread.alias("a"), spread.alias("b")
     met = a.join(
         b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._e") == F.col("b._e"))
@@ -56,9 +56,11 @@ def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, pref
 
 
 def _with_sides(pairs: DataFrame, sets: DataFrame, id_: str, column: str) -> DataFrame:
+    """Pairs with both texts or sets. Pairs are small but costly to check, so they keep all partitions."""
     left = sets.select(F.col(id_).alias("id_a"), F.col(column).alias("side_a"))
     right = sets.select(F.col(id_).alias("id_b"), F.col(column).alias("side_b"))
-    return pairs.join(left, "id_a").join(right, "id_b")
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(width, "id_a").join(left, "id_a").join(right, "id_b")
 
 
 def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: float = 0.94, least_tokens: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ from dossierspark.operators.evidence import exact_dedupe
 from dossierspark.operators.ranking import best_row
 from dossierspark.plans import sql_text as Q
 from dossierspark.plans.registry import Registry
-from dossierspark.session import table
+from dossierspark.session import spread, table
 
 reg = Registry()
 
@@ -49,7 +49,7 @@ def dd_first_id(spark, d):
 
 
 def doc_tokens(spark, d):
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", "lang", "n_chars", X.normalize_text(F.col("text")).alias("norm")).withColumn("tokens", F.array_distinct(F.split("norm", " ")))
 
 
@@ -85,7 +85,7 @@ def dd_near_dedupe(spark, d):
 
 
 def sentence_claims(spark, d):
-    s = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.posexplode(X.sentences(F.col("text"))).alias("position", "claim"))
+    s = spread(table(spark, d, "documents")).select("doc_id", "source", "n_chars", F.posexplode(X.sentences(F.col("text"))).alias("position", "claim"))
     return s.withColumn("key", X.text_key(F.col("claim"))).filter("key <> ''")
 
 
@@ -123,7 +123,7 @@ def dd_claims_greedy(spark, d):
 
 def turn_claims(spark, d):
     """Each turn as a claim of its conversation; every second one comes back with one word changed."""
-    t = table(spark, d, "conversations")
+    t = spread(table(spark, d, "conversations"))
     base = t.select("conv_id", (F.col("conv_id") * 100000 + F.col("turn") * 10).alias("id"), "role", "text")
     edited = base.withColumns({"id": F.col("id") + 1, "text": F.concat(F.col("text"), F.lit(" again"))})
     both = base.unionByName(edited)

@@ -12,7 +12,7 @@ from dossierspark.operators import labels as L
 from dossierspark.plans import sql_text as Q
 from dossierspark.plans.core import FACTS, named_facts
 from dossierspark.plans.registry import Registry
-from dossierspark.session import table
+from dossierspark.session import spread, table
 
 reg = Registry()
 
@@ -55,7 +55,7 @@ c AS (SELECT doc_id, position, {_map_sql('source', TYPES, 'augmentation_potentia
 
 def claims(spark, d):
     """Every sentence of the documents as a claim; its quote is the first sentence of the document."""
-    s = table(spark, d, "documents").select("doc_id", "source", "lang", X.sentences(F.col("text")).alias("l"))
+    s = spread(table(spark, d, "documents")).select("doc_id", "source", "lang", X.sentences(F.col("text")).alias("l"))
     rows = s.select("doc_id", "source", "lang", F.get("l", 0).alias("evidence_quote"), F.posexplode("l").alias("position", "claim_text"))
     return rows.select(
         "doc_id", F.col("position").cast("long").alias("position"), "claim_text", "evidence_quote",

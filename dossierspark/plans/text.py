@@ -11,7 +11,7 @@ from dossierspark.operators import text_jobs as TJ
 from dossierspark.operators.ranking import ranked
 from dossierspark.plans import sql_text as Q
 from dossierspark.plans.registry import Registry
-from dossierspark.session import table
+from dossierspark.session import spread, table
 from dossierspark.sources import html as H
 
 reg = Registry()
@@ -25,7 +25,7 @@ def SQL_LONG(c, name="text"):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 # ---- scalars ---------------------------------------------------------------
@@ -201,7 +201,7 @@ SQL_PAGE_LINES = f"WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://
 
 
 def page_lines(spark, d):
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages")).select(
         "page_id", F.regexp_extract("url", "^[A-Za-z]+://([^/?#]+)", 1).alias("host"), H.text_nodes(F.col("html")).alias("lines"))
 
 
