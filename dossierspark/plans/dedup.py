@@ -99,8 +99,8 @@ def dd_claims_exact(spark, d):
 
 @reg.add("dd_claims_jaccard", _SETS.replace("any_value(tok) AS tok, ", "").replace("GROUP BY ALL", "GROUP BY lang, array_to_string(tok, ' ')") + """,
 r AS (SELECT t.* FROM t JOIN g ON t.doc_id = g.rep WHERE len(tok) >= 6), x AS (SELECT lang, norm, min(doc_id) AS doc_id FROM t WHERE length(norm) >= 40 GROUP BY lang, norm)
-SELECT 'jaccard' AS kind, a.lang, a.doc_id AS id_a, b.doc_id AS id_b FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.tok), len(b.tok)) >= 0.92 * greatest(len(a.tok), len(b.tok)) - 1e-9
-  WHERE len(list_intersect(a.tok, b.tok)) >= 0.92 * (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok)))
+SELECT 'jaccard' AS kind, lang, id_a, id_b FROM (SELECT a.lang, a.doc_id AS id_a, b.doc_id AS id_b, len(list_intersect(a.tok, b.tok)) AS c, len(a.tok) AS x, len(b.tok) AS y
+  FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.tok), len(b.tok)) >= 0.92 * greatest(len(a.tok), len(b.tok)) - 1e-9) WHERE c >= 0.92 * (x + y - c)
 UNION ALL SELECT 'jaccard', t.lang, g.rep, t.doc_id FROM t JOIN g ON t.lang = g.lang AND array_to_string(t.tok, ' ') = g.key WHERE t.doc_id <> g.rep AND len(t.tok) >= 6
 UNION ALL SELECT 'contained', a.lang, least(a.doc_id, b.doc_id), greatest(a.doc_id, b.doc_id) FROM x a JOIN x b ON a.lang = b.lang AND length(a.norm) < length(b.norm) AND length(a.norm) + 1e-9 >= 0.9 * length(b.norm) AND contains(b.norm, a.norm)""")
 def dd_claims_jaccard(spark, d):
