@@ -15,14 +15,6 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-block ratio; the argument order matters."""
-    return pd.Series([
-        None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)
-    ], dtype="float64")
-
-
 def ratio_at_least(threshold: float):
     """The ratio where it reaches the threshold, null elsewhere.
 

@@ -88,7 +88,7 @@ def leading_entity(hits: DataFrame, query: str, entity: str, rank: str) -> DataF
     )
     return per.groupBy(query).agg(
         F.min_by(entity, F.struct("first", entity)).alias("first_entity"),
-        F.max_by(entity, F.struct(F.col("n"), -F.col("first"))).alias("frequent_entity"),
+        F.max_by(entity, F.struct(F.col("n"), -F.col("first"), F.col(entity))).alias("frequent_entity"),
         F.max("n").alias("frequent_count"),
     )
 
@@ -99,19 +99,6 @@ def latest(df: DataFrame, keys, seq, columns) -> DataFrame:
     return picked.select(*keys, "_row.*")
 
 
-def repeated_edge_lines(lines: DataFrame, group: str, page: str, position: str, total: str, line: str,
-                        edge: int = 4, max_len: int = 160, least: int = 3, share: int = 4) -> DataFrame:
-    """Lines at page edges that occur on at least max(3, pages/4) pages of their group."""
-    edges = lines.filter(
-        ((F.col(position) < edge) | (F.col(position) >= F.col(total) - edge)) & (F.length(line) <= max_len)
-    ).select(group, page, line).distinct()
-    pages = lines.select(group, page).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("pages"))
-    counts = edges.groupBy(group, line).agg(F.count(F.lit(1)).alias("n_pages"))
-    return counts.join(pages, group).filter(
-        F.col("n_pages") >= F.greatest(F.lit(least), F.floor(F.col("pages") / share))
-    )
-
-
 def core_items(df: DataFrame, profile: str, item: str, rank: str, n: int = 10) -> DataFrame:
     """First n distinct items of a ranked list, in order of first appearance."""
     firsts = df.groupBy(profile, item).agg(F.min(rank).alias("first_rank"))

@@ -451,11 +451,7 @@ SELECT l_suppkey, max(CASE WHEN a = 1 THEN p_name END) AS first_entity, max(CASE
     row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first, p_name DESC) AS b FROM p) GROUP BY 1""")
 def agg_leading_entity(spark, d):
     hits = named_facts(spark, d).select("l_suppkey", "p_name", F.col("l_orderkey").alias("rank"))
-    per = hits.groupBy("l_suppkey", "p_name").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-    return per.groupBy("l_suppkey").agg(
-        F.min_by("p_name", F.struct("first", "p_name")).alias("first_entity"),
-        F.max_by("p_name", F.struct(F.col("n"), -F.col("first"), F.col("p_name"))).alias("frequent_entity"),
-        F.max("n").alias("frequent_count"))
+    return A.leading_entity(hits, "l_suppkey", "p_name", "rank")
 
 
 @reg.add("agg_latest", """
