@@ -14,7 +14,7 @@ from dossierspark.session import table
 
 reg = Registry()
 #: Bounds of what the classifiers learn from.
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 10_000, 20_000
 
 
 @reg.add("op1_byte_bpe")

@@ -30,6 +30,8 @@ CODES = 1 << 18
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s._*-]+){3,}[^\W\d_](?![^\W_])")
 CACHED = 300_000
+#: Kernel value below which a word may join the landmarks.
+UNLIKE = 0.6
 
 
 def units(text: str) -> set[str]:
@@ -116,6 +118,17 @@ class StringSvm:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * value + self.shift, -500, 500)))
 
 
+def _dense(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised feature maps as columns over the codes in use, and these codes."""
+    groups = list(_grams(words))
+    used = np.unique(np.concatenate([code.ravel() for _, code, _, _ in groups]))
+    out = np.zeros((len(used), len(words)), np.float32)
+    for at, code, weight, norm in groups:
+        for r, i in enumerate(at):
+            np.add.at(out[:, i], np.searchsorted(used, code[r]), weight[r] / norm[r])
+    return out, used
+
+
 def _landmark_features(words: list[str], table: np.ndarray, place: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), table.shape[1]), np.float32)
     parts, owner = _windows(words)
@@ -129,21 +142,29 @@ def _landmark_features(words: list[str], table: np.ndarray, place: np.ndarray) -
     return out
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, w8: np.ndarray, cost: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _squared_hinge(x: np.ndarray, y: np.ndarray, w8: np.ndarray, cost: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Newton steps on the rows inside the margin, until these stay the same."""
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    gram = np.linalg.norm((x1 * w8[:, None]).T @ x1, 2)
-    lr, w = 1.0 / (1.0 + 2 * cost * gram), np.zeros(x1.shape[1])
-    v, t = w.copy(), 1.0
+    ridge = np.eye(x1.shape[1]) / (2 * cost)
+    ridge[-1, -1] = 1e-6
+    active, w = np.ones(len(y), bool), np.zeros(x1.shape[1])
     for _ in range(rounds):
-        slack = np.maximum(0.0, 1.0 - y * (x1 @ v))
-        new = v - lr * (np.append(v[:-1], 0.0) - 2 * cost * (x1.T @ (w8 * y * slack)))
-        t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t1 * (new - w), new, t1
+        weighted = x1[active] * w8[active, None]
+        w = 0.5 * w + 0.5 * np.linalg.solve(ridge + weighted.T @ x1[active], weighted.T @ y[active]) if w.any() else np.linalg.solve(
+            ridge + weighted.T @ x1[active], weighted.T @ y[active])
+        now = y * (x1 @ w) < 1
+        if (now == active).all():
+            break
+        active = now
     return w[:-1], float(w[-1])
 
 
-def fit(samples: list[tuple[str, int]], landmarks: int = 64, rounds: int = 4, hard: int = 8_000, cost: float = 1.0) -> StringSvm:
-    """A machine from (text, 0 or 1) pairs; ``landmarks`` of each class, ``hard`` negative sentences per round."""
+def fit(samples: list[tuple[str, int]], landmarks: int = 64, rounds: int = 6, hard: int = 4_000, cost: float = 3.0,
+        telling: float = 4.0) -> StringSvm:
+    """A machine from (text, 0 or 1) pairs; ``landmarks`` of each class, ``hard`` negative sentences per round.
+
+    A word that lifts the share of toxic documents by ``telling`` standard deviations and never stands in a clean one marks its sentences as toxic.
+    """
     labels = np.array([y for _, y in samples])
     model = StringSvm(np.zeros(CODES, np.float32))
     if not len(labels) or labels.min() == labels.max():
@@ -166,34 +187,39 @@ def fit(samples: list[tuple[str, int]], landmarks: int = 64, rounds: int = 4, ha
     value = (pos - rate * (pos + neg)) / np.sqrt(rate * (1 - rate) * (pos + neg) + 1.0)
 
     witness = Counter(words[d[value[d].argmax()]] for d, y in zip(docs, labels) if y == 1 and len(d))
-    ranked = [w for w, _ in witness.most_common()] + [words[i] for i in np.argsort(-value, kind="stable")[:landmarks * 4]]
+    ranked = [w for w, _ in witness.most_common()] + [words[i] for i in np.argsort(-value, kind="stable")[:landmarks * 6]]
     common = [words[i] for i in np.argsort(-neg, kind="stable")[:landmarks]]
-    chosen = list(dict.fromkeys(w[:WINDOW] for w in dict.fromkeys([*ranked[:landmarks], *common])))
-    dense = np.zeros((CODES, len(chosen)), np.float32)
-    for at, code, weight, norm in _grams(chosen):
-        for r, i in enumerate(at):
-            np.add.at(dense[:, i], code[r], weight[r] / norm[r])
-    used = np.flatnonzero(dense.any(1))
+    offered = list(dict.fromkeys(w[:WINDOW] for w in dict.fromkeys([*ranked[:landmarks * 8], *common])))
+    maps = _dense(offered)
+    alike = maps[0].T @ maps[0]
+    chosen, n_toxic = [], len(offered) - len(set(common) - set(ranked[:landmarks * 8]))
+    for i in range(n_toxic):
+        if len(chosen) < landmarks and all(alike[i, j] < UNLIKE for j in chosen):
+            chosen.append(i)
+    chosen = [offered[i] for i in [*chosen, *range(n_toxic, len(offered))]]
+    dense, used = _dense(chosen)
     where = np.zeros(CODES, np.int64)
     where[used] = np.arange(1, len(used) + 1)
-    table = np.vstack([np.zeros((1, len(chosen)), np.float32), dense[used]])
-    del dense
+    table = np.vstack([np.zeros((1, len(chosen)), np.float32), dense])
     kernel = table.T.astype(np.float64) @ table
     own, basis = np.linalg.eigh(kernel)
     keep = own > 1e-6 * own[-1]
     root = basis[:, keep] / np.sqrt(own[keep])
 
+    sure = {int(i): int(pos[i]) for i in np.flatnonzero((value >= telling) & (neg == 0))}
+    # Clean words to hold down: the frequent ones, and the strongest of clean sentences of every round so far.
+    against = dict.fromkeys(int(i) for i in np.argsort(-neg, kind="stable")[:hard // 2] if neg[i])
     for _ in range(rounds):
-        toxic = Counter()
+        toxic = Counter(sure)
         for d in np.flatnonzero(labels == 1):
             if of_doc[d]:
                 told = max(of_doc[d], key=lambda s: value[s].max())
                 toxic[int(told[value[told].argmax()])] += 1
         clean = Counter(int(s[value[s].argmax()]) for d, s in sentences if labels[d] == 0)
-        hardest = sorted(clean, key=lambda i: (-value[i], i))[:hard] + [i for i, _ in clean.most_common(hard // 4)]
-        rows = [(i, 1, n) for i, n in toxic.items() if neg[i] <= n] + [(i, -1, min(n, 20)) for i, n in ((i, clean[i]) for i in dict.fromkeys(hardest))]
+        against.update(dict.fromkeys(sorted(clean, key=lambda i: (-value[i], i))[:hard]))
+        rows = [(i, 1, n) for i, n in toxic.items() if neg[i] <= n] + [(i, -1, min(neg[i], 20)) for i in against]
         y = np.array([r[1] for r in rows], np.float64)
-        w8 = np.array([r[2] for r in rows], np.float64)
+        w8 = np.sqrt(np.array([r[2] for r in rows], np.float64))
         if not (y > 0).any() or not (y < 0).any():
             break
         for c in (1, -1):
