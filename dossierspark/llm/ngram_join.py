@@ -3,15 +3,20 @@
 Two documents link when their sets of word shingles have a Jaccard similarity of at least num/den. All filters lose no link:
 
 1. *Hash prefix.* In the order of the hashes, a document of n shingles keeps its first n - c + l, where c = ceil(n num/den) is
-   what it must share with a partner and l is about a tenth of n. Linked documents share at least l of these (the smaller l).
-2. *Alone.* Tokens of one document only are dropped, and documents with fewer than l tokens left have no partner.
-3. *Copies.* Documents with equal sets are one class; only its first document goes on.
-4. *Adaptive prefix.* A document sorts its tokens by rising frequency. Of p tokens with l shared ones, the first p - l + m hold m
-   shared ones. m is 1 where the tokens are rare and grows with their mean frequency, the estimated number of candidates,
+   what it must share with a partner and l is about a tenth of n. Linked documents share at least l of these (the smaller l), so
+   a document that shares fewer with all others together has no partner.
+2. *Copies.* Documents with equal sets are one class; only its first document goes on.
+3. *Shared.* A document that shares fewer than c of its whole set with all others together has no partner.
+4. *Adaptive prefix.* A document sorts its shared tokens by rising frequency. Of p tokens with c needed ones, the first p - c + m
+   hold m needed ones. m is 1 where the tokens are rare and grows with their mean frequency, the estimated number of candidates,
    so that costly prefixes get longer and a pair needs m common tokens before it is verified.
-5. *Stars first.* Each token's documents are compared with its first document; components of verified stars are contracted.
-   Only pairs of different components are then enumerated, so a family of near copies never becomes all its pairs.
-6. Pairs are verified on whole shingle sets.
+5. *Hubs first.* Each token's documents are compared with its most central one, which a family of near copies mostly
+   links to; the components of these links are contracted, and only pairs of different components remain to be found.
+6. Tokens of up to ``COMMON`` documents give these pairs by a join, ``COMMON`` rows a token row at most. For more frequent tokens, the documents of a
+   hub are dealt to tiles, and pairs of tiles count common tokens as matrix products. Such a product emits one link for a
+   document and other component at most, so that no group becomes all its pairs; its arithmetic grows with the square of what
+   stays apart in a family.
+7. Pairs are verified on whole shingle sets.
 
 Defined results: documents without words or with null text are linked with nothing (0 shingles, own class); fewer words than a
 shingle are one shingle; repeated rows of an id count as one document; other columns are ignored.
@@ -22,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +37,10 @@ from dossierspark.llm.shingles import WordHashes, plain_words, shingle_set
 from dossierspark.operators.groups import components
 from dossierspark.session import durable
 
-#: First documents of tokens that a document is compared with in the star round. Only speed depends on it.
+#: Hubs of rare tokens that a document is compared with. Only speed depends on it.
 STARS = 3
+#: Documents of a token up to which pairs come from a join, and of a tile beyond.
+COMMON, TILE = 64, 512
 
 
 def needed(n, num: int, den: int):
@@ -84,6 +92,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.filter(den * F.col("same") >= num * (F.size("sa") + F.size("sb") - F.col("same"))).select("id_a", "id_b")
 
 
+def _across(families: DataFrame, ranked: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between different components of a hub's documents: of each document with each other component of a pair of tiles, one."""
+    tiles = (families.groupBy("hub").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+             .select("hub", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")))
+    rows = (families.join(tiles, "hub").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+            .join(ranked.select("id", "n", F.transform("m", lambda t: t["h"]).alias("tokens")), "id")
+            .select("hub", "low", "high", "tile", "id", "comp", "n", "tokens"))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tile_links(pdf, num, den)
+
+    return rows.groupBy("hub", "low", "high").applyInPandas(counted, "id_a long, id_b long")
+
+
+def _tile_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    low, high = pdf["low"].iat[0], pdf["high"].iat[0]
+    tokens, ids, comp, n, tile = list(pdf["tokens"]), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), pdf["tile"].to_numpy()
+    names, counts = np.unique(comp, return_counts=True)
+    # Pairs inside the largest component are settled, so one side is always outside it.
+    left = np.flatnonzero(comp != names[counts.argmax()])
+    out = []
+    if len(names) > 1:
+        flat = np.concatenate(tokens)
+        vocabulary, code = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
+        same = np.zeros((len(left), len(ids)), np.float32)
+        place = np.full(len(ids), -1)
+        place[left] = np.arange(len(left))
+        for lo in range(0, len(vocabulary), 8192):
+            inside = (code >= lo) & (code < lo + 8192)
+            every = np.zeros((len(ids), min(8192, len(vocabulary) - lo)), np.float32)
+            every[row[inside], code[inside] - lo] = 1
+            same += every[left] @ every.T
+        linked = den * same >= num * (n[left][:, None] + n[None, :] - same)
+        linked &= comp[left][:, None] != comp[None, :]
+        if low != high:
+            linked &= tile[left][:, None] != tile[None, :]
+        for a, b in zip(*np.nonzero(linked)):
+            out.append((comp[left[a]], comp[b], ids[left[a]], ids[b]))
+    found = pd.DataFrame(out, columns=["ca", "cb", "id_a", "id_b"]).drop_duplicates(["id_a", "cb"])
+    return found[["id_a", "id_b"]].astype("int64")
+
+
 def link_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", num: int = 4, den: int = 5,
                     words: Callable = plain_words) -> DataFrame:
     """(id, n_shingles, component_id) of every document; the component is the smallest id reachable by links."""
@@ -91,41 +144,43 @@ def link_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", nu
     drawn = durable(sketch(docs, id_, text, num, den, words))
     known = drawn.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.min(c).alias(c) for c in ("n", "f1", "f2")])
     tokens = drawn.select("id", F.explode("prefix").alias("h"))
-    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    left = (tokens.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("m"))
-            .join(known, "id").withColumn("l", F.floor((F.col("n") + 9) / 10).cast("int")).filter(F.size("m") >= F.col("l")))
-    left = durable(left)
-
+    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1).select("h")
+    left = durable(tokens.join(shared, "h").groupBy("id").agg(F.count(F.lit(1)).alias("hits")).join(known, "id")
+                   .filter(F.col("hits") >= F.floor((F.col("n") + 9) / 10)).drop("hits"))
     first = left.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    member = durable(left.select("id", "n", "f1", "f2").join(first, ["n", "f1", "f2"]).select("id", "rep"))
-    reps = left.join(member.filter(F.col("id") == F.col("rep")).select("id"), "id")
-
-    base = F.size("m") - F.col("l") + 1
-    cost = F.aggregate(F.slice("m", F.lit(1), F.col("base")), F.lit(0.0), lambda s, x: s + x["df"]) / F.col("base")
-    index = durable(reps.withColumn("base", base)
-                    .withColumn("need", F.least(F.size("m") - F.col("base") + 1, 1 + F.floor(F.log2(cost)).cast("int")))
-                    .select("id", "n", "need", F.explode(F.expr("slice(m, 1, base + need - 1)")).alias("t"))
-                    .select("id", "n", "need", F.col("t.h").alias("h")))
-    ids = index.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(index, "h").select("id").distinct()
-    sets = durable(_whole_sets(docs.join(checked_broadcast(durable(ids.withColumnRenamed("id", id_))), id_, "left_semi")
-                               .select(id_, text), id_, text, words).dropDuplicates(["id"]))
-
-    star = index.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub"))
-    star = (index.join(star, "h").filter((F.col("id") != F.col("hub.id")) & close(F.col("n"), F.col("hub.n")))
-            .groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("c")))
-    star = star.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))).filter(F.col("k") <= STARS)
+    member = durable(left.join(first, ["n", "f1", "f2"]).select("id", "rep"))
+    reps = durable(member.filter(F.col("id") == F.col("rep")).select(F.col("id").alias(id_)))
+    sets = durable(_whole_sets(docs.join(checked_broadcast(reps), id_, "left_semi").select(id_, text), id_, text, words).dropDuplicates(["id"]))
+
+    spread = sets.select("id", F.explode("shingles").alias("h"))
+    shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    sizes = sets.select("id", F.size("shingles").alias("n"))
+    must = -F.floor(-F.col("n") * num / den).cast("int")
+    ranked = durable(spread.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("m"))
+                     .join(sizes, "id").filter(F.size("m") >= must).withColumn("base", F.size("m") - must + 1))
+    total = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x["df"])
+    cost = total(F.slice("m", F.lit(1), F.col("base"))) / F.col("base")
+    index = durable(ranked.withColumn("need", F.least(F.size("m") - F.col("base") + 1, 1 + F.floor(F.log2(cost)).cast("int")))
+                    .select("id", "n", "need", (total(F.col("m")) / F.col("n")).alias("central"), F.explode(F.expr("slice(m, 1, base + need - 1)")).alias("t"))
+                    .select("id", "n", "need", "central", F.col("t.h").alias("h")))
+
+    hubs = index.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("hub")).filter("c > 1")
+    met = (index.join(hubs, "h").withColumn("hub_n", F.col("hub.n")).withColumn("hub", -F.col("hub.minus"))
+           .groupBy("id", "hub", "n", "hub_n").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("c") > COMMON).alias("hot")))
+    met = durable(met.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))))
+    star = met.filter((F.col("id") != F.col("hub")) & (F.col("hot") | (F.col("k") <= STARS)) & close(F.col("n"), F.col("hub_n")))
     linked = durable(_verified(star.select(F.col("hub").alias("id_a"), F.col("id").alias("id_b")), sets, num, den))
     comp = durable(components(linked).withColumnRenamed("component", "comp"))
 
-    placed = durable(index.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    placed = durable(index.join(hubs.filter(F.col("c") <= COMMON).select("h"), "h").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
     open_ = durable(placed.join(mixed, "h"))
     x, y = open_.alias("x"), open_.alias("y")
     pairs = (x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
                     & close(F.col("x.n"), F.col("y.n")))
-             .groupBy(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-             .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.need", "y.need")).alias("need")).filter("c >= need"))
-    more = _verified(pairs.select("id_a", "id_b"), sets, num, den)
+             .select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b")).distinct())
+    families = met.filter("hot").join(comp, "id", "left").select("hub", "id", F.coalesce("comp", "id").alias("comp"))
+    more = _verified(pairs, sets, num, den).unionByName(_across(families, ranked, num, den))
     named = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c_{side}"))
     more = durable(more.join(named("id_a"), "id_a", "left").join(named("id_b"), "id_b", "left").select(
         F.coalesce("c_id_a", "id_a").alias("id_a"), F.coalesce("c_id_b", "id_b").alias("id_b")).distinct())
