@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from dossierspark.llm import decontaminate, language, ngram_join, pii
 from dossierspark.llm.queries import encoded
+from dossierspark.llm.rows import quoted
 from dossierspark.session import durable, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the learned context trees tell; null texts, texts without letters and undecided ones go."""
     told = language.identify(docs.withColumn("_lang", F.col("lang")), language.learn(docs))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*[quoted(c) for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by their kind; n_chars counts the new text."""
-    return pii.redact(docs, pii.train()).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs, pii.train()).withColumn("n_chars", F.length("text").cast("long")).select(*[quoted(c) for c in docs.columns])
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierspark.llm.rows import checked_broadcast, with_columns
+from dossierspark.llm.rows import checked_broadcast, quoted, with_columns
 from dossierspark.llm.shingles import WordHashes, letter_words, shingle_set
 from dossierspark.session import durable
 
@@ -88,4 +88,4 @@ def _search(docs: DataFrame, index, num: int, den: int) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
     hit = durable(contained(docs, benchmark, num, den).select("doc_id").distinct())
-    return docs.join(checked_broadcast(hit), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(checked_broadcast(hit), "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierspark.llm.rows import with_columns
+from dossierspark.llm.rows import quoted, with_columns
 from dossierspark.session import durable
 
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -169,4 +169,5 @@ def judge(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, t
     fine = inside(MEASURES[0])
     for m in MEASURES[1:]:
         fine = fine & inside(m)
-    return placed.withColumn("kept", ~F.col("base_failed") & fine).select(*[c for c in rows.columns if c not in ("_key", "_size")], "kept")
+    return placed.withColumn("kept", ~F.col("base_failed") & fine).select(
+        *[quoted(c) for c in rows.columns if c not in ("_key", "_size")], "kept")

@@ -41,30 +41,30 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _level(units: DataFrame, m: str) -> DataFrame:
-    """One row: the prior strength of units (n, good) below their mean ``m``."""
+def _strength(units: DataFrame, m: str) -> Column:
+    """The prior strength of units (n, good) below their mean ``m``, as a scalar subquery."""
     v = F.col(m) * (1 - F.col(m))
     gap = F.col("good") / F.col("n") - F.col(m)
     rho = (F.sum(F.col("n") * gap * gap) - F.sum(v)) / F.sum((F.col("n") - 1) * v)
-    return units.agg(F.coalesce(1 / F.greatest(F.lit(LOW_RHO), F.least(F.lit(HIGH_RHO), rho)) - 1, F.lit(1 / HIGH_RHO - 1)).alias("k"), F.lit(1).alias("one"))
+    return units.agg(F.coalesce(1 / F.greatest(F.lit(LOW_RHO), F.least(F.lit(HIGH_RHO), rho)) - 1, F.lit(1 / HIGH_RHO - 1)).alias("k")).scalar()
 
 
 def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
 
-def posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """From (host, good 0/1): overall rate and strengths; then (suffix), (suffix, domain) and (domain, host) with rate and strength."""
+def posteriors(outcomes: DataFrame) -> tuple[Column, DataFrame, DataFrame, DataFrame]:
+    """From (host, good 0/1): the overall rate as a scalar; then (suffix), (suffix, domain) and (domain, host) with rate and strength."""
     counted = (outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum(F.col("good").cast("long")).alias("good")).filter("n > 0")
                .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)))
-    overall = counted.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"), F.lit(1).alias("one"))
+    overall = counted.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m")).scalar()
 
     def shrunk(units: DataFrame, m: str) -> DataFrame:
-        k = _level(units, m)
-        return units.withColumn("one", F.lit(1)).join(F.broadcast(k), "one").withColumn(
-            "rate", (F.col("good") + F.col("k") * F.col(m)) / (F.col("n") + F.col("k"))).withColumn("strength", F.col("n") + F.col("k"))
+        k = _strength(units, m)
+        return units.withColumn("k", k).withColumn("rate", (F.col("good") + F.col("k") * F.col(m)) / (F.col("n") + F.col("k"))).withColumn(
+            "strength", F.col("n") + F.col("k"))
 
-    suffix = shrunk(_counted(counted, "suffix").withColumn("one", F.lit(1)).join(F.broadcast(overall), "one"), "m")
+    suffix = shrunk(_counted(counted, "suffix").withColumn("m", overall), "m")
     suffix = suffix.select("suffix", F.col("rate").alias("s_rate"), F.col("strength").alias("s_strength"))
     domain = shrunk(_counted(counted, "suffix", "domain").join(suffix, "suffix"), "s_rate")
     domain = domain.select("suffix", "domain", F.col("rate").alias("d_rate"), F.col("strength").alias("d_strength"))
@@ -79,11 +79,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", rules=RULES,
     made = ("host", "path", "rule", "verdict", "good_rate", "upper_bound")
     columns = [c for c in pages.columns if c.casefold() not in made]
     rows = pages.select(*[F.col(f"`{c}`") for c in columns], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = (rows.withColumn("_domain", F.substring_index("host", ".", -2)).withColumn("_suffix", F.substring_index("host", ".", -1)).withColumn("_one", F.lit(1))
+    rows = (rows.withColumn("_domain", F.substring_index("host", ".", -2)).withColumn("_suffix", F.substring_index("host", ".", -1)).withColumn("m", overall)
             .join(host, "host", "left")
             .join(domain.select(F.col("domain").alias("_domain"), "d_rate", "d_strength"), "_domain", "left")
-            .join(suffix.withColumnRenamed("suffix", "_suffix"), "_suffix", "left")
-            .join(F.broadcast(overall.select(F.col("one").alias("_one"), "m")), "_one", "left"))
+            .join(suffix.withColumnRenamed("suffix", "_suffix"), "_suffix", "left"))
     rate = F.coalesce("h_rate", "d_rate", "s_rate", "m")
     strength = F.coalesce("h_strength", "d_strength", "s_strength", F.lit(0.0))
     upper = rate + z * F.sqrt(rate * (1 - rate) / (strength + 1))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossierspark.llm.rows import checked_broadcast, with_columns
+from dossierspark.llm.rows import checked_broadcast, quoted, with_columns
 from dossierspark.llm.shingles import WordHashes, plain_words, shingle_set
 from dossierspark.operators.groups import components
 from dossierspark.session import durable
@@ -199,7 +199,7 @@ def keep_first(docs: DataFrame, id_: str = "doc_id", text: str = "text", num: in
     """``docs`` with one document of each component, the one with the smallest id; columns and null ids stay as they are."""
     found = durable(link_components(docs, id_, text, num, den))
     gone = found.filter(F.col(id_) != F.col("component_id")).select(id_)
-    kept = docs.join(checked_broadcast(durable(gone)), id_, "left_anti").select(*docs.columns)
+    kept = docs.join(checked_broadcast(durable(gone)), id_, "left_anti").select(*[quoted(c) for c in docs.columns])
     repeated = docs.filter(F.col(id_).isNotNull()).groupBy(id_).count().filter("count > 1").limit(1).count()
     if not repeated:
         return kept

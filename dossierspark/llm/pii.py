@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from dossierspark.llm.pii_examples import LINES
-from dossierspark.llm.rows import with_columns
+from dossierspark.llm.rows import quoted, with_columns
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = ("O", "EMAIL", "IP", "SECRET", "B-CARD", "I-CARD", "B-PHONE", "I-PHONE")
@@ -309,4 +309,4 @@ def redact(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
         return fn
 
     columns = docs.columns
-    return with_columns(docs, [text], "_redacted string", make, (text,)).withColumnRenamed("_redacted", text).select(*columns)
+    return with_columns(docs, [text], "_redacted string", make, (text,)).withColumnRenamed("_redacted", text).select(*[quoted(c) for c in columns])

@@ -30,8 +30,8 @@ def with_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[
     new = StructType.fromDDL(fields)
     gone = {n.casefold() for n in [*new.names, *drop]}
     keep = [c for c in df.columns if c.casefold() not in gone]
-    source = df.select(*[quoted(c) for c in keep], *[quoted(c).alias(f"_input_{i}") for i, c in enumerate(inputs)])
-    schema = StructType([df.schema[c] for c in keep] + new.fields)
+    source = df.select(*[quoted(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], *[quoted(c).alias(f"_input_{i}") for i, c in enumerate(inputs)])
+    schema = StructType([f for f in df.schema.fields if f.name in keep] + new.fields)
     names, n_keep = schema.names, len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
