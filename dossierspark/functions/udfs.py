@@ -15,8 +15,8 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def ratio_at_least(threshold: float):
-    """The ratio where it reaches the threshold, null elsewhere.
+def ratio_at_least(threshold: float, either: bool = False):
+    """The ratio where it reaches the threshold, null elsewhere. It depends on the order; ``either`` takes the larger of both.
 
     The shared characters bound the ratio, so most pairs never reach the block search.
     """
@@ -25,6 +25,8 @@ def ratio_at_least(threshold: float):
         for x, y in zip(a, b):
             m = SequenceMatcher(None, x or "", y or "")
             value = m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
+            if either and value < threshold <= m.quick_ratio():
+                value = SequenceMatcher(None, y or "", x or "").ratio()
             out.append(value if value >= threshold else None)
         return pd.Series(out, dtype="float64")
 

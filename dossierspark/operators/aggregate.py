@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierspark.operators.ranking import ranked, top_n
@@ -61,7 +61,8 @@ def weighted_votes(votes: DataFrame, original: DataFrame, profile: str, letter:
     """Sum of vote weights per letter, only letters of the original code, original order on ties."""
     sums = votes.groupBy(profile, letter).agg(F.sum(weight).alias("votes"))
     kept = original.join(sums, [profile, letter], "left").fillna(0.0, subset=["votes"])
-    return top_n(kept, [profile], [F.col("votes").desc(), F.col(position)], 6, "refined_rank")
+    order = Window.partitionBy(profile).orderBy(F.col("votes").desc(), F.col(position))
+    return kept.withColumn("refined_rank", F.row_number().over(order))
 
 
 def text_stats(df: DataFrame, keys, text: str) -> DataFrame:

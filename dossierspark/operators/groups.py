@@ -8,7 +8,7 @@ groups carried along: no component lands whole in one task and none is cut.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierspark.operators.ranking import ranked
@@ -189,13 +189,12 @@ def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote
 def greedy_ranked(hits: DataFrame, query: str, order, keys, tokens: str, k: int, threshold: float = 0.96) -> DataFrame:
     """Walks each query's ranked hits and skips repeats of any key or near-equal texts, up to k.
 
-    A skipped row registers none of its keys. The hits of a query are limited by the search before.
+    A skipped row registers none of its keys. All hits of a query take part.
     """
     names = [n for n, _ in keys]
     shaped = hits.withColumns({f"_k_{n}": c for n, c in keys}).withColumn("_order", F.struct(*order))
-    from dossierspark.operators.ranking import top_n
-    # The search bounds a query's hits; the row number only fixes their order for pandas.
-    placed = top_n(shaped, [query], [F.col("_order")], 1000, "_pos").drop("_order")
+    # The row number only fixes the order for pandas.
+    placed = shaped.withColumn("_pos", F.row_number().over(Window.partitionBy(query).orderBy("_order"))).drop("_order")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         seen, sets, kept = {n: set() for n in names}, [], []

@@ -21,9 +21,9 @@ def label_fallback(df: DataFrame, chain, out: str, default: str) -> DataFrame:
     labels = []
     for i, (dim, on, label) in enumerate(chain):
         name = f"_label{i}"
-        one = dim.groupBy(*on).agg(F.min(label).alias(name))
+        one = dim.groupBy(*on).agg(F.min(F.nullif(F.trim(F.col(label)), F.lit(""))).alias(name))
         df = df.join(one, list(on), "left")
-        labels.append(F.nullif(F.trim(F.col(name)), F.lit("")))
+        labels.append(F.col(name))
     return df.withColumn(out, F.coalesce(*labels, F.lit(default))).drop(*[f"_label{i}" for i in range(len(chain))])
 
 

@@ -141,7 +141,7 @@ def rerank(hits: DataFrame, boosts, qid: str, cid: str, exact: Column | None, k:
         w = Window.partitionBy(qid)
         out = out.withColumn("_exact", F.coalesce(exact, F.lit(False))).withColumn("_n", F.count_if("_exact").over(w))
         out = out.filter((F.col("_n") < k) | F.col("_exact")).drop("_exact", "_n")
-    return top_n(out, [qid], [F.col("reranked").desc(), F.col(cid)], 1000, "place")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(qid).orderBy(F.col("reranked").desc(), F.col(cid))))
 
 
 def semantic_score(base: Column, overlap: Column, level: Column, allowed: Column, weight: Column) -> tuple[Column, Column]:

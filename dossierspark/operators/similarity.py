@@ -97,7 +97,7 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
 
     With ratio θ at most ``2·n·(1-θ)/θ`` characters of a pair do not match, and each destroys at most
     q of the q-grams of a text of n characters. The rest is shared, which gives the prefix.
-    Equal texts are linked to the smallest id.
+    Equal texts are linked to the smallest id. The ratio depends on the order of its texts; a pair links if either order does.
     """
     if threshold < 0.88:
         raise ValueError("below 0.88 shared 3-grams are not guaranteed")
@@ -113,7 +113,7 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
     pairs = _with_sides(candidates, reps, id_, "_x")
     la, lb = F.length("side_a"), F.length("side_b")
     bounded = pairs.filter(2.0 * F.least(la, lb) / (la + lb) >= threshold)
-    scored = bounded.withColumn("similarity", ratio_at_least(threshold)("side_a", "side_b")).filter(F.col("similarity").isNotNull())
+    scored = bounded.withColumn("similarity", ratio_at_least(threshold, either=True)("side_a", "side_b")).filter(F.col("similarity").isNotNull())
     return scored.select(block, "id_a", "id_b", "similarity").unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
 

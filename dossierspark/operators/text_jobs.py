@@ -177,17 +177,12 @@ def statistic_rows(df: DataFrame, id_: str, text: str, terms, statistic: str, la
     return top_n(keyed, [id_, "doc_type", "_key"], [F.col("position")], 1, "_r").drop("_key", "_r")
 
 
-def pack_context(hits: DataFrame, query: str, rank: str, block: Column, limit: int = 12000,
-                 shortest: int = 20) -> DataFrame:
-    """Ranked blocks joined up to a character limit, the last one cut.
-
-    Each block has at least ``shortest`` characters, so no more than limit/shortest rows per query
-    can matter: that many are kept before the running sum.
-    """
+def pack_context(hits: DataFrame, query: str, rank: str, block: Column, limit: int = 12000) -> DataFrame:
+    """Ranked blocks joined up to a character limit, the last one cut. Blocks may be of any length, also short or empty."""
     blocks = hits.select(query, rank, block.alias("_block"))
-    few = top_n(blocks, [query], [F.col(rank)], limit // shortest + 1, "_r")
-    before = Window.partitionBy(query).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    used = few.withColumn("_used", F.coalesce(F.sum(F.length("_block")).over(before), F.lit(0).cast("long")))
+    order = Window.partitionBy(query).orderBy(F.col(rank), F.col("_block"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    used = blocks.withColumn("_r", F.row_number().over(order)).withColumn("_used", F.coalesce(F.sum(F.length("_block")).over(before), F.lit(0).cast("long")))
     cut = used.filter(F.col("_used") < limit).withColumn(
         "_block", F.substring(F.col("_block"), F.lit(1), (F.lit(limit) - F.col("_used")).cast("int")))
     return cut.groupBy(query).agg(

@@ -141,8 +141,8 @@ def inc_anti_insert(spark, d):
     store = scratch_path(spark, "store")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     tag = lambda df, n: df.select("o_orderkey", F.lit(n).cast("long").alias("batch"), "o_totalprice")
-    incremental.incremental_append(tag(orders.filter("o_orderstatus = 'F'"), 1), store, "o_orderkey")
-    incremental.incremental_append(tag(orders.unionByName(orders), 2), store, "o_orderkey")
+    incremental.incremental_append(tag(orders.filter("o_orderstatus = 'F'"), 1), store, "o_orderkey", [F.col("o_totalprice"), F.col("batch")])
+    incremental.incremental_append(tag(orders.unionByName(orders), 2), store, "o_orderkey", [F.col("o_totalprice"), F.col("batch")])
     return spark.read.parquet(store)
 
 
@@ -151,10 +151,10 @@ def stream_incremental(spark, d):
     source, store, mark = scratch_path(spark, "drops"), scratch_path(spark, "log"), scratch_path(spark, "mark")
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     events.filter("value < 10").write.parquet(source)
-    incremental.ingest_stream(spark, source, events.schema, store, mark, "event_id")
+    incremental.ingest_stream(spark, source, events.schema, store, mark, "event_id", [F.col("user_id"), F.col("event_type"), F.col("value")])
     # The second drop repeats a part of the first; the restarted stream inserts only what is new.
     events.filter("value >= 5 OR value IS NULL").write.mode("append").parquet(source)
-    incremental.ingest_stream(spark, source, events.schema, store, mark, "event_id")
+    incremental.ingest_stream(spark, source, events.schema, store, mark, "event_id", [F.col("user_id"), F.col("event_type"), F.col("value")])
     return spark.read.parquet(store)
 
 

@@ -22,5 +22,5 @@ def load_tables(spark: SparkSession, folder: str, names, prefix: str = "", reimp
             spark.catalog.createTable(full, path=f"{folder}/{name}.parquet", source="parquet")
             report.append((name, "imported", ""))
         except Exception as exc:
-            report.append((name, "failed", str(exc).split("\n")[0][:200]))
+            report.append((name, "failed", str(exc)))
     return spark.createDataFrame(report, "table_name string, status string, message string")

@@ -18,20 +18,20 @@ def stored_ids(spark: SparkSession, path: str, id_: str) -> DataFrame | None:
         raise
 
 
-def incremental_append(new: DataFrame, store: str, id_: str, order=None) -> None:
-    """Insert the rows whose id is not stored; repeated ids inside ``new`` keep their first row."""
-    rows = best_row(new, [id_], order or [F.col(id_)])
+def incremental_append(new: DataFrame, store: str, id_: str, order) -> None:
+    """Insert the rows whose id is not stored; repeated ids inside ``new`` keep their first row in ``order``."""
+    rows = best_row(new, [id_], order)
     known = stored_ids(new.sparkSession, store, id_)
     if known is not None:
         rows = rows.join(known, id_, "left_anti")
     rows.write.mode("append").parquet(store)
 
 
-def ingest_stream(spark: SparkSession, source: str, schema, store: str, checkpoint: str, id_: str) -> None:
+def ingest_stream(spark: SparkSession, source: str, schema, store: str, checkpoint: str, id_: str, order) -> None:
     """Process all files not seen yet, then stop. A replayed batch inserts nothing twice."""
     stream = spark.readStream.schema(schema).parquet(source)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: incremental_append(batch, store, id_))
+        stream.writeStream.foreachBatch(lambda batch, _: incremental_append(batch, store, id_, order))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -1,5 +1,6 @@
 """Operators without a SQL statement, against small models written for the tests."""
 
+import pytest
 import random
 from difflib import SequenceMatcher
 
@@ -218,3 +219,76 @@ def test_knn_block_size_and_ties(spark, monkeypatch):
 def test_dedupe_list_keeps_first_form(spark):
     df = spark.createDataFrame([(["B", "a", "b ", "", "A", "c"],)], "l array<string>")
     assert df.select(X.dedupe_list(F.col("l"))).first()[0] == ["B", "a", "c"]
+
+
+def test_label_fallback_skips_blank_labels(spark):
+    from dossierspark.operators.joins import label_fallback
+    facts = spark.createDataFrame([(1,), (2,)], "k int")
+    dim = spark.createDataFrame([(1, " "), (1, "good"), (2, "")], "k int, label string")
+    got = label_fallback(facts, [(dim, ["k"], "label")], "out", "default").orderBy("k").collect()
+    assert [r["out"] for r in got] == ["good", "default"]
+
+
+def test_greedy_ranked_walks_all_hits(spark):
+    from pyspark.sql import functions as F
+    from dossierspark.operators.groups import greedy_ranked
+    near = [(1, i, ["a", "b", "c"]) for i in range(1200)]
+    rest = [(1, i, [f"t{i}", f"u{i}"]) for i in range(1200, 1500)]
+    hits = spark.createDataFrame(near + rest, "q int, pos int, tokens array<string>")
+    got = greedy_ranked(hits, "q", [F.col("pos")], [("pos", F.col("pos").cast("string"))], "tokens", 8).orderBy("rank").collect()
+    assert [r["pos"] for r in got] == [0, *range(1200, 1207)]
+
+
+def test_rerank_returns_all_hits(spark):
+    from dossierspark.operators.retrieval import rerank
+    hits = spark.createDataFrame([(1, i, float(i % 7)) for i in range(1500)], "q int, c int, score double")
+    assert rerank(hits, [], "q", "c", None, 8).agg({"place": "max"}).first()[0] == 1500
+
+
+def test_pack_context_takes_short_blocks(spark):
+    from pyspark.sql import functions as F
+    from dossierspark.operators.text_jobs import pack_context
+    hits = spark.createDataFrame([(1, i, "abc") for i in range(2000)], "q int, pos int, block string")
+    assert pack_context(hits, "q", "pos", F.col("block")).first()["sources"] == 2000
+
+
+def test_weighted_votes_ranks_every_letter(spark):
+    from dossierspark.operators.aggregate import weighted_votes
+    votes = spark.createDataFrame([("p", c, 1.0) for c in "ABCDEFGHIJ"], "profile string, letter string, w double")
+    original = spark.createDataFrame([("p", c, i) for i, c in enumerate("ABCDEFGHIJ")], "profile string, letter string, position int")
+    assert weighted_votes(votes, original, "profile", "letter", "w", "position").count() == 10
+
+
+def test_ratio_links_if_either_order_does(spark):
+    import pandas as pd
+    from dossierspark.functions.udfs import ratio_at_least
+    df = spark.createDataFrame([("ddbdccbcbadcdbcbabd", "ddbdcdbcbcbadccbcbabd")], "a string, b string")
+    both = [df.select(ratio_at_least(0.8, either=True)(x, y).alias("r")).first()["r"] for x, y in (("a", "b"), ("b", "a"))]
+    assert both[0] is not None and both[1] is not None
+
+
+def test_shared_folder_or_refusal():
+    from types import SimpleNamespace as N
+    from dossierspark.session import shared_dir
+    far = N(conf=N(get=lambda *a: None), sparkContext=N(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
+
+
+def test_incremental_keeps_the_first_row_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from dossierspark.streaming.incremental import incremental_append
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    for _ in range(2):
+        incremental_append(rows, str(tmp_path / "store"), "k", [F.col("v")])
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_loose_quotes_find_the_best_window(spark):
+    from dossierspark.operators.quotes import validate_quotes
+    text = "the river ran past the old mill and the people of the valley lived by its water for many years " * 3
+    quote = "river ran past an old mill and the peoples of the valley lived by the water"
+    rows = spark.createDataFrame([(1, quote, text), (2, "nothing like this stands in that text at all, not one line of it", text), (3, "short one", text)], "k int, q string, c string")
+    valid, failed = validate_quotes(rows, "q", "c", ["k"])
+    assert [(r["k"], r["status"]) for r in valid.collect()] == [(1, "fuzzy_match")]
+    assert {r["k"]: r["detail"] for r in failed.collect()}[3] == "quote too short"
