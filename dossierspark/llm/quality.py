@@ -90,7 +90,7 @@ def fit(samples: list[tuple[str, int]], epochs: int = 6, rate: float = 20.0, see
     for text, _ in samples:
         flat = np.concatenate(features([text])[0])
         at, n = np.unique(flat, return_counts=True)
-        bags.append((at, (n / max(1, len(flat))).astype(np.float32)))
+        bags.append((at.astype(np.int32), (n / max(1, len(flat))).astype(np.float32)))
     total, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):

@@ -14,7 +14,7 @@ from dossierspark.session import table
 
 reg = Registry()
 #: Bounds of what the classifiers learn from.
-TRAIN_DOCS, TRAIN_CHARS = 10_000, 20_000
+TRAIN_DOCS, TRAIN_QUALITY, TRAIN_CHARS = 10_000, 4_000, 20_000
 
 
 @reg.add("op1_byte_bpe")
@@ -56,7 +56,7 @@ def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @reg.add("op5_quality")
 def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_DOCS, TRAIN_CHARS))
+    model = quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_QUALITY, TRAIN_CHARS))
     return quality.score(_held_out(docs.select("doc_id", "text"), 0, 5), model, drop=("text",))
 
 
