@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 LETTERS = re.compile(r"[^\W_]+")
 
 
