@@ -297,6 +297,10 @@ def score_bands(spark, d):
         F.count_if(F.col("level") == "Not observed").alias("open_rows"), F.count_if(F.col("fit") == "Strong fit").alias("strong_rows"))
 
 
+CAUTIONS = ("A share of zero is the indexed value and does not show the absence of impact.", "The source labels this row as no exposure.",
+            "Use the metric only in its source scope.")
+
+
 @reg.add("metric_caution", """
 WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, CASE l_returnflag WHEN 'A' THEN 'task_penetration' WHEN 'R' THEN 'no_exposure' ELSE 'usage' END AS impact, CASE WHEN l_linestatus = 'F' THEN ' count ' ELSE '' END AS unit FROM lineitem),
 u AS (SELECT *, coalesce(nullif(trim(unit), ''), CASE WHEN contains(impact, 'penetration') OR contains(impact, 'exposure') THEN 'share' ELSE '' END) AS shown FROM m)
@@ -308,7 +312,7 @@ def metric_caution(spark, d):
     unit = F.when(F.col("l_linestatus") == "F", F.lit(" count ")).otherwise(F.lit(""))
     rows = table(spark, d, "lineitem").withColumn("impact", impact).withColumn("metric_unit", L.metric_unit(unit, F.lit(""), F.col("impact")))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "metric_unit",
-                       L.metric_caution(F.col("l_discount"), F.col("metric_unit"), F.col("impact")).alias("caution"))
+                       L.metric_caution(F.col("l_discount"), F.col("metric_unit"), F.col("impact"), *CAUTIONS).alias("caution"))
 
 
 POLICY_RULES = [(["example.com/fr", "/de/"], {"source_id": "study_a", "statistics_allowed": True, "chunks_allowed": True, "usage": "statistics_methodology"}),
@@ -382,6 +386,7 @@ def text_guards(spark, d):
 # ---- metric evidence -------------------------------------------------------
 
 METRICS = {"l_quantity": "usage_count", "l_extendedprice": "exposure_value", "l_discount": "automation_share", "l_tax": "feedback_rate"}
+SENTENCES = ({"automation": "A share of automated use.", "observed_usage": "A count of observed use."}, {"ai_task_impact": "About one task."}, "About the whole table.")
 IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "task_text", "match_confidence"]
 _METRIC_SQL = """
 WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linestatus = 'O' THEN p_name ELSE '' END AS task_text, CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'R' THEN 'medium' ELSE 'low' END AS mc,
@@ -396,7 +401,7 @@ def metric_rows(spark, d):
     wide = named_facts(spark, d).withColumns({
         "task_text": F.when(F.col("l_linestatus") == "O", F.col("p_name")).otherwise(F.lit("")),
         "match_confidence": F.when(flag == "A", "high").when(flag == "R", "medium").otherwise("low")})
-    return E.unpivot_metrics(wide, IDS, METRICS, code="l_suppkey", task="task_text")
+    return E.unpivot_metrics(wide, IDS, METRICS, code="l_suppkey", task="task_text", sentences=SENTENCES)
 
 
 @reg.add("evidence_unpivot", _METRIC_SQL + " SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, metric_name, metric_value FROM e")
@@ -418,7 +423,7 @@ SELECT event_id, 'value_text' AS column_name, 'no number in: ' || event_type AS
 def metric_errors(spark, d):
     text = F.when(F.col("event_type") == "error", F.col("event_type")).when(F.col("event_type") == "view", F.lit(" ")).otherwise(F.col("value").cast("string"))
     rows = table(spark, d, "events").withColumns({"value_text": text, "task_text": F.lit(""), "match_confidence": F.lit("low")})
-    _, errors = E.unpivot_metrics(rows, ["event_id", "user_id", "task_text", "match_confidence"], {"value_text": "value_text"}, "user_id", "task_text")
+    _, errors = E.unpivot_metrics(rows, ["event_id", "user_id", "task_text", "match_confidence"], {"value_text": "value_text"}, "user_id", "task_text", SENTENCES)
     return errors.select("event_id", "column_name", "error_message")
 
 
