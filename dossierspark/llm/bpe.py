@@ -16,13 +16,14 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dossierspark.llm.rows import with_columns
+from dossierspark.llm.rows import kept, with_columns
 
 #: Cached pieces a worker; the cache is emptied beyond it.
 CACHED = 250_000
@@ -169,55 +170,72 @@ def split_pieces(pattern, text: str, block: int = BLOCK) -> list[str]:
     return [text[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
 
-_coders: dict[int, tuple] = {}
-
-
 def _coder(rank_file: bytes, pattern: str):
     import regex
 
-    key = hash((rank_file, pattern))
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = TreeBpe(rank_file), regex.compile(pattern), {}
-    return _coders[key]
+    return kept(("bpe", hash((rank_file, pattern))), lambda: (TreeBpe(rank_file), regex.compile(pattern), {}))
+
+
+def _encoder(rank_file: bytes, pattern: str) -> Callable:
+    bpe, compiled, known = _coder(rank_file, pattern)
+
+    def of(piece: str) -> tuple[int, ...]:
+        got = known.get(piece)
+        if got is None:
+            if len(known) > CACHED:
+                known.clear()
+            got = bpe.piece(piece.encode("utf-8", "replace"))
+            if len(piece) <= 64:
+                known[piece] = got
+        return got
+
+    def fn(column):
+        values, offsets = array("i"), [0]
+        for i in range(len(column)):
+            t = column[i].as_py()
+            if t:
+                values.extend(chain.from_iterable(map(of, split_pieces(compiled, t))))
+            offsets.append(len(values))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))
+    return fn
+
+
+def _decoder(rank_file: bytes, pattern: str) -> Callable:
+    bpe = _coder(rank_file, pattern)[0]
+
+    def fn(column):
+        return pa.array([bpe.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) if column[i].is_valid else b""
+                         for i in range(len(column))], pa.binary())
+    return fn
 
 
 def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the token ids of each whole text as ``array<int>``."""
     def make():
-        bpe, compiled, known = _coder(rank_file, pattern)
-
-        def of(piece: str) -> tuple[int, ...]:
-            got = known.get(piece)
-            if got is None:
-                if len(known) > CACHED:
-                    known.clear()
-                got = bpe.piece(piece.encode("utf-8", "replace"))
-                if len(piece) <= 64:
-                    known[piece] = got
-            return got
-
-        def fn(column):
-            values, offsets = array("i"), [0]
-            for i in range(len(column)):
-                t = column[i].as_py()
-                if t:
-                    values.extend(chain.from_iterable(map(of, split_pieces(compiled, t))))
-                offsets.append(len(values))
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))]
-        return fn
+        encoder = _encoder(rank_file, pattern)
+        return lambda column: [encoder(column)]
 
-    return with_columns(df, [text], f"`{ids}` array<int>", make, drop)
+    return with_columns(df, [text], f"`{ids}` array<int>", make, drop, keeps=True)
 
 
 def decode(df: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the bytes of each list of ids."""
     def make():
-        bpe, _, _ = _coder(rank_file, pattern)
+        decoder = _decoder(rank_file, pattern)
+        return lambda column: [decoder(column)]
+
+    return with_columns(df, [ids], f"`{decoded}` binary", make, drop, keeps=True)
+
+
+def round_trip(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+               drop: tuple[str, ...] = ()) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one worker a task instead of two."""
+    def make():
+        encoder, decoder = _encoder(rank_file, pattern), _decoder(rank_file, pattern)
 
         def fn(column):
-            return [pa.array([bpe.decode(column[i].values.to_numpy(zero_copy_only=False).tolist()) if column[i].is_valid else b""
-                              for i in range(len(column))], pa.binary())]
+            coded = encoder(column)
+            return [coded, decoder(coded)]
         return fn
 
-    return with_columns(df, [ids], f"`{decoded}` binary", make, drop)
+    return with_columns(df, [text], f"`{ids}` array<int>, `{decoded}` binary", make, drop, keeps=True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierspark.llm.rows import quoted, with_columns
+from dossierspark.llm.rows import kept, quoted, with_columns
 from dossierspark.session import durable
 
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -124,17 +124,10 @@ def _measure(text: str, vocab: Vocabularies) -> tuple:
             word_chars / n_pieces, float(times @ fallback) / n_pieces, float(-(p * np.log2(p)).sum()))
 
 
-_vocabularies: dict[int, Vocabularies] = {}
-
-
 def measure(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with the base counts, the script and the fertility measures."""
     def make():
-        key = hash((rank_file, pattern, piece_model))
-        if key not in _vocabularies:
-            _vocabularies.clear()
-            _vocabularies[key] = Vocabularies(rank_file, pattern, piece_model)
-        vocab = _vocabularies[key]
+        vocab = kept(("fertility", hash((rank_file, pattern, piece_model))), lambda: Vocabularies(rank_file, pattern, piece_model))
 
         def fn(column):
             rows = [_measure(column[i].as_py() or "", vocab) for i in range(len(column))]
@@ -142,7 +135,7 @@ def measure(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes,
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
         return fn
 
-    return with_columns(docs, [text], FIELDS, make, drop)
+    return with_columns(docs, [text], FIELDS, make, drop, keeps=True)
 
 
 def judge(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, text: str = "text", lang: str = "lang", width: float = 3.0,

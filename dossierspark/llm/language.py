@@ -34,7 +34,6 @@ class Ppm:
     langs: list[str]
     codes: list[np.ndarray]
     counts: list[np.ndarray]
-    key: str = ""
 
     def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """Row of each three-byte context, and per language the bits of each (row, next byte)."""
@@ -95,7 +94,6 @@ def fit(samples: list[tuple[str, str]]) -> Ppm:
         codes, counts = np.unique(np.concatenate(parts), return_counts=True)
         model.codes.append(codes.astype(np.uint32))
         model.counts.append(counts)
-    model.key = f"{len(samples)}-{hash(tuple(int(c.sum() % (1 << 61)) for c in model.codes))}-{'/'.join(model.langs)}"
     return model
 
 
@@ -112,9 +110,6 @@ def learn(docs: DataFrame, per_lang: int = 300, max_chars: int = 20_000, mod: in
     return fit([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"]))])
 
 
-_tables: dict[str, tuple] = {}
-
-
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -142,10 +137,7 @@ def code_lengths(texts: list[str], rows: np.ndarray, bits: list[np.ndarray]) ->
 def identify(docs: DataFrame, model: Ppm, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with lang_pred, score (the winner's posterior) and bits_per_byte under the winner."""
     def make():
-        if model.key not in _tables:
-            _tables.clear()
-            _tables[model.key] = model.tables()
-        rows, bits = _tables[model.key]
+        rows, bits = model.tables()
 
         def fn(column):
             texts = column.to_pylist()

@@ -13,19 +13,38 @@ from dossierspark.session import is_at_most
 
 #: Rows up to which a side is broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Arrow bytes that a Python function gets at once, and about what it gives back; a longer row comes alone.
+CUT_BYTES = 8 << 20
 #: Characters that one numpy pass handles at once.
 PASS_CHARS = 2_000_000
 
 
+_kept: dict = {}
+
+
+def kept(key, build: Callable):
+    """Tables of one operator that a worker keeps from task to task. There is one place: another operator's tables take it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def release() -> None:
+    _kept.clear()
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable], drop: tuple[str, ...] = ()) -> DataFrame:
+def with_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable], drop: tuple[str, ...] = (),
+                 keeps: bool = False) -> DataFrame:
     """``df`` with the columns of ``fields`` that a Python function computes from Arrow columns.
 
     ``make()`` runs once per task and returns ``fn(*input columns) -> list of arrays``. Columns of ``df`` that
-    are named like a new one (in any case) are replaced; those in ``drop`` are read but not returned.
+    are named like a new one (in any case) are replaced; those in ``drop`` are read but not returned. Unless ``make`` ``keeps`` tables
+    in the worker, those of an earlier operator are released first.
     """
     new = StructType.fromDDL(fields)
     gone = {n.casefold() for n in [*new.names, *drop]}
@@ -35,10 +54,14 @@ def with_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[
     names, n_keep = schema.names, len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         fn = make()
         for batch in batches:
-            made = fn(*batch.columns[n_keep:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=names)
+            rows = max(1, batch.num_rows * CUT_BYTES // max(batch.nbytes, CUT_BYTES))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *fn(*part.columns[n_keep:])], names=names)
 
     return source.mapInArrow(run, schema)
 
