@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +36,15 @@ def release() -> None:
     _kept.clear()
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system, so that a worker that waits for its next task holds little memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -62,6 +73,8 @@ def with_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *fn(*part.columns[n_keep:])], names=names)
+        fn = batch = part = None
+        give_back()
 
     return source.mapInArrow(run, schema)
 
