@@ -66,6 +66,17 @@ def test_every_token_is_reached():
     assert all(map(own.is_token, own.ranks))
 
 
+def test_round_trip_in_cut_batches(spark, monkeypatch):
+    """One row a batch, or all: the same as encoding and decoding one after the other, with a null and an empty text."""
+    docs = spark.createDataFrame([(1, "caf\u00e9 au lait " * 9), (2, None), (3, ""), (4, "x"), (4, "x")], "doc_id long, text string")
+    args = RANKS, public_tokenizers.PATTERN
+    want = sorted(tuple(r) for r in bpe.decode(bpe.encode(docs, *args, drop=("text",)), *args).collect())
+    monkeypatch.setattr("dossierspark.llm.rows.CUT_BYTES", 1)
+    got = bpe.round_trip(docs, *args, drop=("text",)).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert [bytes(r["decoded"]).decode() for r in sorted(got)[:3]] == ["caf\u00e9 au lait " * 9, "", ""]
+
+
 def test_op1_digests(spark, odd):
     coder = encoding()
     for source in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
