@@ -2,9 +2,10 @@
 
 Two public vocabularies encode every word: a byte-level BPE (ranks file) and a piece BPE with byte fallback. Per document:
 characters per token of both, the share of byte-fallback tokens, and the entropy of the byte-level token ids. A band per language
-(per script where the language is null) comes from the quartiles over all documents that pass the base rules: from q1 - width (q3 - q1)
-to q3 + width (q3 - q1); entropy grows with length, so its bands are per language and power of two of the token count. A document
-outside a band is rejected. Bands of fewer than ``LEAST`` documents, and of one value only, reject nothing.
+(per script where the language is null) comes from the quartiles over the distinct texts that pass the base rules, so copies count
+once: from q1 - width (q3 - q1) to q3 + width (q3 - q1), at least ``SPREAD`` beyond the quartiles, also where they are equal. Entropy
+grows with length, so its bands are per language and power of two of the token count. A document outside a band is rejected. Bands
+of fewer than ``LEAST`` texts reject nothing.
 
 Base rules: at least 50 words, at most half of the words in three-word windows that occur twice or more.
 
@@ -34,6 +35,8 @@ SCRIPTS = [("latin", r"[A-Za-zÀ-ɏ]"), ("greek", r"[Ͱ-Ͽ]"), ("cyrillic", r"[
            ("hangul", r"[가-힯]")]
 _compiled = [(name, re.compile(p)) for name, p in SCRIPTS]
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy")
+#: The least that a band goes beyond its quartiles: so much, and so large a share of the upper quartile.
+SPREAD = {"chars_per_token": (0.0, 0.05), "chars_per_piece": (0.0, 0.05), "byte_share": (0.02, 0.0), "entropy": (0.0, 0.05)}
 FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, "
           "chars_per_token double, chars_per_piece double, byte_share double, entropy double")
 
@@ -141,26 +144,33 @@ def measure(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes,
 def judge(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, text: str = "text", lang: str = "lang", width: float = 3.0,
           drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with counts, measures, base_failed and kept (inside all bands)."""
-    inner = measure(docs.withColumn("_lang", F.col(lang)), rank_file, pattern, piece_model, text, drop)
+    hashed = docs.withColumn("_lang", F.col(lang)).withColumn("_text", F.xxhash64(quoted(text)))
+    inner = measure(hashed, rank_file, pattern, piece_model, text, drop)
     words, repeats = F.col("n_words"), F.col("n_repeat_words")
     rows = durable(inner.withColumn("base_failed", (words < 50) | (100 * repeats > 50 * words))
                    .withColumn("_key", F.coalesce("_lang", F.concat(F.lit("script "), "script"))).drop("_lang")
                    .withColumn("_size", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")))
+    return banded(rows, width)
+
+
+def banded(rows: DataFrame, width: float) -> DataFrame:
+    """Measured ``rows`` with kept; the columns _key, _size and _text (a hash of the text) go."""
+    texts = rows.filter(~F.col("base_failed")).select("_text", "_key", "_size", *MEASURES).distinct()
 
     def bands(keys: list[str], measures, tag: str) -> DataFrame:
-        quartiles = rows.filter(~F.col("base_failed")).groupBy(*keys).agg(
+        quartiles = texts.groupBy(*keys).agg(
             F.count(F.lit(1)).alias(f"_n{tag}"), *[F.percentile_approx(m, [0.25, 0.75], 10000).alias(f"_q_{m}") for m in measures])
         return quartiles.filter(F.col(f"_n{tag}") >= LEAST)
 
     def inside(m: str):
         q1, q3 = F.col(f"_q_{m}")[0], F.col(f"_q_{m}")[1]
-        spread = F.greatest(width * (q3 - q1), F.lit(0.02 if m == "byte_share" else 0.0))
-        wide = F.lit(m == "byte_share") | (q3 > q1)
-        return F.coalesce(~wide | F.col(m).between(q1 - spread, q3 + spread), F.lit(True))
+        least, share = SPREAD[m]
+        spread = F.greatest(width * (q3 - q1), least + share * q3)
+        return F.coalesce(F.col(m).between(q1 - spread, q3 + spread), F.lit(True))
 
     placed = rows.join(bands(["_key"], MEASURES[:3], "1"), "_key", "left").join(bands(["_key", "_size"], MEASURES[3:], "2"), ["_key", "_size"], "left")
     fine = inside(MEASURES[0])
     for m in MEASURES[1:]:
         fine = fine & inside(m)
     return placed.withColumn("kept", ~F.col("base_failed") & fine).select(
-        *[quoted(c) for c in rows.columns if c not in ("_key", "_size")], "kept")
+        *[quoted(c) for c in rows.columns if c not in ("_key", "_size", "_text")], "kept")

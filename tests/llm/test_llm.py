@@ -236,6 +236,35 @@ def test_fertility_of_odd_rows(spark, odd):
     assert fertility.judge(empty(spark, odd), RANKS, public_tokenizers.PATTERN, PIECES).count() == 0
 
 
+def judged(spark, texts):
+    """Kept or not, of texts of one language, or of (text, language)."""
+    pairs = [t if isinstance(t, tuple) else (t, "en") for t in texts]
+    docs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_id long, text string, lang string")
+    got = fertility.judge(docs, RANKS, public_tokenizers.PATTERN, PIECES, drop=("text", "lang")).collect()
+    return [r["kept"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def clean_and_junk(n, seed=8):
+    """``n`` clean texts of one vocabulary, and one of rare letter groups."""
+    rng = random.Random(seed)
+    words = [w for t, _ in made_texts(40, 4) for w in t.split()]
+    return [" ".join(rng.sample(words, 80)) for _ in range(n)], " ".join("".join(rng.choice("xqzjkvw") for _ in range(12)) for _ in range(80))
+
+
+def test_copies_do_not_set_the_bands(spark):
+    clean, junk = clean_and_junk(60)
+    rng, shuffled = random.Random(1), []
+    for _ in range(200):  # other texts of the very same measures
+        w = clean[0].split()
+        rng.shuffle(w)
+        shuffled.append(" ".join(w))
+    alone = judged(spark, [*clean, junk])
+    assert all(alone[:60]) and not alone[60]
+    assert judged(spark, [*clean, junk] + clean[:1] * 200)[:61] == alone
+    assert not judged(spark, [*clean, junk, *shuffled])[60]
+
+
+
 # 6: hosts
 
 def test_rules_and_bound(spark):
