@@ -4,8 +4,12 @@ Two public vocabularies encode every word: a byte-level BPE (ranks file) and a p
 characters per token of both, the share of byte-fallback tokens, and the entropy of the byte-level token ids. A band per language
 (per script where the language is null) comes from the quartiles over the distinct texts that pass the base rules, so copies count
 once: from q1 - width (q3 - q1) to q3 + width (q3 - q1), at least ``SPREAD`` beyond the quartiles, also where they are equal. Entropy
-grows with length, so its bands are per language and power of two of the token count. A document outside a band is rejected. Bands
-of fewer than ``LEAST`` texts reject nothing.
+grows with length, so its bands are per language and power of two of the token count. A document outside a band is rejected.
+
+A band of fewer than ``LEAST`` texts gives way to a wider one: language, script, all; for entropy language and size, script and size,
+size, and then as many sizes on either side as give ``LEAST`` texts, or all. The widest ones hold with any number of texts. A text
+twice as long has the same entropy or up to one bit more, so a band goes up a bit for each size below it that it takes from, and
+down for each above. A language that takes the band of its script or of all texts is held to the fertility of the others.
 
 Base rules: at least 50 words, at most half of the words in three-word windows that occur twice or more.
 
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierspark.llm.rows import kept, quoted, with_columns
+from dossierspark.llm.rows import checked_broadcast, kept, quoted, with_columns
 from dossierspark.session import durable
 
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -155,22 +159,55 @@ def judge(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, t
 
 def banded(rows: DataFrame, width: float) -> DataFrame:
     """Measured ``rows`` with kept; the columns _key, _size and _text (a hash of the text) go."""
-    texts = rows.filter(~F.col("base_failed")).select("_text", "_key", "_size", *MEASURES).distinct()
-
-    def bands(keys: list[str], measures, tag: str) -> DataFrame:
-        quartiles = texts.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias(f"_n{tag}"), *[F.percentile_approx(m, [0.25, 0.75], 10000).alias(f"_q_{m}") for m in measures])
-        return quartiles.filter(F.col(f"_n{tag}") >= LEAST)
+    texts = durable(rows.filter(~F.col("base_failed")).select("_text", "_key", "script", "_size", *MEASURES).distinct())
+    bands = durable(chosen_bands(texts))
 
     def inside(m: str):
-        q1, q3 = F.col(f"_q_{m}")[0], F.col(f"_q_{m}")[1]
+        q1, q3, between = (F.col(f"_q_{m}")[k] for k in range(3))
         least, share = SPREAD[m]
-        spread = F.greatest(width * (q3 - q1), least + share * q3)
-        return F.coalesce(F.col(m).between(q1 - spread, q3 + spread), F.lit(True))
+        spread = F.greatest(width * between, least + share * q3)
+        return F.col(m).between(q1 - spread, q3 + spread)
 
-    placed = rows.join(bands(["_key"], MEASURES[:3], "1"), "_key", "left").join(bands(["_key", "_size"], MEASURES[3:], "2"), ["_key", "_size"], "left")
-    fine = inside(MEASURES[0])
-    for m in MEASURES[1:]:
+    fine = ~F.col("base_failed")
+    for m in MEASURES:
         fine = fine & inside(m)
-    return placed.withColumn("kept", ~F.col("base_failed") & fine).select(
+    return rows.join(checked_broadcast(bands), ["_key", "script", "_size"], "left").withColumn("kept", fine).select(
         *[quoted(c) for c in rows.columns if c not in ("_key", "_size", "_text")], "kept")
+
+
+def chosen_bands(texts: DataFrame) -> DataFrame:
+    """The quartiles, and the range between them, that hold for each _key, script and _size: of the narrowest group of at least ``LEAST`` of the distinct ``texts``."""
+    once = texts.drop("_key").distinct()  # a text of several languages counts once above them
+    counts = {r["_size"]: r["count"] for r in once.groupBy("_size").count().collect()}
+    reach = neighbours(counts) or {0: [0]}
+    near = F.create_map(*[x for size, of in reach.items() for x in (F.lit(size), F.array(*map(F.lit, of)))])
+    pooled = once.withColumn("_own", F.col("_size")).withColumn("_size", F.explode(near[F.col("_own")]))
+    longer = F.col("_size") - F.col("_own")
+    out = texts.select("_key", "script", "_size").distinct().withColumn("_all", F.lit(0))
+    levels = {MEASURES[:3]: [(texts, ["_key"]), (once, ["script"]), (once.withColumn("_all", F.lit(0)), ["_all"])],
+              MEASURES[3:]: [(texts, ["_key", "_size"]), (once, ["script", "_size"]), (pooled, ["_size"])]}
+    for measures, groups in levels.items():
+        tags = [f"_band_{measures[0]}_{k}" for k in range(len(groups))]
+        for tag, (of, keys) in zip(tags, groups):
+            least = 1 if tag == tags[-1] else LEAST
+            down, up = (F.least(longer, F.lit(0)), F.greatest(longer, F.lit(0))) if of is pooled else (F.lit(0), F.lit(0))
+            quartile = lambda c, share: F.percentile_approx(c, share, 10000)
+            low_high = [F.array(quartile(F.col(m) + down, 0.25), quartile(F.col(m) + up, 0.75), quartile(m, 0.75) - quartile(m, 0.25)).alias(m)
+                        for m in measures]
+            band = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.struct(*low_high).alias(tag)).filter(F.col("_n") >= least).drop("_n")
+            out = out.join(band, keys, "left")
+        held = F.coalesce(*tags)
+        out = out.withColumns({f"_q_{m}": held[m] for m in measures}).drop(*tags)
+    return out.drop("_all")
+
+
+def neighbours(counts: dict[int, int]) -> dict[int, list[int]]:
+    """For each size the sizes whose bands take its texts: its own, and those too sparse without it."""
+    reach: dict[int, list[int]] = {size: [] for size in counts}
+    for size in counts:
+        by_distance = sorted({abs(s - size) for s in counts})
+        held = next((d for d in by_distance if sum(n for s, n in counts.items() if abs(s - size) <= d) >= LEAST), by_distance[-1])
+        for s in counts:
+            if abs(s - size) <= held:
+                reach[s].append(size)
+    return reach

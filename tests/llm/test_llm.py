@@ -264,6 +264,19 @@ def test_copies_do_not_set_the_bands(spark):
     assert not judged(spark, [*clean, junk, *shuffled])[60]
 
 
+def test_sparse_keys_have_a_band(spark):
+    clean, junk = clean_and_junk(70)
+    rare, long_ = (clean[0], "it"), (" ".join(clean[:60]), "en")
+    looped = " ".join(" ".join(random.Random(i).sample(clean[0].split()[:9], 9)) for i in range(500))
+    got = judged(spark, [*clean, rare, (junk, "it"), long_, looped])
+    assert all(got[:71]) and got[71:] == [False, True, False]
+    assert judged(spark, clean[:5]) == [True] * 5 and not judged(spark, [*clean[:12], junk])[12]
+
+
+def test_sparse_sizes_pool_their_neighbours():
+    assert fertility.neighbours({6: 30, 7: 5, 8: 3, 12: 40, 13: 1}) == {6: [6, 7, 8], 7: [7, 8], 8: [7, 8], 12: [12, 13], 13: [13]}
+    assert fertility.neighbours({3: 1, 5: 2}) == {3: [3, 5], 5: [3, 5]} and fertility.neighbours({}) == {}
+
 
 # 6: hosts
 
