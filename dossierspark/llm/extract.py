@@ -7,6 +7,9 @@ ends at a *dive* point, where it falls to nothing. The threshold is a small shar
 articles count too. Everything between surge and dive is kept; if the page marks its article (article or main element), only
 what is inside weighs.
 
+Link text is that of an anchor with a target, up to its end tag. Anchors do not nest: one that has no end tag before the next anchor
+starts lost it, and its text ends with the line.
+
 Defined results: null or empty pages, and pages without such text, give an empty text; unclosed elements end with the page, or where the
 article starts; character references are decoded once; repeated rows get equal rows; other columns pass through.
 """
@@ -25,6 +28,8 @@ WINDOW, SHARE, MOST = 3, 0.1, 40
 RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z|<\Z")
 NAMES = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+TARGET = re.compile(r"""(?i)(?:^|[\s"'/])href\s*=""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 #: Elements that start a line, that have no end tag, and that never hold the article.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -51,16 +56,35 @@ def is_boiler(name: str, attributes: str) -> bool:
     return False
 
 
+def anchor_ends(tags: list[re.Match]) -> dict[int, int]:
+    """Of each anchor that starts in ``tags`` and has an end tag before the next one starts: the places of both."""
+    ends: dict[int, int] = {}
+    start = None
+    for i, m in enumerate(tags):
+        if (m[2] or m[5] or "") not in ("a", "A"):
+            continue
+        if not (m[1] or m[4]):
+            if not SELF_CLOSED.search(m[3] or m[6] or ""):
+                start = i
+        elif start is not None:
+            ends[start], start = i, None
+    return ends
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the marked article) of each line; dropped lines are empty."""
     source = RAW.sub(" ", page)
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    weight = links = marked = 0
+    weight = marked = 0
     drop, depth = "", 0
+    tags = list(TAG.finditer(source))
+    ends = anchor_ends(tags)
+    linked, until = False, None  # in link text, up to this tag or else to the end of the line
 
     def close():
-        nonlocal weight
+        nonlocal weight, linked
+        linked = linked and until is not None
         line = " ".join(html.unescape("".join(text)).split())
         out.append((line, min(len(line), weight), marked > 0))
         text.clear()
@@ -70,13 +94,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal weight
         if part and not drop:
             text.append(part)
-            if not links:
+            if not linked:
                 weight += len(part.strip())
 
     at = 0
-    for m in TAG.finditer(source):
+    for i, m in enumerate(tags):
         take(source[at:m.start()])
         at = m.end()
+        if until is not None and i >= until:
+            linked, until = False, None
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -97,9 +123,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append(" ")
         if name in ("article", "main"):
             marked = max(0, marked + (-1 if ending else 1))
-        elif name == "a":
-            links = max(0, links - 1) if ending else 1
-        if not ending and name not in VOID and is_boiler(name, m[3] or m[6] or ""):
+        elif name == "a" and not ending and not SELF_CLOSED.search(m[3] or m[6] or ""):
+            linked, until = bool(TARGET.search(m[3] or m[6] or "")), ends.get(i)
+        if not ending and name not in VOID and (name != "a" or i in ends) and is_boiler(name, m[3] or m[6] or ""):
             close()
             drop, depth = name, 1
     take(source[at:])

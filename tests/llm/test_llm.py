@@ -435,6 +435,22 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("anchor", ["<a name='top'>", "<a id='x'/>", "<a id='comments'/>", "<a href='/x'>Home", "<a class='skip-link' href='#m'>Skip", "<a name=t>T</a>",
+                                    "<a href='/x'>Home<div class='ad'>x</a></div>", "<a href='/x'>Home<nav><a href='/y'>y</a></nav>"])
+def test_anchors_without_an_end(anchor):
+    part = "long text of the page " * 9
+    for page in ("<body>{}<div><p>{}</p><p>{}</p></div>", "<body><article>{}<p>{}</p><p>{}</p></article><footer><a href='/z'>z</a></footer>"):
+        text = extract.main_text(page.format(anchor, part, part))
+        assert text.endswith(f"{part.strip()}\n\n{part.strip()}"), text
+    text = extract.main_text(f"<div><p>{part}</p>{anchor}<p>{part}</p><p>{part}</p><p>{part}</p><p>{part}</p><p>{part}</p></div>")
+    assert text.count(part.strip()) == 6
+
+
+def test_links_over_blocks_still_weigh_nothing():
+    card = "<a href=http://x.org/><div>teaser of another page, long enough</div><p>more of the teaser</p></a>"
+    assert [w for line, w, _ in extract.lines_of(f"<div>{card * 3}</div>") if line] == [0] * 6
+
+
 def test_extract_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "u", 3), (2, "<p>" + "x " * 200000, "u", 4), (2, "<p>" + "x " * 200000, "u", 4)], "page_id long, html string, url string, TEXT int")
     got = extract.extract(pages).orderBy("page_id").collect()
