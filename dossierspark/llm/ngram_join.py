@@ -9,7 +9,7 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 3. *Shared.* A document that shares fewer than c of its whole set with all others together has no partner.
 4. *Adaptive prefix.* A document sorts its shared tokens by rising frequency. Of p tokens with c needed ones, the first p - c + m
    hold m needed ones. m is 1 where the tokens are rare and grows with their mean frequency, the estimated number of candidates,
-   so that costly prefixes get longer and a pair needs m common tokens before it is verified.
+   so that costly prefixes get longer. That a pair has m common tokens is not required before it is verified: one is enough.
 5. *Hubs first.* Each token's documents are compared with its most central one, which a family of near copies mostly
    links to; the components of these links are contracted, and only pairs of different components remain to be found.
 6. Tokens of up to ``COMMON`` documents give these pairs by a join, ``COMMON`` rows a token row at most. For more frequent tokens, the documents of a
