@@ -4,9 +4,9 @@ The field tags words (runs without white space) with O, EMAIL, IP, SECRET and be
 shape (character classes, runs collapsed), length class, digit count class, affix classes and a few character tests. It is trained by gradient
 ascent on the small table in ``pii_examples`` and decoded by Viterbi, in numpy batches.
 
-A word of letters and plain punctuation has one feature. If its O score leads every other tag by more than the transitions could ever win
-back, O is its tag in the best path, and the chain falls apart there; only stretches of other words are decoded, which
-changes no tag. Words with a digit or one of ``@ = +`` are such others.
+A word without a digit or one of ``@ = +`` is plain and has one feature. After training its O score is set to lead every other tag by more
+than the transitions could ever win back, so O is its tag in the best path, and the chain falls apart there; only stretches of
+other words are decoded. So secrets of letters alone after a space or colon are not found, nor numbers split by a lone separator.
 
 Spans of the fixed patterns always stay; a span of the field is added where it touches none of them and holds what its kind demands
 (a card number passes the Luhn test, an address has four parts up to 255, a phone number 9 to 15 digits).
