@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dossierspark.functions import rules as RU
 from dossierspark.functions import text as X
 from dossierspark.operators.ranking import top_n
+from dossierspark.session import durable, is_at_most
 
 
 def paragraph_units(df: DataFrame, id_: str, text: str, sep: str = r"\n[ \t]*\n", keep=()) -> DataFrame:
@@ -177,9 +178,28 @@ def statistic_rows(df: DataFrame, id_: str, text: str, terms, statistic: str, la
     return top_n(keyed, [id_, "doc_type", "_key"], [F.col("position")], 1, "_r").drop("_key", "_r")
 
 
+def opening_ranks(blocks: DataFrame, query: str, rank: str, length: Column, limit: int) -> DataFrame:
+    """(query, rank) of the blocks that start within the first ``limit`` characters, counted from lengths in range-sorted slices."""
+    sums = blocks.groupBy(query, rank).agg(F.coalesce(F.sum(length), F.lit(0)).alias("_chars"))
+    placed = durable(sums.repartitionByRange(query, rank).withColumn("_slice", F.spark_partition_id()))
+    earlier = Window.partitionBy(query).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_slice", query).agg(F.sum("_chars").alias("_all"))
+               .withColumn("_offset", F.coalesce(F.sum("_all").over(earlier), F.lit(0))).drop("_all"))
+    before = Window.partitionBy("_slice", query).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("_before", F.coalesce(F.sum("_chars").over(before), F.lit(0)))
+    match = (F.col("a._slice") == F.col("b._slice")) & F.col(f"a.{query}").eqNullSafe(F.col(f"b.{query}"))
+    return inside.alias("a").join(offsets.alias("b"), match).filter(F.col("_before") + F.col("_offset") < limit).select(f"a.{query}", f"a.{rank}")
+
+
 def pack_context(hits: DataFrame, query: str, rank: str, block: Column, limit: int = 12000) -> DataFrame:
-    """Ranked blocks joined up to a character limit, the last one cut. Blocks may be of any length, also short or empty."""
-    blocks = hits.select(query, rank, block.alias("_block"))
+    """Ranked blocks joined up to a character limit, the last one cut. Blocks may be of any length, also short or empty.
+
+    Only the blocks of ranks that start within the limit are sorted with their texts.
+    """
+    whole = hits.select(query, rank, block.alias("_block"))
+    opening = durable(opening_ranks(whole, query, rank, F.length("_block"), limit).select(F.col(query).alias("_query"), F.col(rank).alias("_rank")))
+    opening = F.broadcast(opening) if is_at_most(opening, 500_000) else opening
+    blocks = whole.join(opening, F.col(query).eqNullSafe(F.col("_query")) & F.col(rank).eqNullSafe(F.col("_rank")), "left_semi")
     order = Window.partitionBy(query).orderBy(F.col(rank), F.col("_block"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     used = blocks.withColumn("_r", F.row_number().over(order)).withColumn("_used", F.coalesce(F.sum(F.length("_block")).over(before), F.lit(0).cast("long")))

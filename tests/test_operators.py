@@ -252,6 +252,23 @@ def test_pack_context_takes_short_blocks(spark):
     assert pack_context(hits, "q", "pos", F.col("block")).first()["sources"] == 2000
 
 
+def test_pack_context_sorts_texts_of_the_opening_only(spark):
+    from pyspark.sql import functions as F
+    from dossierspark.operators.text_jobs import opening_ranks, pack_context
+    rows = [(q, pos, f"{pos:03d}" * 10) for q in ("a", None) for pos in range(300)] + [("a", 1, "zz"), ("a", 1, "b"), ("c", None, ""), ("c", 2, None), ("c", 3, "x" * 90)]
+    hits = spark.createDataFrame(rows, "q string, pos int, block string").repartition(7)
+    want = {}
+    for q in ("a", None, "c"):
+        used, taken = 0, []
+        for _, b in sorted(((-1 if p is None else p, b) for k, p, b in rows if k == q), key=lambda x: (x[0], x[1] or "")):
+            if used < 100:
+                taken.append(None if b is None else b[:100 - used])
+                used += len(b or "")
+        want[q] = ("\n\n".join(t for t in taken if t is not None), len(taken))
+    assert {r["q"]: (r["context"], r["sources"]) for r in pack_context(hits, "q", "pos", F.col("block"), 100).collect()} == want
+    assert opening_ranks(hits, "q", "pos", F.length("block"), 100).groupBy("q").count().agg(F.max("count")).first()[0] == 4
+
+
 def test_weighted_votes_ranks_every_letter(spark):
     from dossierspark.operators.aggregate import weighted_votes
     votes = spark.createDataFrame([("p", c, 1.0) for c in "ABCDEFGHIJ"], "profile string, letter string, w double")
