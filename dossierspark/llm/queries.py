@@ -1,4 +1,4 @@
-"""The ten operators bound to the shared tables, one query each, and the pipeline."""
+"""The operators bound to the shared tables, one query each, and the pipeline."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierspark.llm import bpe, decontaminate, extract, fertility, host_reputation, language, ngram_join, pii, quality, toxicity
+from dossierspark.llm import ball_tree, bpe, decontaminate, extract, fertility, host_reputation, language, ngram_join, pii, quality, toxicity, warc, whitening
 from dossierspark.llm.rows import crc_rest, labelled_sample
-from dossierspark.llm.sql import CONTAINED, JACCARD, REPUTATION
+from dossierspark.llm.sql import ARCHIVED, CONTAINED, JACCARD, RANKED, REPUTATION
 from dossierspark.plans.registry import Registry
 from dossierspark.session import table
 
@@ -95,3 +95,19 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop=("html",))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@reg.add("op11_ranked_search", RANKED)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@reg.add("op12_warc", ARCHIVED)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@reg.add("op13_whitening")
+def whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors), drop=("embedding",))

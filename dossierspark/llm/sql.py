@@ -73,3 +73,31 @@ SELECT page_id, url, host, path, rule,
        WHEN upper_bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict, good_rate, upper_bound
 FROM x
 """
+
+#: Terms are runs of a-z, digits and characters beyond ASCII, A-Z lower-cased; whole-number scores.
+RANKED = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+lengths AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM words),
+totals AS (SELECT count(*) FILTER (n > 0) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lengths),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t
+  FROM benchmark),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM words) WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS wt FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals),
+entries AS (
+  SELECT doc_id, t, wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))) AS v
+  FROM tf JOIN weights USING (t) JOIN lengths USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN entries USING (t) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+ARCHIVED = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
