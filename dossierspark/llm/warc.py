@@ -6,7 +6,8 @@ is repeated or lost leaves an archive that no index row names. Html is not shuff
 
 *Read.* The wanted index rows are range-partitioned by archive and offset. A task merges sorted ranges that lie within ``GAP`` bytes of
 each other into one read of at most ``SPAN`` bytes (a longer record is a read of its own), cuts the records out, checks them against
-the digest and parses them. One large archive is read by many tasks.
+the digest and parses them. There are as many tasks as cores at least, and one for about ``TASK_BYTES`` of records, however short
+their index rows are. One large archive is read by many tasks.
 
 Files go through ``pyarrow.fs``, so the shared folder may lie in any store that it opens.
 
@@ -35,7 +36,7 @@ from dossierspark.llm.rows import checked_broadcast, give_back, quoted
 from dossierspark.session import durable, scratch_path
 
 ARCHIVE_BYTES, LEAST = 1 << 30, 100
-GAP, SPAN = 64 << 10, 8 << 20
+GAP, SPAN, TASK_BYTES = 64 << 10, 8 << 20, 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "archive string, offset long, length long, id long, url string, digest string, record_type string"
 RECORD = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -210,7 +211,10 @@ def read(selected: DataFrame, payload: bool = True, gap: int = GAP, span: int =
             yield pa.RecordBatch.from_pylist(out, types)
         give_back()
 
-    placed = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    wanted = selected.select("archive", "offset", "length")
+    total = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES + 1)
+    placed = wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return placed.mapInArrow(run, RECORD)
 
 
