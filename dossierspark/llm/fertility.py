@@ -32,12 +32,10 @@ from dossierspark.session import durable
 
 SYMBOLS, WHITE = "#*$%&|<>", " \t\n\x0b\x0c\r"
 LEAST = 20
-CACHED = 150_000
 #: Scripts by code point ranges, for documents without a language.
 SCRIPTS = [("latin", r"[A-Za-zÀ-ɏ]"), ("greek", r"[Ͱ-Ͽ]"), ("cyrillic", r"[Ѐ-ӿ]"), ("hebrew", r"[֐-׿]"),
            ("arabic", r"[؀-ۿ]"), ("devanagari", r"[ऀ-ॿ]"), ("kana", r"[぀-ヿ]"), ("han", r"[一-鿿]"),
            ("hangul", r"[가-힯]")]
-_compiled = [(name, re.compile(p)) for name, p in SCRIPTS]
 MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy")
 #: The least that a band goes beyond its quartiles: so much, and so large a share of the upper quartile.
 SPREAD = {"chars_per_token": (0.0, 0.05), "chars_per_piece": (0.0, 0.05), "byte_share": (0.02, 0.0), "entropy": (0.0, 0.05)}
@@ -45,17 +43,27 @@ FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "chars_per_token double, chars_per_piece double, byte_share double, entropy double")
 
 
+def _scripts() -> np.ndarray:
+    """Number of the script of every code point below 2^16; ``len(SCRIPTS)`` is none of them."""
+    out = np.full(1 << 16, len(SCRIPTS), np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 1 << 16)]))
+    for i, (_, pattern) in enumerate(SCRIPTS):
+        out[[ord(c) for c in re.findall(pattern, every)]] = i
+    return out
+
+
+SCRIPT_AT = _scripts()
+
+
 def script_of(text: str) -> str:
     """The script with most of the text's letters, the first listed at a tie; ``none`` without any."""
-    if text.isascii():
-        return "latin" if _compiled[0][1].search(text) else "none"
-    counts = [(len(rx.findall(text)), -i) for i, (_, rx) in enumerate(_compiled)]
-    most, i = max(counts)
-    return SCRIPTS[-i][0] if most else "none"
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    counts = np.bincount(SCRIPT_AT[points[points < 1 << 16]], minlength=len(SCRIPTS))[:len(SCRIPTS)]
+    return SCRIPTS[int(counts.argmax())][0] if counts.any() else "none"
 
 
 class Vocabularies:
-    """Per word: ids of the byte-level BPE, number of pieces and of byte-fallback pieces."""
+    """Both vocabularies; words are encoded on their own, each once a batch."""
 
     def __init__(self, rank_file: bytes, pattern: str, piece_model: bytes):
         import sentencepiece
@@ -63,22 +71,28 @@ class Vocabularies:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.starts_word = np.zeros(max(ranks.values()) + 1, bool)
+        self.starts_word[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         self.is_byte = np.array([self.pieces.IsByte(i) for i in range(self.pieces.GetPieceSize())])
-        self.known: dict[str, tuple] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-level ids of all words, each after a blank, and how many each word has."""
+        flat = np.array(self.bpe.encode_ordinary(" " + " ".join(words)), np.int64) if words else np.empty(0, np.int64)
+        first = np.flatnonzero(self.starts_word[flat])
+        if len(first) == len(words):
+            return flat, np.diff(np.append(first, len(flat)))
+        lists = [self.bpe.encode_ordinary(" " + w) for w in words]  # words that hold other white space may share a token with the blank
+        return np.array([i for t in lists for i in t], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def piece_counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each word, and how many of them are byte fallback."""
         pieces = self.pieces.encode(words, num_threads=1)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.fromiter((i for p in pieces for i in p), np.int64, int(sizes.sum()))
         ends = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
         stops = np.cumsum(sizes)
-        fallback = ends[stops] - ends[stops - sizes]
-        encode = self.bpe.encode_ordinary
-        for w, n, k in zip(words, sizes.tolist(), fallback.tolist()):
-            self.known[w] = (encode(" " + w), n, k)
+        return sizes, ends[stops] - ends[stops - sizes]
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -99,36 +113,43 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def _measure(text: str, vocab: Vocabularies) -> tuple:
-    words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()] if not text.isascii() else text.encode("ascii").decode().split()
-    n = len(words)
-    word_chars = len(text) - sum(map(text.count, WHITE))
-    if not n:
-        return 0, word_chars, sum(map(text.count, SYMBOLS)), 0, 0, "none", 0, 0.0, 0.0, 0.0, 0.0
-    place: dict[str, int] = {}
-    ids = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, n)
-    times = np.bincount(ids)
-    own = list(place)
-    if new := [w for w in own if w not in vocab.known]:
-        vocab.learn(new)
-        if missing := [w for w in own if w not in vocab.known]:
-            vocab.learn(missing)
-    got = [vocab.known[w] for w in own]
-    sizes = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
-    pieces, fallback = (np.fromiter((g[k] for g in got), np.int64, len(got)) for k in (1, 2))
-    tokens, n_pieces = int(times @ sizes), max(1, int(times @ pieces))
-    flat = np.fromiter((i for g in got for i in g[0]), np.int64, int(sizes.sum()))
-    counts = np.bincount(flat, np.repeat(times, sizes))
-    p = counts[counts > 0] / tokens
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line in seen:
-            dup += 1
-        elif line.strip(WHITE):
-            seen.add(line)
-    return (n, word_chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(ids), script_of(text), tokens, word_chars / tokens,
-            word_chars / n_pieces, float(times @ fallback) / n_pieces, float(-(p * np.log2(p)).sum()))
+def repeated_lines(text: str) -> int:
+    """Lines with a word that equal an earlier line."""
+    lines = [line for line in text.split("\n") if line.strip(WHITE)]
+    return len(lines) - len(set(lines))
+
+
+def measures(texts: list[str], vocab: Vocabularies) -> list[tuple]:
+    """The columns of ``FIELDS`` for each text. Every distinct word of the batch is encoded once, whatever the number of texts that hold it."""
+    raws = [t.encode("utf-8", "replace") for t in texts]
+    place: dict[bytes, int] = {}
+    ids, n_words = [], []
+    for raw in raws:
+        words = raw.split()  # bytes split at ASCII white space alone
+        for w in words:
+            if w not in place:
+                place[w] = len(place)
+        ids.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+        n_words.append(len(words))
+    known = [w.decode("utf-8") for w in place]
+    flat, sizes = vocab.tokens(known)
+    pieces, fallback = vocab.piece_counts(known)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for text, raw, own, n in zip(texts, raws, ids, n_words):
+        word_chars = len(text) - len(raw) + len(raw.translate(None, WHITE.encode()))
+        symbols = len(raw) - len(raw.translate(None, SYMBOLS.encode()))
+        if not n:
+            out.append((0, word_chars, symbols, 0, 0, "none", 0, 0.0, 0.0, 0.0, 0.0))
+            continue
+        each = sizes[own]
+        stops = np.cumsum(each)
+        tokens, n_pieces = int(stops[-1]), max(1, int(pieces[own].sum()))
+        counts = np.bincount(flat[np.repeat(starts[own] - stops + each, each) + np.arange(tokens)])
+        p = counts[counts > 0] / tokens
+        out.append((n, word_chars, symbols, repeated_lines(text), repeated_words(own), script_of(text), tokens, word_chars / tokens,
+                    word_chars / n_pieces, float(fallback[own].sum()) / n_pieces, float(-(p * np.log2(p)).sum())))
+    return out
 
 
 def measure(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +158,7 @@ def measure(docs: DataFrame, rank_file: bytes, pattern: str, piece_model: bytes,
         vocab = kept(("fertility", hash((rank_file, pattern, piece_model))), lambda: Vocabularies(rank_file, pattern, piece_model))
 
         def fn(column):
-            rows = [_measure(column[i].as_py() or "", vocab) for i in range(len(column))]
+            rows = measures([t or "" for t in column.to_pylist()], vocab)
             types = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.float64()] * 4
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
         return fn
