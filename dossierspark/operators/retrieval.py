@@ -4,106 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierspark.operators.ranking import best_row, cap_per_key, top_n
-from dossierspark.session import is_at_most
-
-QUERY_BLOCK = 4096
+from dossierspark.operators.vectors import Lists, fit_lists, list_search, pair_search
 
 
 def score_of(distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + distance)
 
 
-def l2sq(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return F.lit(1.0) - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def _distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        norm = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :]
-        return 1.0 - (block @ queries.T) / norm
-    return np.maximum((block**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2.0 * block @ queries.T, 0.0)
-
-
-def _block_search(corpus: DataFrame, held, cid: str, vec: str, k: int, metric: str, schema: str) -> DataFrame:
-    """Each task keeps its k nearest rows per query while it streams its part of the corpus."""
-    def run(batches):
-        qids, matrix = held.value
-        best_d = [np.empty(0) for _ in qids]
-        best_i = [np.empty(0, dtype=object) for _ in qids]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[cid].to_numpy()
-            block = np.stack(pdf[vec].to_list()).astype("float64")
-            # The matrix product picks candidates with some slack, their distances are then exact.
-            dist = _distances(block, matrix, metric)
-            for j in range(len(qids)):
-                col = dist[:, j]
-                if len(best_d[j]) >= k:
-                    near = np.nonzero(col <= best_d[j][-1] + 1e-9)[0]
-                elif len(col) > k:
-                    near = np.nonzero(col <= np.partition(col, k - 1)[k - 1] + 1e-9)[0]
-                else:
-                    near = np.arange(len(col))
-                if not len(near):
-                    continue
-                exact = col[near] if metric == "cosine" else ((block[near] - matrix[j]) ** 2).sum(1)
-                d, i = np.concatenate([best_d[j], exact]), np.concatenate([best_i[j], ids[near].astype(object)])
-                order = sorted(range(len(d)), key=lambda n: (d[n], i[n]))[:k]
-                best_d[j], best_i[j] = d[order], i[order]
-        for j, q in enumerate(qids):
-            if len(best_d[j]):
-                yield pd.DataFrame({"q": q, "c": list(best_i[j]), "distance": best_d[j]})
-
-    return corpus.select(cid, vec).mapInPandas(run, schema)
-
-
-def knn(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k, metric: str = "l2sq", where: Column | None = None,
+def knn(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k: int, metric: str = "l2sq", where: Column | None = None,
         within: str | None = None) -> DataFrame:
     """k nearest corpus rows per query: (qid, cid, distance, score, rank); filters come before the k.
 
-    ``within`` names a column both sides share: an equi-join, only rows of the same entity meet.
-    Without it the corpus is streamed once past a block of queries of checked size; more queries are
-    cut into such blocks, one pass each, so neither side is ever multiplied by the other.
+    ``within`` names a column both sides share: only rows of the same entity meet. See ``vectors`` for the blocks that meet.
     """
     if where is not None:
         corpus = corpus.filter(where)
-    order = [F.col("distance"), F.col(cid)]
-    if within is not None:
-        q = queries.select(qid, within, F.col(vec).alias("_qv"))
-        pairs = corpus.select(cid, within, vec).join(q, within)
-        measure = cosine_distance if metric == "cosine" else l2sq
-        hits = pairs.select(qid, cid, measure(F.col("_qv"), F.col(vec)).alias("distance"))
-    else:
-        spark = queries.sparkSession
-        kinds = dict(queries.dtypes), dict(corpus.dtypes)
-        schema = f"{qid} {kinds[0][qid]}, {cid} {kinds[1][cid]}, distance double"
-        small = is_at_most(queries, QUERY_BLOCK)
-        slices = 1 if small else int(queries.count() // (QUERY_BLOCK // 2)) + 1
-        parts = []
-        for s in range(slices):
-            part = queries if small else queries.filter(F.pmod(F.xxhash64(qid), F.lit(slices)) == s)
-            rows = part.select(qid, vec).collect()
-            if rows:
-                held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype="float64")))
-                parts.append(_block_search(corpus, held, cid, vec, k, metric, "q " + schema.split(" ", 1)[1].replace(f", {cid} ", ", c ")).select(
-                    F.col("q").alias(qid), F.col("c").alias(cid), "distance"))
-        if not parts:
-            return spark.createDataFrame([], schema + ", score double, rank int")
-        hits = reduce(DataFrame.unionByName, parts)
-    return top_n(hits, [qid], order, k).withColumn("score", score_of(F.col("distance")))
+    hits = pair_search(queries, corpus, qid, cid, vec, k, metric, within)
+    return top_n(hits, [qid], [F.col("distance"), F.col(cid)], k).withColumn("score", score_of(F.col("distance")))
+
+
+def approximate_knn(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k: int, fitted: Lists | None = None) -> DataFrame:
+    """As ``knn`` over inverted lists: all corpus rows are indexed, each query probes the lists nearest to it."""
+    hits = list_search(queries, corpus, qid, cid, vec, k, fitted or fit_lists(corpus, cid, vec, k))
+    return top_n(hits, [qid], [F.col("distance"), F.col(cid)], k).withColumn("score", score_of(F.col("distance")))
 
 
 def merge_sets(sets, qid: str, cid: str, order, k: int | None = None) -> DataFrame:
@@ -180,19 +107,8 @@ def gated_groups(groups, qid: str, cid: str, gate: float, gated, limit: int) ->
     return merge_sets(kept, qid, cid, [F.col("score").desc(), F.col(cid)], limit)
 
 
-def lsh_recall(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec: str, k: int, radius: float, bucket: float = 0.6,
-               tables: int = 8) -> DataFrame:
-    """Approximate search by random projections and its recall against the exact one."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select(qid, array_to_vector(vec).alias("features"))
-    c = corpus.select(cid, array_to_vector(vec).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-    near = model.approxSimilarityJoin(q, c, radius, "dist").select(
-        F.col(f"datasetA.{qid}").alias(qid), F.col(f"datasetB.{cid}").alias(cid), F.col("dist"))
-    approx = top_n(near, [qid], [F.col("dist"), F.col(cid)], k)
-    exact = knn(queries, corpus, qid, cid, vec, k)
-    found = exact.join(approx.select(qid, cid, F.lit(True).alias("_hit")), [qid, cid], "left")
+def recall_of(approximate: DataFrame, exact: DataFrame, qid: str, cid: str) -> DataFrame:
+    """(qid, exact_hits, found, recall) of the exact hits that the approximate search returned too."""
+    found = exact.join(approximate.select(qid, cid, F.lit(True).alias("_hit")), [qid, cid], "left")
     return found.groupBy(qid).agg(F.count(F.lit(1)).alias("exact_hits"), F.count_if(F.col("_hit")).alias("found"),
                                   (F.count_if(F.col("_hit")) / F.count(F.lit(1))).alias("recall"))

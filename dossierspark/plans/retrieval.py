@@ -1,4 +1,4 @@
-"""Vector search: the first vector of every label is a query, all vectors are the corpus."""
+"""Vector search: every vector whose id is divisible by 20 is a query, all vectors are the corpus."""
 
 from __future__ import annotations
 
@@ -22,7 +22,12 @@ LEVEL = {"en": 3, "fr": 4, "de": 2}
 
 
 def queries(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumnRenamed("label", "qid")
+    return table(spark, d, "embeddings").filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("own"), "embedding")
+
+
+def with_own(spark, d, hits):
+    """Hits with the label of their query."""
+    return hits.join(queries(spark, d).select("qid", "own"), "qid")
 
 
 def corpus(spark, d):
@@ -35,8 +40,8 @@ def meta(spark, d):
 
 
 SQL_HITS = """
-WITH q AS (SELECT label AS qid, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY 1),
-h AS (SELECT qid, vec_id, label, pow(list_distance(v, CAST(embedding AS DOUBLE[])), 2) AS distance, 1 / (1 + pow(list_distance(v, CAST(embedding AS DOUBLE[])), 2)) AS score FROM q, embeddings),
+WITH q AS (SELECT vec_id AS qid, label AS own, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+h AS (SELECT qid, own, vec_id, label, pow(list_distance(v, CAST(embedding AS DOUBLE[])), 2) AS distance, 1 / (1 + pow(list_distance(v, CAST(embedding AS DOUBLE[])), 2)) AS score FROM q, embeddings),
 s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM h)"""
 
 
@@ -53,7 +58,7 @@ def knn_exact(spark, d):
 
 
 @reg.add("knn_cosine", """
-WITH q AS (SELECT label AS qid, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS v FROM embeddings GROUP BY 1),
+WITH q AS (SELECT vec_id AS qid, label AS own, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 h AS (SELECT qid, vec_id, list_cosine_distance(v, CAST(embedding AS DOUBLE[])) AS distance FROM q, embeddings),
 s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM h WHERE distance > 0.0001)
 SELECT CAST(qid AS BIGINT) AS qid, vec_id, round(distance, 6) AS distance FROM s WHERE rank <= 9""")
@@ -82,9 +87,9 @@ def knn_multi(spark, d):
     return R.best_of(sets, "qid", "vec_id", 8).select(F.col("qid").cast("long").alias("qid"), "vec_id", "first_collection", F.col("place").cast("long").alias("place"))
 
 
-@reg.add("knn_in_entity", SQL_HITS.replace("FROM q, embeddings", "FROM q JOIN embeddings ON label = qid") + f" SELECT {_COLS} FROM s WHERE rank <= 10")
+@reg.add("knn_in_entity", SQL_HITS.replace("FROM q, embeddings", "FROM q JOIN embeddings ON label = own") + f" SELECT {_COLS} FROM s WHERE rank <= 10")
 def knn_in_entity(spark, d):
-    q = queries(spark, d).withColumn("label", F.col("qid"))
+    q = queries(spark, d).withColumn("label", F.col("own"))
     return _shape(R.knn(q, corpus(spark, d), "qid", "vec_id", "embedding", 10, within="label"))
 
 
@@ -95,7 +100,7 @@ def knn_doc_type(spark, d):
 
 
 _ROUTED = SQL_HITS + """,
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h JOIN documents ON vec_id = doc_id WHERE h.label = qid AND lang = CASE WHEN qid % 2 = 0 THEN 'en' ELSE 'es' END) WHERE r <= 8),
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h JOIN documents ON vec_id = doc_id WHERE h.label = own AND lang = CASE WHEN own % 2 = 0 THEN 'en' ELSE 'es' END) WHERE r <= 8),
 top AS (SELECT * FROM s WHERE rank <= 16),
 u AS (SELECT qid, vec_id, score, 0 AS set_no FROM own UNION ALL SELECT qid, vec_id, score, 1 FROM top),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY set_no) AS k FROM u),
@@ -105,7 +110,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY set_no, score DESC,
 @reg.add("knn_routed", _ROUTED + " SELECT CAST(qid AS BIGINT) AS qid, vec_id, CAST(set_no AS BIGINT) AS set_no, place FROM m WHERE place <= 8")
 def knn_routed(spark, d):
     # The route is data: each query's section is a column, so the section search is one equi-join.
-    route = F.concat_ws("|", F.col("qid").cast("string"), F.when(F.col("qid") % 2 == 0, "en").otherwise("es"))
+    route = F.concat_ws("|", F.col("own").cast("string"), F.when(F.col("own") % 2 == 0, "en").otherwise("es"))
     q = queries(spark, d).withColumn("section", route)
     c = corpus(spark, d).join(meta(spark, d).select("vec_id", "lang"), "vec_id").withColumn("section", F.concat_ws("|", F.col("label").cast("string"), "lang"))
     own = R.knn(q, c, "qid", "vec_id", "embedding", 8, within="section")
@@ -115,28 +120,28 @@ def knn_routed(spark, d):
 
 
 _RERANK = SQL_HITS + """,
-c1 AS (SELECT qid, vec_id, score, 0 AS set_no FROM s WHERE rank <= 64),
-c2 AS (SELECT qid, vec_id, score, 1 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = qid) WHERE r <= 32),
-c3 AS (SELECT qid, vec_id, score, 2 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = qid + 1) WHERE r <= 24),
+c1 AS (SELECT qid, own, vec_id, score, 0 AS set_no FROM s WHERE rank <= 64),
+c2 AS (SELECT qid, own, vec_id, score, 1 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = own) WHERE r <= 32),
+c3 AS (SELECT qid, own, vec_id, score, 2 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = own + 1) WHERE r <= 24),
 u AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY set_no) AS k FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3)),
-x AS (SELECT u.qid, u.vec_id, u.score, e.label, lang, source, n_chars, text FROM u JOIN embeddings e USING (vec_id) LEFT JOIN documents ON vec_id = doc_id WHERE k = 1),
-b AS (SELECT *, score + CASE WHEN label = qid THEN 3.0 ELSE 0 END + CASE WHEN label = qid + 1 THEN 2.0 ELSE 0 END + CASE WHEN lang = 'en' THEN 1.2 ELSE 0 END + CASE WHEN source IN ('src1', 'src2', 'src3') THEN 1.0 ELSE 0 END
-  + CASE WHEN n_chars > 1000 THEN 0.8 ELSE 0 END AS reranked, count(*) FILTER (label = qid) OVER (PARTITION BY qid) AS n_exact,
-  concat_ws(',', CASE WHEN label = qid THEN 'exact_code' END, CASE WHEN label = qid + 1 THEN 'exact_title' END, CASE WHEN lang = 'en' THEN 'task_level' END, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'task_metric' END, CASE WHEN n_chars > 1000 THEN 'numeric_metric' END) AS reasons FROM x),
-f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reranked DESC, vec_id) AS place FROM b WHERE n_exact < 40 OR label = qid)"""
+x AS (SELECT u.qid, u.own, u.vec_id, u.score, e.label, lang, source, n_chars, text FROM u JOIN embeddings e USING (vec_id) LEFT JOIN documents ON vec_id = doc_id WHERE k = 1),
+b AS (SELECT *, score + CASE WHEN label = own THEN 3.0 ELSE 0 END + CASE WHEN label = own + 1 THEN 2.0 ELSE 0 END + CASE WHEN lang = 'en' THEN 1.2 ELSE 0 END + CASE WHEN source IN ('src1', 'src2', 'src3') THEN 1.0 ELSE 0 END
+  + CASE WHEN n_chars > 1000 THEN 0.8 ELSE 0 END AS reranked, count(*) FILTER (label = own) OVER (PARTITION BY qid) AS n_exact,
+  concat_ws(',', CASE WHEN label = own THEN 'exact_code' END, CASE WHEN label = own + 1 THEN 'exact_title' END, CASE WHEN lang = 'en' THEN 'task_level' END, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'task_metric' END, CASE WHEN n_chars > 1000 THEN 'numeric_metric' END) AS reasons FROM x),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reranked DESC, vec_id) AS place FROM b WHERE n_exact < 8 OR label = own)"""
 
 
 def reranked(spark, d):
     q, c = queries(spark, d), corpus(spark, d)
-    own, title = q.withColumn("label", F.col("qid")), q.withColumn("label", F.col("qid") + 1)
+    own, title = q.withColumn("label", F.col("own")), q.withColumn("label", F.col("own") + 1)
     sets = [R.knn(q, c, "qid", "vec_id", "embedding", 64), R.knn(own, c, "qid", "vec_id", "embedding", 32, within="label"),
             R.knn(title, c, "qid", "vec_id", "embedding", 24, within="label")]
     hits = R.merge_sets(sets, "qid", "vec_id", [F.col("vec_id")]).drop("set_no", "rank")
-    rows = hits.join(c.select("vec_id", "label"), "vec_id").join(meta(spark, d), "vec_id", "left")
-    boosts = [("exact_code", F.col("label") == F.col("qid"), 3.0), ("exact_title", F.col("label") == F.col("qid") + 1, 2.0),
+    rows = with_own(spark, d, hits.join(c.select("vec_id", "label"), "vec_id").join(meta(spark, d), "vec_id", "left"))
+    boosts = [("exact_code", F.col("label") == F.col("own"), 3.0), ("exact_title", F.col("label") == F.col("own") + 1, 2.0),
               ("task_level", F.col("lang") == "en", 1.2), ("task_metric", F.col("source").isin("src1", "src2", "src3"), 1.0),
               ("numeric_metric", F.col("n_chars") > 1000, 0.8)]
-    return R.rerank(rows, boosts, "qid", "vec_id", F.col("label") == F.col("qid"), 40)
+    return R.rerank(rows, boosts, "qid", "vec_id", F.col("label") == F.col("own"), 8)
 
 
 @reg.add("knn_rerank", _RERANK + " SELECT CAST(qid AS BIGINT) AS qid, vec_id, place, round(reranked, 6) AS reranked, reasons FROM f")
@@ -186,10 +191,10 @@ def methods(spark, d, k=4):
 
 
 @reg.add("knn_fusion", SQL_HITS + """,
-b AS (SELECT qid % 5 AS request, vec_id, max(score) AS score FROM s WHERE rank <= 20 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, vec_id) AS place FROM b)
+b AS (SELECT own % 5 AS request, vec_id, max(score) AS score FROM s WHERE rank <= 20 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, vec_id) AS place FROM b)
 SELECT CAST(request AS BIGINT) AS request, vec_id, place, round(score, 6) AS score FROM r WHERE place <= 10""")
 def knn_fusion(spark, d):
-    hits = R.knn(queries(spark, d), corpus(spark, d), "qid", "vec_id", "embedding", 20).withColumn("request", (F.col("qid") % 5).cast("long"))
+    hits = with_own(spark, d, R.knn(queries(spark, d), corpus(spark, d), "qid", "vec_id", "embedding", 20)).withColumn("request", (F.col("own") % 5).cast("long"))
     return R.fuse(hits, "request", "vec_id", "score", 10).select("request", "vec_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
@@ -212,17 +217,17 @@ def query_variants(spark, d):
 TERMS = ["thth", "elle", "keit", "tion", "ment"]
 _SEM = SQL_HITS + f""",
 z AS (SELECT s.qid, s.vec_id, s.label, score, source, text, {' + '.join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in TERMS)} AS overlap,
-  CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 4 WHEN 'de' THEN 2 END AS level, CASE WHEN qid % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE 0.8 END AS weight, [3, 2 + qid % 3] AS allowed FROM s JOIN documents ON vec_id = doc_id WHERE rank <= 40),
+  CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 4 WHEN 'de' THEN 2 END AS level, CASE WHEN own % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE 0.8 END AS weight, [3, 2 + qid % 3] AS allowed FROM s JOIN documents ON vec_id = doc_id WHERE rank <= 40),
 a AS (SELECT *, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), score + least(CAST(0.22 AS DOUBLE), overlap * CAST(0.035 AS DOUBLE)) + CASE WHEN level IS NULL THEN CAST(0 AS DOUBLE) WHEN list_contains(allowed, level) THEN CAST(0.08 AS DOUBLE) ELSE CAST(-0.24 AS DOUBLE) END)) AS adjusted FROM z)"""
 
 
 def semantic(spark, d):
-    hits = R.knn(queries(spark, d), corpus(spark, d), "qid", "vec_id", "embedding", 40)
+    hits = with_own(spark, d, R.knn(queries(spark, d), corpus(spark, d), "qid", "vec_id", "embedding", 40))
     rows = hits.join(meta(spark, d), "vec_id").join(corpus(spark, d).select("vec_id", "label"), "vec_id")
     low = F.lower("text")
     rows = rows.withColumns({
         "overlap": RU.count_substrings(low, TERMS), "level": RU.first_rule([(F.col("lang") == k, v) for k, v in LEVEL.items()], F.lit(None).cast("int")),
-        "weight": F.when(F.col("qid") % 2 == 0, 1.0).otherwise(0.8), "allowed": F.array(F.lit(3), 2 + F.col("qid") % 3)})
+        "weight": F.when(F.col("own") % 2 == 0, 1.0).otherwise(0.8), "allowed": F.array(F.lit(3), 2 + F.col("qid") % 3)})
     adjusted, _ = R.semantic_score(F.col("score"), F.col("overlap"), F.col("level"), F.col("allowed"), F.col("weight"))
     return rows.withColumn("adjusted", adjusted).withColumn("rank_score", F.col("adjusted") * F.col("weight"))
 
@@ -270,15 +275,15 @@ def semantic_report(spark, d):
 
 
 @reg.add("evidence_groups", SQL_HITS + """,
-g AS (SELECT qid, vec_id, score, 0 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = qid + 1) WHERE r <= 4
-  UNION ALL SELECT qid, vec_id, score, 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = qid) WHERE r <= 4 UNION ALL SELECT qid, vec_id, score, 2 FROM s WHERE rank <= 8),
+g AS (SELECT qid, vec_id, score, 0 AS set_no FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = own + 1) WHERE r <= 4
+  UNION ALL SELECT qid, vec_id, score, 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM h WHERE label = own) WHERE r <= 4 UNION ALL SELECT qid, vec_id, score, 2 FROM s WHERE rank <= 8),
 m AS (SELECT *, max(score) OVER (PARTITION BY qid, set_no) AS best FROM g),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid, vec_id ORDER BY set_no) AS k FROM m WHERE set_no > 0 OR best >= 0.56), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY set_no, score DESC, vec_id) AS place FROM o WHERE k = 1)
 SELECT CAST(qid AS BIGINT) AS qid, vec_id, CAST(set_no AS BIGINT) AS set_no, place FROM r WHERE place <= 10""")
 def evidence_groups(spark, d):
     q, c = queries(spark, d), corpus(spark, d)
-    alias = R.knn(q.withColumn("label", F.col("qid") + 1), c, "qid", "vec_id", "embedding", 4, within="label")
-    own = R.knn(q.withColumn("label", F.col("qid")), c, "qid", "vec_id", "embedding", 4, within="label")
+    alias = R.knn(q.withColumn("label", F.col("own") + 1), c, "qid", "vec_id", "embedding", 4, within="label")
+    own = R.knn(q.withColumn("label", F.col("own")), c, "qid", "vec_id", "embedding", 4, within="label")
     overview = R.knn(q, c, "qid", "vec_id", "embedding", 8)
     out = R.gated_groups([alias, own, overview], "qid", "vec_id", 0.56, {0}, 10)
     return out.select(F.col("qid").cast("long").alias("qid"), "vec_id", F.col("set_no").cast("long").alias("set_no"), F.col("place").cast("long").alias("place"))
@@ -332,6 +337,17 @@ def dd_fingerprint(spark, d):
     return exact_dedupe(table(spark, d, "documents").select("doc_id", "text"), {"opening": key}, [F.col("doc_id")]).select("doc_id")
 
 
+@reg.add("knn_every", SQL_HITS.replace(" WHERE vec_id % 20 = 0", "") + f" SELECT {_COLS} FROM s WHERE rank <= 5")
+def knn_every(spark, d):
+    """Every vector as a query."""
+    every = corpus(spark, d).select(F.col("vec_id").alias("qid"), "embedding")
+    return _shape(R.knn(every, corpus(spark, d), "qid", "vec_id", "embedding", 5))
+
+
 @reg.add("knn_lsh_recall")
 def knn_lsh_recall(spark, d):
-    return R.lsh_recall(queries(spark, d), corpus(spark, d), "qid", "vec_id", "embedding", 10, 2.0)
+    """Recall of the approximate search against the exact one, per query and over all queries."""
+    q, c = queries(spark, d), corpus(spark, d)
+    found = R.recall_of(R.approximate_knn(q, c, "qid", "vec_id", "embedding", 10), R.knn(q, c, "qid", "vec_id", "embedding", 10), "qid", "vec_id")
+    total = found.agg((F.sum("found") / F.sum("exact_hits")).alias("recall_of_all"))
+    return found.crossJoin(F.broadcast(total))  # one row
