@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,24 +16,43 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def ratio_at_least(threshold: float, either: bool = False):
-    """The ratio where it reaches the threshold, null elsewhere. It depends on the order; ``either`` takes the larger of both.
+def _ratio(x: str, y: str, threshold: float) -> float | None:
+    m = SequenceMatcher(None, x or "", y or "")
+    if m.real_quick_ratio() < threshold or m.quick_ratio() < threshold:
+        return None
+    value = m.ratio()
+    return value if value >= threshold else None
 
-    The shared characters bound the ratio, so most pairs never reach the block search.
-    """
+
+def ratio_at_least(threshold: float):
+    """The ratio where it reaches the threshold, null elsewhere. Pairs should pass ``count_bound`` before."""
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            m = SequenceMatcher(None, x or "", y or "")
-            value = m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
-            if either and value < threshold <= m.quick_ratio():
-                value = SequenceMatcher(None, y or "", x or "").ratio()
-            out.append(value if value >= threshold else None)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([_ratio(x, y, threshold) for x, y in zip(a, b)], dtype="float64")
 
     return F.pandas_udf(run, T.DoubleType())
 
 
+def ratios_at_least(threshold: float):
+    """(forward, backward): the ratio of (a, b) and of (b, a), which may differ, each where it reaches the threshold."""
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"forward": [_ratio(x, y, threshold) for x, y in zip(a, b)], "backward": [_ratio(y, x, threshold) for x, y in zip(a, b)]},
+                            dtype="float64")
+
+    return F.pandas_udf(run, "forward double, backward double")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def char_counts(s: pd.Series) -> pd.Series:
+    """How many characters of a text fall in each of 32 classes; classes by code point, so close letters are told apart."""
+    return s.map(lambda t: np.bincount(np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32) % 32, minlength=32).astype(np.int32))
+
+
+def count_bound(counts_a, counts_b, length_a, length_b):
+    """Upper bound of the ratio from ``char_counts``: characters of a class match those of the same class at most."""
+    shared = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.when(length_a + length_b == 0, F.lit(1.0)).otherwise(2.0 * shared / (length_a + length_b))
+
+
 def ratio_bound(a, b):
     """Upper bound of the ratio from the lengths alone, so hopeless pairs skip the Python call."""
     la, lb = F.length(a), F.length(b)

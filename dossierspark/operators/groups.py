@@ -1,22 +1,20 @@
 """Order-dependent deduplication, exact and bounded per task.
 
-Rows influence each other only along similarity links, so each connected component is decided on
-its own. A component larger than one batch is folded batch by batch, in order, with its decided
-groups carried along: no component lands whole in one task and none is cut.
+Rows influence each other only along similarity links, so each connected component is decided on its own, in slices that carry
+only what they are linked to: no component lands whole in one task and none is cut.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossierspark.operators.ranking import ranked
+from dossierspark.operators.ranking import running, top_n
 from dossierspark.session import durable
 
-BATCH = 20000
-
-
 def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: int = 100) -> DataFrame:
     """(id, component) of all linked ids; the component is its smallest id.
 
@@ -40,179 +38,208 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: i
     raise RuntimeError("components did not settle")
 
 
-def split_linked(rows: DataFrame, edges: DataFrame, id_: str):
-    """``(linked, single)``: rows with their component, and rows without any link, which need no folding."""
-    found = durable(components(edges).withColumnRenamed("id", id_))
-    return rows.join(found, id_), rows.join(found, id_, "left_anti").withColumn("component", F.col(id_))
+#: Rows and links of a component that one task takes at once.
+LOAD = 200_000
 
 
-def fold_groups(rows: DataFrame, step, state_schema: str, empty_state: DataFrame, seq, batch: int = BATCH) -> DataFrame:
-    """Folds ``step(state, batch) -> state`` over each component in ``seq`` order.
+def copies_of(rows: DataFrame, id_: str, key) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` of rows with an equal ``key`` (a list of columns without nulls): one hub per key, no links between hubs."""
+    keyed = rows.select(F.col(id_).alias("id"), *[k.alias(f"_k{i}") for i, k in enumerate(key)])
+    names = [f"_k{i}" for i in range(len(key))]
+    hubs = keyed.groupBy(*names).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    members = keyed.join(hubs, names).select("id", "hub")
+    return members, members.limit(0).select("hub", F.col("hub").alias("other"))
 
-    ``step`` sees two pandas frames of one component: the groups so far and the next rows.
-    """
-    placed = durable(ranked(rows, ["component"], seq, "_pos").withColumn("_batch", F.floor((F.col("_pos") - 1) / batch)))
-    rounds = placed.agg(F.max("_batch")).first()[0]
-    done, state = None, empty_state
-    for r in range(int(rounds or 0) + 1):
-        part = placed.filter(F.col("_batch") == r)
 
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return step(left, right.sort_values("_pos"))
+def hubs_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` of links that join copies to one row (similarity 1) and different texts by pairs.
 
-        folded = durable(state.groupBy("component").cogroup(part.groupBy("component")).applyInPandas(run, state_schema))
-        later = placed.filter(F.col("_batch") == r + 1).select("component").distinct()
-        finished = folded.join(later, "component", "left_anti")
-        done = finished if done is None else done.unionByName(finished)
-        state = folded.join(later, "component", "left_semi")
-    return done
+    A hub is the row that stands for a set of copies: members are (id, hub), links are (hub, other hub), both ways. Copies
+    of one hub are all linked with each other, so no clique of copies is ever written out. Where ``pairs`` has ``forward`` and ``backward``,
+    a link depends on the order: ``forward`` means that a new row like a meets an earlier one like b.
+    """
+    if "forward" not in pairs.columns:
+        pairs = pairs.withColumns({"forward": F.lit(True), "backward": F.lit(True)})
+    copies = pairs.filter(F.col("similarity") == 1.0).select(F.col("id_b").alias("id"), F.col("id_a").alias("hub"))
+    stands = pairs.select(F.explode(F.when(F.col("similarity") == 1.0, F.array("id_a")).otherwise(F.array("id_a", "id_b"))).alias("id")).distinct()
+    near = pairs.filter(F.col("similarity") < 1.0)
+    ends = lambda x, y, holds: F.struct(F.col(x).alias("hub"), F.col(y).alias("other"), F.col(holds).alias("holds"))
+    links = near.select(F.explode(F.array(ends("id_a", "id_b", "forward"), ends("id_b", "id_a", "backward"))).alias("e")).filter("e.holds").select(
+        "e.hub", "e.other").distinct()
+    return copies.unionByName(stands.withColumn("hub", F.col("id"))), links
 
 
-def _with_singles(groups: DataFrame, single: DataFrame, id_: str) -> DataFrame:
-    return groups.unionByName(single.select("component", F.lit(0).cast("long").alias("group_no"), id_, F.lit(1).cast("long").alias("members")))
+def text_hubs(copies: tuple[DataFrame, DataFrame], pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` where pairs link the first rows of ``copies_of``: a pair holds for all copies of both."""
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    both = pairs.select(F.col("id_a").alias("hub"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("hub"), F.col("id_a").alias("other")))
+    return copies[0].unionByName(ends.withColumn("hub", F.col("id"))).distinct(), both.distinct()
 
 
-def _similar(a: set, b: set, threshold: float) -> bool:
-    return bool(a) and bool(b) and len(a & b) >= threshold * len(a | b) - 1e-12
+def _linked_rows(rows: DataFrame, relations, id_: str) -> tuple[DataFrame, DataFrame]:
+    """``(linked, single)``: rows with their component, own hubs and the hubs linked to them; rows without any link.
 
+    A hub of relation k is named ``k|id``. Members of a hub are linked with each other and with those of linked hubs.
+    """
+    named = lambda k, c: F.concat(F.lit(f"{k}|"), F.col(c).cast("string"))
+    parts = [(m.select(F.col("id").alias(id_), named(k, "hub").alias("hub")), l.select(named(k, "hub").alias("hub"), named(k, "other").alias("other")))
+             for k, (m, l) in enumerate(relations)]
+    members = durable(reduce(DataFrame.unionByName, [m for m, _ in parts]).distinct())
+    links = durable(reduce(DataFrame.unionByName, [l for _, l in parts]).distinct())
+    # Components of hubs; the hubs of a row belong together.
+    joined = members.groupBy(id_).agg(F.min("hub").alias("hub")).join(members.withColumnRenamed("hub", "other"), id_).filter("hub <> other").select("hub", "other")
+    comp = durable(components(links.unionByName(joined).select(F.col("hub").alias("id_a"), F.col("other").alias("id_b")))).withColumnRenamed("id", "hub")
+    others = links.groupBy("hub").agg(F.collect_list("other").alias("others"))
+    near = (members.join(others, "hub", "left").join(comp, "hub", "left")
+            .groupBy(id_).agg(F.collect_set("hub").alias("hubs"), F.flatten(F.collect_list(F.coalesce("others", F.array().cast("array<string>")))).alias("others"),
+                              F.min(F.coalesce("component", "hub")).alias("component")))
+    found = durable(near.select(id_, "component", "hubs", F.array_union("hubs", "others").alias("near")))
+    return rows.join(found, id_), rows.join(found, id_, "left_anti")
+
+
+def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Column, follow: bool, load: int = LOAD) -> DataFrame:
+    """(id, leader_seq): the group of every row that has links, named by the ``seq`` of its first row.
+
+    Rows are taken in ``seq`` order (unique). A row joins the earliest group that it is linked to, else it starts one. With ``follow`` a group
+    is met only at its leader, the row with the highest priority so far (the earlier at a tie); otherwise at every member.
+
+    A component goes past in slices of about ``load`` rows and links. What travels with a slice are its rows with the hubs they are linked to,
+    and of the groups so far those that stand at one of these hubs. Texts and sets never travel, and no component lands whole in a task.
+    """
+    linked, _ = _linked_rows(rows.select(id_, seq.alias("_seq"), priority.alias("_priority")), relations, id_)
+    weighed = running(linked, ["component"], [F.col("_seq")], {"_load": F.size("near") + 1})
+    placed = durable(weighed.withColumn("_slice_no", F.floor((F.col("_load") - 1) / load)).drop("_load"))
+    rounds = placed.agg(F.max("_slice_no")).first()[0]
+    place = "component string, leader_seq long, priority array<double>, hub string"
+    held = rows.sparkSession.createDataFrame([], place)  # follow: hubs of every leader; else the earliest group of every hub
+    by = ["component", "leader_seq"] if follow else ["component", "hub"]
+    kind, done = dict(rows.dtypes)[id_], None
+    for r in range(int(rounds or 0) + 1):
+        part = placed.filter(F.col("_slice_no") == r)
+        asked = part.select("component", F.explode("near").alias("hub")).distinct()
+        state = held.join(asked, ["component", "hub"], "left_semi")
+        if follow:
+            state = held.join(state.select(*by).distinct(), by, "left_semi")
+        out = durable(state.groupBy("component").cogroup(part.groupBy("component")).applyInPandas(
+            _fold_step(id_, follow), f"{place}, {id_} {kind}, decided boolean"))
+        named = out.filter("decided").select(id_, "leader_seq")
+        done = named if done is None else done.unionByName(named)
+        if r < int(rounds or 0):
+            fresh = out.filter("not decided").select(*held.columns)
+            held = durable(held.join(fresh.select(*by).distinct(), by, "left_anti").unionByName(fresh))
+    return done
 
-def leader_step(threshold: float, same=None):
-    """Each row joins the first group whose current leader is similar, and replaces a worse leader.
 
-    Priorities are compared as tuples; an equal one keeps the earlier leader.
-    """
-    test = same or (lambda x, y: _similar(x["_set"], y["_set"], threshold))
-
-    def step(state: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        component = batch["component"].iat[0] if len(batch) else state["component"].iat[0]
-        groups = [dict(r, _set=set(r["tokens"])) for r in state.sort_values("group_no").to_dict("records")]
-        for row in batch.to_dict("records"):
-            new = {"leader": row["id"], "tokens": list(row["tokens"]), "text": row["text"], "priority": tuple(row["priority"]),
-                   "members": 1, "_set": set(row["tokens"])}
-            home = next((g for g in groups if test(new, g)), None)
-            if home is None:
-                groups.append(new)
-                continue
-            home["members"] += 1
-            if new["priority"] > tuple(home["priority"]):
-                home.update({k: new[k] for k in ("leader", "tokens", "text", "priority", "_set")})
-        return pd.DataFrame([{
-            "component": component, "group_no": i, "leader": g["leader"], "tokens": list(g["tokens"]), "text": g["text"],
-            "priority": list(g["priority"]), "members": g["members"]} for i, g in enumerate(groups)])
+def _fold_step(id_: str, follow: bool):
+    """One slice of one component: first the groups that it meets, a row for each of their hubs, then its own rows."""
+    names = ["component", "leader_seq", "priority", "hub", id_, "decided"]
+
+    def step(state: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame([], columns=names)
+        component, out = part["component"].iat[0], []
+        leaders: dict[int, tuple[tuple, list]] = {}
+        at_hub: dict[str, set[int]] = {}
+        for g, p, h in zip(state["leader_seq"], state["priority"], state["hub"]):
+            leaders.setdefault(int(g), (tuple(p), []))[1].append(h)
+            at_hub.setdefault(h, set()).add(int(g))
+        changed = set()
+        for row in part.sort_values("_seq").to_dict("records"):
+            group = min((g for h in row["near"] for g in at_hub.get(h, ())), default=None)
+            mine, hubs, new = tuple(row["_priority"]), list(row["hubs"]), group is None
+            if new:
+                group = int(row["_seq"])
+            out.append((component, group, None, None, row[id_], True))
+            if follow and (new or mine > leaders[group][0]):
+                for h in () if new else leaders[group][1]:
+                    at_hub[h].discard(group)
+                leaders[group] = mine, hubs
+                changed.add(group)
+                for h in hubs:
+                    at_hub.setdefault(h, set()).add(group)
+            elif not follow:
+                for h in hubs:
+                    if group < min(at_hub.get(h, ()), default=group + 1):
+                        at_hub[h] = {group}
+                        changed.add(h)
+        if follow:
+            out += [(component, g, list(leaders[g][0]), h, None, False) for g in sorted(changed) for h in leaders[g][1]]
+        else:
+            out += [(component, min(at_hub[h]), [], h, None, False) for h in sorted(changed)]
+        return pd.DataFrame(out, columns=names)
 
     return step
 
 
-def same_claim(x: dict, y: dict) -> bool:
-    """Equal, nearly contained, or at least six tokens with Jaccard 0.92."""
-    a, b = x["text"], y["text"]
-    if a == b:
-        return True
-    if not a or not b:
-        return False
-    short, long = sorted((a, b), key=len)
-    if len(short) >= 40 and len(short) >= 0.9 * len(long) and short in long:
-        return True
-    return min(len(x["_set"]), len(y["_set"])) >= 6 and _similar(x["_set"], y["_set"], 0.92)
+def _groups_of(rows: DataFrame, founders: DataFrame, id_: str, seq: Column, priority: Column, out: str) -> DataFrame:
+    """(out, leader_seq, members) per group: its best row by priority, the earlier at a tie. Rows without links are groups of their own."""
+    named = rows.select(id_, seq.alias("_seq"), priority.alias("_priority")).join(founders, id_, "left").withColumn("leader_seq", F.coalesce("leader_seq", "_seq"))
+    best = F.max(F.struct("_priority", (-F.col("_seq")).alias("_minus"), F.col(id_).alias("_id")))
+    return named.groupBy("leader_seq").agg(best.alias("_best"), F.count(F.lit(1)).alias("members")).select(
+        F.col("_best._id").alias(out), "leader_seq", "members")
+
 
+def _doubles(columns) -> Column:
+    return F.array(*[c.cast("double") for c in columns])
 
-def leader_dedupe(rows: DataFrame, edges: DataFrame, id_: str, tokens: str, text: str, priority, seq, threshold: float = 0.94,
-                  same=None, batch: int = BATCH) -> DataFrame:
-    """Greedy near-duplicate removal: leader per group with the number of its rows.
 
-    ``priority`` is a list of numeric columns, highest first wins, ties keep the earlier leader.
-    ``seq`` is the processing order.
+def leader_dedupe(rows: DataFrame, relations, id_: str, priority, seq: Column, load: int = LOAD) -> DataFrame:
+    """Greedy near-duplicate removal: (id of the leader, leader_seq, members) of each group.
+
+    Each row, in ``seq`` order (unique longs), joins the earliest group whose current leader it is linked to, and replaces a leader of lower
+    priority. ``priority`` is a list of numeric columns without nulls, compared in turn; an equal one keeps the earlier leader.
     """
-    linked, single = split_linked(rows, edges, id_)
-    shaped = linked.select(
-        "component", F.col(id_).alias("id"), F.col(tokens).alias("tokens"), F.col(text).alias("text"),
-        F.array(*[p.cast("double") for p in priority]).alias("priority"), seq.alias("_seq"))
-    kind = dict(shaped.dtypes)
-    schema = (f"component {kind['component']}, group_no long, leader {kind['id']}, tokens array<string>, text string, "
-              "priority array<double>, members long")
-    empty = rows.sparkSession.createDataFrame([], schema)
-    out = fold_groups(shaped, leader_step(threshold, same), schema, empty, [F.col("_seq")], batch)
-    return _with_singles(out.select("component", "group_no", F.col("leader").alias(id_), "members"), single, id_)
-
-
-def member_groups(rows: DataFrame, edges: DataFrame, id_: str, claim: str, quote: str, rank, seq, threshold: float = 0.90,
-                  batch: int = BATCH) -> DataFrame:
-    """Each row joins the first group with any similar member; groups never merge.
-
-    Similar means an equal claim, an equal quote or a sequence ratio at the threshold. The best row
-    of a group needs a strictly higher rank. Members with equal texts are kept once.
+    rank = _doubles(priority)
+    return _groups_of(rows, fold_linked(rows, relations, id_, seq, rank, True, load), id_, seq, rank, id_)
+
+
+def member_groups(rows: DataFrame, relations, id_: str, rank, seq: Column, load: int = LOAD) -> DataFrame:
+    """(id of the best row, leader_seq, members): each row, in ``seq`` order, joins the earliest group with any member it is linked to.
+
+    Groups never merge. The best row of a group has the highest rank, the earlier one at a tie.
     """
-    from difflib import SequenceMatcher
+    best = _doubles(rank)
+    return _groups_of(rows, fold_linked(rows, relations, id_, seq, best, False, load), id_, seq, best, id_)
 
-    linked, single = split_linked(rows, edges, id_)
-    shaped = linked.select(
-        "component", F.col(id_).alias("id"), F.col(claim).alias("claim"), F.col(quote).alias("quote"),
-        F.array(*[p.cast("double") for p in rank]).alias("rank"), seq.alias("_seq"))
-    kind = dict(shaped.dtypes)
-    schema = (f"component {kind['component']}, group_no long, best {kind['id']}, best_rank array<double>, members long, "
-              "claims array<string>, quotes array<string>")
 
-    def close(m: SequenceMatcher) -> bool:
-        return m.quick_ratio() >= threshold and m.ratio() >= threshold
+def _similar(a: set, b: set, threshold: float) -> bool:
+    return bool(a) and bool(b) and len(a & b) >= threshold * len(a | b) - 1e-12
 
-    def step(state: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        component = part["component"].iat[0] if len(part) else state["component"].iat[0]
-        groups = [dict(r, claims=dict.fromkeys(r["claims"]), quotes=dict.fromkeys(r["quotes"])) for r in state.sort_values("group_no").to_dict("records")]
-        for row in part.to_dict("records"):
-            c, q, score = row["claim"] or "", row["quote"] or "", tuple(row["rank"])
-
-            def belongs(g):
-                if (c and c in g["claims"]) or (q and q in g["quotes"]):
-                    return True
-                return bool(c) and any(
-                    m and 2.0 * min(len(c), len(m)) >= threshold * (len(c) + len(m))
-                    and close(SequenceMatcher(None, c, m)) for m in g["claims"])
-
-            home = next((g for g in groups if belongs(g)), None)
-            if home is None:
-                home = {"best": row["id"], "best_rank": score, "members": 0, "claims": {}, "quotes": {}}
-                groups.append(home)
-            home["members"] += 1
-            home["claims"][c] = None
-            home["quotes"][q] = None
-            if score > tuple(home["best_rank"]):
-                home["best"], home["best_rank"] = row["id"], score
-        return pd.DataFrame([{
-            "component": component, "group_no": i, "best": g["best"], "best_rank": list(g["best_rank"]), "members": g["members"],
-            "claims": list(g["claims"]), "quotes": list(g["quotes"])} for i, g in enumerate(groups)])
-
-    empty = rows.sparkSession.createDataFrame([], schema)
-    out = fold_groups(shaped, step, schema, empty, [F.col("_seq")], batch)
-    return _with_singles(out.select("component", "group_no", F.col("best").alias(id_), "members"), single, id_)
-
-
-def greedy_ranked(hits: DataFrame, query: str, order, keys, tokens: str, k: int, threshold: float = 0.96) -> DataFrame:
+
+def greedy_ranked(hits: DataFrame, query: str, order, keys, tokens: str, k: int, threshold: float = 0.96, slice_rows: int = 1000) -> DataFrame:
     """Walks each query's ranked hits and skips repeats of any key or near-equal texts, up to k.
 
-    A skipped row registers none of its keys. All hits of a query take part.
+    ``order`` are ascending columns that tell all hits of a query apart. A skipped row registers none of its keys. All hits take part: each
+    round takes the next ``slice_rows`` hits of the queries that are not full yet, with what they kept so far.
     """
     names = [n for n, _ in keys]
-    shaped = hits.withColumns({f"_k_{n}": c for n, c in keys}).withColumn("_order", F.struct(*order))
-    # The row number only fixes the order for pandas.
-    placed = shaped.withColumn("_pos", F.row_number().over(Window.partitionBy(query).orderBy("_order"))).drop("_order")
+    shaped = durable(hits.withColumns({f"_k_{n}": c for n, c in keys}).withColumn("_order", F.struct(*order)).withColumn("_pos", F.lit(0).cast("long")))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, sets, kept = {n: set() for n in names}, [], []
-        for row in pdf.sort_values("_pos").to_dict("records"):
+    def walk(before: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = before.sort_values("_pos").to_dict("records")
+        seen = {n: {r[f"_k_{n}"] for r in kept} for n in names}
+        sets = [set(r[tokens]) for r in kept]
+        for row in pdf.sort_values("_n").drop(columns="_n").to_dict("records"):
+            if len(kept) >= k:
+                break
             values = {n: row[f"_k_{n}"] for n in names}
             mine = set(row[tokens])
             if any(v is not None and v in seen[n] for n, v in values.items()) or any(_similar(mine, s, threshold) for s in sets):
                 continue
             for n, v in values.items():
-                if v is not None:
-                    seen[n].add(v)
+                seen[n].add(v)
             sets.append(mine)
-            kept.append(row["_pos"])
-            if len(kept) >= k:
-                break
-        out = pdf[pdf["_pos"].isin(kept)].sort_values("_pos").copy()
-        out["_pos"] = range(1, len(out) + 1)
-        return out
-
-    done = placed.groupBy(query).applyInPandas(walk, placed.schema)
-    return done.withColumnRenamed("_pos", "rank").drop(*[f"_k_{n}" for n in names])
+            kept.append(row | {"_pos": len(kept) + 1})
+        return pd.DataFrame(kept, columns=before.columns)
+
+    kept, left = shaped.limit(0), shaped
+    while True:
+        part = durable(top_n(left, [query], [F.col("_order")], slice_rows, "_n"))
+        taken = durable(kept.groupBy(query).cogroup(part.groupBy(query)).applyInPandas(walk, shaped.schema))
+        full = taken.groupBy(query).agg(F.count(F.lit(1)).alias("_kept"))
+        last = part.groupBy(query).agg(F.max("_order").alias("_last"), F.count(F.lit(1)).alias("_size")).filter(F.col("_size") == slice_rows)
+        open_ = durable(last.join(full, query, "left").filter(F.coalesce("_kept", F.lit(0)) < k).select(query, "_last"))
+        kept = taken
+        if not open_.limit(1).count():
+            return kept.withColumnRenamed("_pos", "rank").drop("_order", *[f"_k_{n}" for n in names])
+        left = shaped.join(open_, query).filter(F.col("_order") > F.col("_last")).drop("_last")

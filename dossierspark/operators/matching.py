@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierspark.functions import text as X
-from dossierspark.functions.udfs import ratio_at_least, ratio_bound
+from dossierspark.functions.udfs import char_counts, count_bound, ratio_at_least, ratio_bound
 from dossierspark.operators.ranking import best_row, top_n
 from dossierspark.operators.sets import jaccard
-from dossierspark.session import is_at_most
-
-BROADCAST_TITLES = 20000
 
 
 def exact_stages(rows: DataFrame, ref: DataFrame, row_id: str, group: str, item: str, text: str, ref_order) -> DataFrame:
@@ -41,15 +39,17 @@ def exact_stages(rows: DataFrame, ref: DataFrame, row_id: str, group: str, item:
 
 
 def fuzzy_best(rows: DataFrame, ref: DataFrame, row_id: str, block: str, text: str, ref_item: str, least: float = 0.78) -> DataFrame:
-    """Best sequence ratio inside a block. Each distinct pair of texts is compared once, and only
-    when the lengths allow the threshold."""
-    asked = rows.filter(F.col(text) != "").select(F.col(block).alias("_b"), F.col(text).alias("_q")).distinct()
-    known = ref.filter(F.col(text) != "").groupBy(F.col(block).alias("_b"), F.col(text).alias("_t")).agg(F.min(ref_item).alias("matched_item"))
+    """Best sequence ratio inside a block. Each distinct pair of texts is compared once, and only when the
+    lengths and the classes of their characters allow the threshold; both bounds are columns."""
+    asked = rows.filter(F.col(text) != "").select(F.col(block).alias("_b"), F.col(text).alias("_q")).distinct().withColumn("_qc", char_counts("_q"))
+    known = ref.filter(F.col(text) != "").groupBy(F.col(block).alias("_b"), F.col(text).alias("_t")).agg(F.min(ref_item).alias("matched_item")).withColumn(
+        "_tc", char_counts("_t"))
     # Length classes turn the length bound into an equi-join: a class and its two neighbours.
     base = F.log(F.lit((2 - least) / least))
     cls = lambda c: F.floor(F.log(F.length(c).cast("double")) / base)
     near = known.withColumn("_c", F.explode(F.array(cls("_t") - 1, cls("_t"), cls("_t") + 1)))
     pairs = asked.withColumn("_c", cls("_q")).join(near, ["_b", "_c"]).filter(ratio_bound(F.col("_q"), F.col("_t")) >= least)
+    pairs = pairs.filter(count_bound(F.col("_qc"), F.col("_tc"), F.length("_q"), F.length("_t")) + 1e-12 >= least).drop("_qc", "_tc")
     scored = pairs.withColumn("similarity", ratio_at_least(least)("_q", "_t")).filter(F.col("similarity").isNotNull())
     best = best_row(scored, ["_b", "_q"], [F.col("similarity").desc(), F.col("matched_item")])
     return rows.select(row_id, F.col(block).alias("_b"), F.col(text).alias("_q")).join(best, ["_b", "_q"]).select(row_id, "matched_item", "similarity")
@@ -124,45 +124,63 @@ def jaccard_best(rows: DataFrame, ref: DataFrame, row_id: str, block: str, token
     return asked.join(best, [block, "_q"]).select(row_id, ref_id, "similarity", "place")
 
 
-def _best_title(keys, titles, least: float):
-    """Best title per key by the larger of sequence ratio and token overlap, with cheap bounds first."""
-    sets = [(t, set(t.split())) for t in titles]
+def _counts(texts: list[str]) -> np.ndarray:
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % 32, minlength=32) for t in texts]).astype(np.int32)
+
+
+def _best_title(keys: list[str], titles: list[str], least: float):
+    """(key, title, similarity) of the best of the sorted ``titles`` by the larger of sequence ratio and token overlap, if at ``least``.
+
+    Titles are tried by falling upper bound of both, from character classes and tokens, until no bound is over the best so far.
+    """
+    sets, counts, sizes = [set(t.split()) for t in titles], _counts(titles), np.array([len(t) for t in titles])
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(sets):
+        for token in own:
+            holders.setdefault(token, []).append(i)
     out = []
-    for key in keys:
-        mine, best, score = set(key.split()), None, 0.0
-        for t, theirs in sets:
-            overlap = len(mine & theirs) / max(len(mine | theirs), 1)
-            if max(overlap, 2.0 * min(len(key), len(t)) / max(len(key) + len(t), 1)) > score:
-                m = SequenceMatcher(None, key, t)
-                value = max(overlap, m.ratio() if m.quick_ratio() > max(score, overlap) else 0.0)
-                if value > score:
-                    best, score = t, value
-        out.append((key, best, score) if score >= least else (key, None, 0.0))
+    for key, own in zip(keys, _counts(keys)):
+        mine, best, score = set(key.split()), None, least
+        shared = np.bincount(np.array([i for t in mine for i in holders.get(t, ())], np.int64), minlength=len(titles))
+        overlap = shared / np.maximum(1, len(mine) + np.array([len(s) for s in sets]) - shared)
+        bound = np.maximum(overlap, 2.0 * np.minimum(counts, own).sum(1) / np.maximum(1, sizes + len(key)))
+        for i in np.lexsort((np.arange(len(titles)), -bound)):
+            if bound[i] < score:
+                break
+            m = SequenceMatcher(None, key, titles[i])
+            value = max(float(overlap[i]), m.ratio() if m.quick_ratio() >= score else 0.0)
+            if value > score or (value == score and (best is None or i < best)):
+                best, score = int(i), value
+        if best is not None:
+            out.append((key, titles[best], score))
     return out
 
 
-def similar_title(needles: DataFrame, titles: DataFrame, needle: str, title: str, least: float = 0.54) -> DataFrame:
-    """(needle, title, similarity) of the best title.
+def similar_title(needles: DataFrame, titles: DataFrame, needle: str, title: str, least: float = 0.54, block: int = 500, tile: int = 20_000) -> DataFrame:
+    """(needle, title, similarity) of the best title; the first by name at a tie.
 
-    A title table of checked size goes to every task. A larger one is cut into slices that are each
-    of that size, every slice gives its best title, and the best of those stays.
+    Needles are dealt to blocks and titles to tiles by hash, each one row; a block and a tile are compared in one task, and the best
+    of all tiles stays. Neither side goes through the driver.
     """
-    spark = needles.sparkSession
-    asked = needles.select(needle).filter(F.col(needle) != "").distinct()
-    known = titles.select(title).filter(F.col(title) != "").distinct()
-    slices = 1 if is_at_most(known, BROADCAST_TITLES) else int(known.count() // (BROADCAST_TITLES // 2)) + 1
-    schema = f"{needle} string, {title} string, similarity double"
-    found = None
-    for s in range(slices):
-        part = known if slices == 1 else known.filter(F.pmod(F.xxhash64(title), F.lit(slices)) == s)
-        held = spark.sparkContext.broadcast(sorted(r[0] for r in part.collect()))
-
-        def run(batches, held=held):
-            for pdf in batches:
-                yield pd.DataFrame(_best_title(pdf[needle], held.value, least), columns=[needle, title, "similarity"])
-
-        one = asked.mapInPandas(run, schema).filter(F.col(title).isNotNull())
-        found = one if found is None else found.unionByName(one)
+    asked = needles.select(F.col(needle).alias("_x")).filter("_x <> ''").distinct()
+    known = titles.select(F.col(title).alias("_x")).filter("_x <> ''").distinct()
+
+    def packed(df, most, number, name):
+        size = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("_parts"))
+        dealt = df.crossJoin(F.broadcast(size))  # one row
+        return dealt.groupBy(F.pmod(F.xxhash64("_x"), F.col("_parts")).cast("int").alias(number), "_parts").agg(F.sort_array(F.collect_list("_x")).alias(name))
+
+    tiles = packed(known, tile, "_tile", "_titles")
+    count = tiles.agg(F.max("_parts").alias("_n"))
+    blocks = packed(asked, block, "_block", "_keys").crossJoin(F.broadcast(count)).filter("_n is not null")  # one row
+    pairs = blocks.select("_keys", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_tile")).join(tiles, "_tile").select("_keys", "_titles")
+
+    def run(batches):
+        for pdf in batches:
+            for keys, names in zip(pdf["_keys"], pdf["_titles"]):
+                yield pd.DataFrame(_best_title(list(keys), list(names), least), columns=[needle, title, "similarity"])
+
+    found = pairs.mapInPandas(run, f"{needle} string, {title} string, similarity double")
     return best_row(found, [needle], [F.col("similarity").desc(), F.col(title)])
 
 

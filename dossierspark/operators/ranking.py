@@ -51,35 +51,40 @@ def cap_per_key(df: DataFrame, query, secondary, order, m: int | Column, k: int,
     return top_n(kept.drop("_in_key"), query, order, k, rank=rank)
 
 
-def ranked(df: DataFrame, keys, order, rank: str = "rank") -> DataFrame:
-    """Full row numbers per key without bringing a group into one task.
+def running(df: DataFrame, keys, order, totals: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums per key, without bringing a group into one task.
 
-    Rows are range-sorted by (keys, order) into slices; a slice numbers its own
-    rows per key, and the counts of earlier slices are added as an offset.
+    Rows are range-sorted by (keys, order) into slices, written once; a slice sums its own rows per key, and the sums of
+    earlier slices are added as an offset. A sum of ones is a row number.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(totals)
     placed = durable(
-        df.repartitionByRange(*as_cols(keys), *order).withColumn("_slice", F.spark_partition_id())
+        df.withColumns({f"_t_{n}": c for n, c in totals.items()}).repartitionByRange(*as_cols(keys), *order).withColumn("_slice", F.spark_partition_id())
     )
-    sizes = placed.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = placed.groupBy("_slice", *keys).agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys, F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_slice", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "_slice", *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in names]
     )
-    inside = Window.partitionBy("_slice", *keys).orderBy(*order)
-    numbered = placed.withColumn("_row", F.row_number().over(inside))
+    inside = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"_row_{n}": F.sum(f"_t_{n}").over(inside) for n in names})
     match = (F.col("a._slice") == F.col("b._slice"))
     for k in keys:
         match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return (
-        numbered.alias("a")
+        summed.alias("a")
         .join(offsets.alias("b"), match)
-        .select("a.*", F.col("b._offset"))
-        .withColumn(rank, F.col("_row") + F.col("_offset"))
-        .drop("_slice", "_row", "_offset")
+        .select("a.*", *[F.col(f"b._offset_{n}") for n in names])
+        .withColumns({n: F.col(f"_row_{n}") + F.col(f"_offset_{n}") for n in names})
+        .drop("_slice", *[f"{p}{n}" for n in names for p in ("_t_", "_row_", "_offset_")])
     )
 
 
+def ranked(df: DataFrame, keys, order, rank: str = "rank") -> DataFrame:
+    """Full row numbers per key without bringing a group into one task, see ``running``."""
+    return running(df, keys, order, {rank: F.lit(1)})
+
+
 def sequence_ids(df: DataFrame, order, prefix: str, width: int = 6, name: str = "seq_id") -> DataFrame:
     """Dense ids after a global sort, such as ``claim_000001``."""
     numbered = ranked(df, [], order, rank="_seq")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossierspark.functions.udfs import ratio_at_least
+from dossierspark.functions.udfs import char_counts, count_bound, ratios_at_least
 from dossierspark.operators.sets import jaccard
 from dossierspark.session import durable
 
@@ -31,14 +31,14 @@ def collapse(df: DataFrame, id_: str, block: str, key: Column):
     return chosen, linked.select(block, F.col("rep").alias("id_a"), F.col(id_).alias("id_b"))
 
 
-def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, prefix: Column, compatible) -> DataFrame:
+def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, prefix: Column, compatible, size: Column | None = None) -> DataFrame:
     """Pairs of one block that share one of their rarest elements, each pair once.
 
-    ``prefix`` is how many of the rarest elements must be looked at, ``compatible(n_a, n_b)`` the
-    length test. Only the order of the elements uses frequencies, so the bounded list of the most
+    ``prefix`` is how many of the rarest elements must be looked at, ``compatible(n_a, n_b)`` the test of both
+    sides' ``size``, by default the number of elements. Only the order of the elements uses frequencies, so the bounded list of the most
     frequent ones is an optimisation and drops nothing.
     """
-    rows = sets.select(id_, block, F.size(elements).alias("_n"), prefix.alias("_p"), F.explode(elements).alias("_e"))
+    rows = sets.select(id_, block, (F.size(elements) if size is None else size).alias("_n"), prefix.alias("_p"), F.explode(elements).alias("_e"))
     frequent = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_f")).orderBy(F.col("_f").desc(), "_e").limit(FREQUENT)
     ordered = (
         rows.join(F.broadcast(frequent), "_e", "left")
@@ -97,24 +97,29 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
 
     With ratio θ at most ``2·n·(1-θ)/θ`` characters of a pair do not match, and each destroys at most
     q of the q-grams of a text of n characters. The rest is shared, which gives the prefix.
-    Equal texts are linked to the smallest id. The ratio depends on the order of its texts; a pair links if either order does.
+    Equal texts are linked to the smallest id. The ratio depends on the order of its texts; a pair links if either order does, and
+    ``forward`` and ``backward`` tell which one: that of (id_a, id_b) or that of (id_b, id_a). Lengths are compared in the join, and classes
+    of characters before a pair reaches the ratio.
     """
     if threshold < 0.88:
         raise ValueError("below 0.88 shared 3-grams are not guaranteed")
     texts = durable(df.select(id_, block, F.col(text).alias("_x")).filter("_x <> ''"))
     reps, copies = collapse(texts, id_, block, F.col("_x"))
-    reps = durable(reps.withColumn("_g", char_grams("_x")))
+    reps = durable(reps.withColumns({"_g": char_grams("_x"), "_c": char_counts("_x")}))
     n = F.length("_x")
     loose = F.floor(2.0 * n * (1 - threshold) / threshold + 1e-9)
     # Short texts hold grams of two kinds; their prefix covers all of them.
     shared = F.when(n > 12, n - 2 - 3 * loose).otherwise(F.lit(0))
     prefix = (F.size("_g") - F.greatest(shared, F.lit(1)) + 1).cast("int")
-    candidates = prefix_candidates(reps, id_, block, "_g", prefix, lambda x, y: F.lit(True))
-    pairs = _with_sides(candidates, reps, id_, "_x")
-    la, lb = F.length("side_a"), F.length("side_b")
-    bounded = pairs.filter(2.0 * F.least(la, lb) / (la + lb) >= threshold)
-    scored = bounded.withColumn("similarity", ratio_at_least(threshold, either=True)("side_a", "side_b")).filter(F.col("similarity").isNotNull())
-    return scored.select(block, "id_a", "id_b", "similarity").unionByName(copies.withColumn("similarity", F.lit(1.0)))
+    near = lambda x, y: 2.0 * F.least(x, y) / (x + y) + F.lit(1e-12) >= threshold
+    candidates = prefix_candidates(reps, id_, block, "_g", prefix, near, n)
+    sides = reps.withColumn("_s", F.struct(F.col("_x").alias("x"), F.col("_c").alias("c"))).select(id_, "_s")
+    pairs = _with_sides(candidates, sides, id_, "_s")
+    bound = count_bound(F.col("side_a.c"), F.col("side_b.c"), F.length("side_a.x"), F.length("side_b.x"))
+    scored = pairs.filter(bound + 1e-12 >= threshold).select(block, "id_a", "id_b", ratios_at_least(threshold)(F.col("side_a.x"), F.col("side_b.x")).alias("r"))
+    found = scored.select(block, "id_a", "id_b", F.greatest("r.forward", "r.backward").alias("similarity"),
+                          F.col("r.forward").isNotNull().alias("forward"), F.col("r.backward").isNotNull().alias("backward")).filter("similarity is not null")
+    return found.unionByName(copies.withColumns({"similarity": F.lit(1.0), "forward": F.lit(True), "backward": F.lit(True)}))
 
 
 def containment_pairs(df: DataFrame, id_: str, block: str, text: str, share: float = 0.9, least: int = 40,

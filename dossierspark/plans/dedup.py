@@ -77,11 +77,42 @@ def dd_vector_pairs(spark, d):
     return S.vector_pairs(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.25).withColumn("similarity", F.round("similarity", 6))
 
 
-@reg.add("dd_near_dedupe")
+#: The fold as a recursive statement: row after row of a group, with the groups so far as a list of (first, leader, priority, members).
+_FOLD = """
+linked AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS pos, coalesce(near, []) AS links FROM rows LEFT JOIN (SELECT x, list(y) AS near FROM linked GROUP BY x) ON id = x),
+f(block, pos, gs) AS (
+  SELECT DISTINCT block, CAST(0 AS BIGINT), CAST([] AS STRUCT(first BIGINT, leader BIGINT, priority BIGINT, members BIGINT)[]) FROM rows
+  UNION ALL
+  SELECT block, pos + 1, CASE WHEN home IS NULL THEN list_append(gs, struct_pack(first := id, leader := id, priority := priority, members := CAST(1 AS BIGINT)))
+    ELSE list_transform(gs, lambda g: CASE WHEN g.first <> home THEN g WHEN priority > g.priority THEN struct_pack(first := g.first, leader := id, priority := priority, members := g.members + 1)
+      ELSE struct_pack(first := g.first, leader := g.leader, priority := g.priority, members := g.members + 1) END) END
+  FROM (SELECT f.block, f.pos, f.gs, o.id, o.priority, list_filter(f.gs, lambda g: list_contains(o.links, g.leader))[1].first AS home
+    FROM f JOIN o ON o.block = f.block AND o.pos = f.pos + 1)),
+e AS (SELECT unnest(gs) AS g FROM (SELECT arg_max(gs, pos) AS gs FROM f GROUP BY block))
+SELECT g.leader AS doc_id, g.first AS leader_seq, g.members AS members FROM e"""
+_TOKENS = f"t AS MATERIALIZED (SELECT doc_id AS id, lang AS block, n_chars, {NORM} AS norm, list_sort(list_distinct(string_split({NORM}, ' '))) AS tok FROM documents)"
+_PAIRS = " pairs AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.block = b.block AND a.id < b.id AND "
+_NEAR = ("(least(len(a.tok), len(b.tok)) >= {t} * greatest(len(a.tok), len(b.tok)) - 1e-9 AND "
+         "len(list_intersect(a.tok, b.tok)) >= {t} * (len(a.tok) + len(b.tok) - len(list_intersect(a.tok, b.tok))))")
+
+
+@reg.add("dd_near_dedupe", f"WITH RECURSIVE {_TOKENS}, rows AS (SELECT id, block, -n_chars AS priority FROM t),{_PAIRS}{_NEAR.format(t=0.94)}),{_FOLD}")
 def dd_near_dedupe(spark, d):
     rows = doc_tokens(spark, d)
-    edges = S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.94)
-    return G.leader_dedupe(rows, edges, "doc_id", "tokens", "norm", [-F.col("n_chars")], F.col("doc_id"), 0.94)
+    pairs = S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.94)
+    return G.leader_dedupe(rows, [G.hubs_of(pairs)], "doc_id", [-F.col("n_chars")], F.col("doc_id"))
+
+
+@reg.add("dd_near_vectors", f"""WITH RECURSIVE {_TOKENS}, v AS (SELECT t.*, CAST(embedding AS DOUBLE[]) AS v FROM t JOIN embeddings ON vec_id = id), rows AS (SELECT id, block, -n_chars AS priority FROM t),
+pairs AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.block = b.block AND a.id < b.id AND {_NEAR.format(t=0.94)}
+  UNION SELECT a.id, b.id FROM v a JOIN v b ON a.block = b.block AND a.id < b.id AND list_inner_product(a.v, b.v) >= 0.4),{_FOLD}""")
+def dd_near_vectors(spark, d):
+    """Links by tokens or by vectors of the same number; the shared vectors hold few pairs beyond 0.4."""
+    rows = doc_tokens(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(rows.select("doc_id", "lang"), "doc_id")
+    relations = [G.hubs_of(S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.94)), G.hubs_of(S.vector_pairs(vectors, "doc_id", "lang", "embedding", 0.4))]
+    return G.leader_dedupe(rows, relations, "doc_id", [-F.col("n_chars")], F.col("doc_id"))
 
 
 def sentence_claims(spark, d):
@@ -110,15 +141,15 @@ def dd_claims_jaccard(spark, d):
     return near.unionByName(inside)
 
 
-@reg.add("dd_claims_greedy")
+@reg.add("dd_claims_greedy", f"""WITH RECURSIVE {_TOKENS}, rows AS (SELECT id, block, n_chars AS priority FROM t),{_PAIRS}(a.norm = b.norm
+  OR (least(length(a.norm), length(b.norm)) >= 40 AND least(length(a.norm), length(b.norm)) >= 0.9 * greatest(length(a.norm), length(b.norm)) AND (contains(a.norm, b.norm) OR contains(b.norm, a.norm)))
+  OR (least(len(a.tok), len(b.tok)) >= 6 AND {_NEAR.format(t=0.92)}))),{_FOLD}""")
 def dd_claims_greedy(spark, d):
     rows = doc_tokens(spark, d)
-    near = S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.92, least_tokens=6).select("id_a", "id_b")
-    edges = near.unionByName(S.containment_pairs(rows, "doc_id", "lang", "norm").select("id_a", "id_b"))
-    # Equal texts with fewer than six tokens are linked by their text.
-    _, equal = S.collapse(rows.select("doc_id", "lang", "norm"), "doc_id", "lang", F.col("norm"))
-    edges = edges.unionByName(equal.select("id_a", "id_b")).distinct()
-    return G.leader_dedupe(rows, edges, "doc_id", "tokens", "norm", [F.col("n_chars")], F.col("doc_id"), same=G.same_claim)
+    near = S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.92, least_tokens=6)
+    copies = G.copies_of(rows, "doc_id", [F.col("lang"), F.col("norm")])
+    relations = [G.hubs_of(near), G.text_hubs(copies, S.containment_pairs(rows, "doc_id", "lang", "norm"))]
+    return G.leader_dedupe(rows, relations, "doc_id", [F.col("n_chars")], F.col("doc_id"))
 
 
 def turn_claims(spark, d):
@@ -134,11 +165,10 @@ def turn_claims(spark, d):
 @reg.add("dd_claims")
 def dd_claims(spark, d):
     rows = turn_claims(spark, d)
-    near = S.ratio_pairs(rows, "id", "conv_id", "claim", 0.90).select("id_a", "id_b")
-    _, same_quote = S.collapse(rows.filter("quote <> ''"), "id", "conv_id", F.col("quote"))
-    edges = near.unionByName(same_quote.select("id_a", "id_b")).distinct()
+    near = S.ratio_pairs(rows, "id", "conv_id", "claim", 0.90)
+    same_quote = G.copies_of(rows.filter("quote <> ''"), "id", [F.col("conv_id"), F.col("quote")])
     role = F.when(F.col("role") == "assistant", 2).when(F.col("role") == "user", 1).otherwise(0)
-    return G.member_groups(rows, edges, "id", "claim", "quote", [role, F.col("n")], F.col("id"), 0.90)
+    return G.member_groups(rows, [G.hubs_of(near), same_quote], "id", [role, F.col("n")], F.col("id"))
 
 
 # ---- matching --------------------------------------------------------------
