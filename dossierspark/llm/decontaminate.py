@@ -9,8 +9,8 @@ shingles in the whole document.
 
 The items are a stated query set. They go past the documents in blocks of at most ``ITEMS`` items, each broadcast.
 
-Defined results: words are runs of letters and digits in lower case; an item with fewer words than a shingle is one shingle
-and is found in documents of just these words; items or documents that are null or without words match nothing; repeated rows
+Defined results: words are runs of letters and digits in lower case; an item with fewer words than a shingle is one shingle of
+its own width, and documents are cut at the widths that the items have, so it is found inside longer texts; items or documents that are null or without words match nothing; repeated rows
 of an item_id are one item (its smallest text), repeated rows of a doc_id give one row; an empty benchmark matches nothing.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierspark.llm.rows import checked_broadcast, quoted, with_columns
-from dossierspark.llm.shingles import WordHashes, letter_words, shingle_set
+from dossierspark.llm.shingles import WordHashes, letter_words, runs_set, shingle_set
 from dossierspark.session import durable
 
-#: Items of one block.
-ITEMS = 50_000
+#: Items of one block, words of a shingle.
+ITEMS, SHINGLE = 50_000, 5
 
 
 def signature_width(n: int, num: int, den: int) -> int:
@@ -35,13 +35,14 @@ def signature_width(n: int, num: int, den: int) -> int:
 
 
 def _index(items: list[tuple[int, str]], num: int, den: int):
-    """Sets by place, and the sorted signature hashes with the items that hold them."""
+    """Sets by place, the sorted signature hashes with the items that hold them, and the widths of shingles."""
     known = WordHashes()
-    sets = [(item, s) for item, text in items if len(s := shingle_set(letter_words(text), known))]
+    texts = [(item, words) for item, text in items if (words := letter_words(text))]
+    sets = [(item, shingle_set(words, known)) for item, words in texts]
     hashes = np.concatenate([*[s[:signature_width(len(s), num, den)] for _, s in sets], np.empty(0, np.int64)])
     owners = np.repeat(np.arange(len(sets)), [min(len(s), signature_width(len(s), num, den)) for _, s in sets])
     order = np.argsort(hashes, kind="stable")
-    return sets, hashes[order], owners[order]
+    return sets, hashes[order], owners[order], sorted({min(SHINGLE, len(words)) for _, words in texts})
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int = 5, block: int = ITEMS) -> DataFrame:
@@ -57,7 +58,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int = 5,
 
 
 def _search(docs: DataFrame, index, num: int, den: int) -> DataFrame:
-    sets, hashes, owners = index
+    sets, hashes, owners, widths = index
     found_type = pa.struct([("item_id", pa.int64()), ("item_shingles", pa.int64()), ("shared", pa.int64())])
 
     def make():
@@ -66,7 +67,7 @@ def _search(docs: DataFrame, index, num: int, den: int) -> DataFrame:
         door[hashes & 0xFFFFF] = True
 
         def of(text):
-            s = shingle_set(letter_words(text), known)
+            s = runs_set(letter_words(text), known, widths)
             near = s[door[s & 0xFFFFF]]
             lo, hi = np.searchsorted(hashes, near, "left"), np.searchsorted(hashes, near, "right")
             out = []

@@ -29,15 +29,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(words: list[bytes], known: WordHashes, size: int = 5) -> np.ndarray:
     """Sorted distinct int64 hashes of all runs of ``size`` words; fewer words are one run, no words none."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
+    return runs_set(words, known, [min(size, len(words))])
+
+
+def runs_set(words: list[bytes], known: WordHashes, widths: list[int]) -> np.ndarray:
+    """Sorted distinct int64 hashes of all runs of words of each of the ``widths``; runs of different widths have different hashes."""
+    n, parts = len(words), [np.empty(0, np.int64)]
     a = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-    width = min(size, n)
-    h = a[:n - width + 1] + np.uint64(width)
-    for k in range(1, width):
-        h = _mixed(h) + a[k:n - width + 1 + k]
-    return np.unique(_mixed(h).view(np.int64))
+    for width in widths:
+        if 0 < width <= n:
+            h = a[:n - width + 1] + np.uint64(width)
+            for k in range(1, width):
+                h = _mixed(h) + a[k:n - width + 1 + k]
+            parts.append(_mixed(h).view(np.int64))
+    return np.unique(np.concatenate(parts))
 
 
 def plain_words(text: str | None) -> list[bytes]:

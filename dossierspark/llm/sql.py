@@ -26,9 +26,10 @@ CONTAINED = r"""
 WITH words AS (
   SELECT 0 AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark WHERE text IS NOT NULL),
+widths AS (SELECT DISTINCT least(len(w), 5) AS width FROM words WHERE side = 1 AND len(w) > 0),
 shingles AS (
-  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  SELECT DISTINCT side, id, array_to_string(w[i:i + width - 1], ' ') AS s
+  FROM (SELECT side, id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM words, widths WHERE len(w) >= width AND (side = 0 OR width = least(len(w), 5)))),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n) AS item_shingles, count(*) AS shared
 FROM shingles i JOIN shingles d ON d.s = i.s AND d.side = 0 JOIN sizes z ON z.id = i.id
