@@ -2,7 +2,7 @@
 
 Every language has a byte context tree of order 0 to 3 with escape probabilities (escape method C: a context seen
 n times with d different next bytes escapes with d / (n + d)). The statistics are frozen after learning, so the code
-length of a next byte after a context is a constant; all constants fit one table per language and scoring is a table
+length of a next byte after a context is a constant. Every learned context of a language has its row of constants, so scoring is a table
 lookup per byte. The language with the shortest exact code length of the whole text wins.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal code lengths go to the first
@@ -24,9 +24,6 @@ from dossierspark.llm.rows import crc_rest, passes, with_columns
 ORDER = 3
 LEAD = b" " * ORDER
 LETTER = re.compile(r"[^\W\d_]")
-#: Contexts of order 2 and 3 that get a row of their own; beyond them the next shorter context is used.
-PAIR_ROWS, TRIPLE_ROWS = 6_000, 16_000
-
 
 @dataclass
 class Ppm:
@@ -35,40 +32,53 @@ class Ppm:
     codes: list[np.ndarray]
     counts: list[np.ndarray]
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Row of each three-byte context, and per language the bits of each (row, next byte)."""
-        every = np.concatenate([*self.codes, np.empty(0, np.uint32)])
-        weight = np.concatenate([*self.counts, np.empty(0, np.int64)])
-        pairs = _frequent(every >> 8 & 0xFFFF, weight, PAIR_ROWS)
-        triples = _frequent(every >> 8, weight, TRIPLE_ROWS)
-        n1, n2 = 1 + 256, 1 + 256 + len(pairs)
-        row2 = np.tile(np.arange(1, 257, dtype=np.uint16), 256)
-        row2[pairs] = np.arange(n1, n2)
-        rows = np.tile(row2, 256)
-        shorter = rows[triples].copy()
-        rows[triples] = np.arange(n2, n2 + len(triples))
-        bits = []
-        for codes, counts in zip(self.codes, self.counts):
-            cost = np.empty((n2 + len(triples), 256), np.float32)
-            cost[0] = _level(codes, counts, 0, np.zeros(1, np.int64), np.full((1, 256), 8.0))[0]
-            cost[1:n1] = _level(codes, counts, 1, np.arange(256), np.repeat(cost[:1], 256, 0))
-            cost[n1:n2] = _level(codes, counts, 2, pairs, cost[1 + (pairs & 255)])
-            cost[n2:] = _level(codes, counts, 3, triples, cost[shorter])
-            bits.append(cost.ravel())
-        return rows, bits
-
-
-def _frequent(contexts: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
-    seen, at = np.unique(contexts, return_inverse=True)
-    total = np.bincount(at, weight, len(seen))
-    return np.sort(seen[np.lexsort((seen, -total))[:most]]).astype(np.int64)
-
-
-def _level(codes: np.ndarray, counts: np.ndarray, order: int, contexts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Bits of every next byte after each context: its own count, or an escape and the shorter context's bits."""
+    def tables(self) -> list[Tree]:
+        """The frozen tree of every language."""
+        return [_tree(codes, counts) for codes, counts in zip(self.codes, self.counts)]
+
+
+@dataclass
+class Tree:
+    """Bits of every (context, next byte) of one language. A context a b c has the row ``rows[block[b c] + a]``: that of its longest known ending.
+
+    Bytes never learned cost the same after a context, so they share the last column; ``column`` tells the place of each byte in a row.
+    """
+    block: np.ndarray
+    rows: np.ndarray
+    bits: np.ndarray
+    column: np.ndarray
+    width: int
+
+
+def _tree(codes: np.ndarray, counts: np.ndarray) -> Tree:
+    pairs, triples = np.unique(codes >> 8 & 0xFFFF).astype(np.int64), np.unique(codes >> 8).astype(np.int64)
+    n1, n2 = 1 + 256, 1 + 256 + len(pairs)
+    seen = np.unique(codes & 255).astype(np.int64)
+    width = len(seen) + 1
+    column = np.full(256, len(seen), np.int32)
+    column[seen] = np.arange(len(seen))
+    # Blocks 0 to 255 are of pairs never seen and know the last byte alone; then a block a known pair.
+    block = np.tile(np.arange(256, dtype=np.int32), 256) << 8
+    block[pairs] = (256 + np.arange(len(pairs), dtype=np.int32)) << 8
+    rows = np.repeat(np.concatenate([np.arange(1, n1), np.arange(n1, n2)]).astype(np.int32), 256)
+    at = block[triples & 0xFFFF] + (triples >> 16)
+    shorter = rows[at].copy()
+    rows[at] = np.arange(n2, n2 + len(triples))
+    cost = np.empty((n2 + len(triples), width), np.float32)
+    level = lambda order, contexts, base: _level(codes, counts, order, contexts, base, column)
+    cost[0] = level(0, np.zeros(1, np.int64), np.full((1, width), 8.0))[0]
+    cost[1:n1] = level(1, np.arange(256), np.repeat(cost[:1], 256, 0))
+    cost[n1:n2] = level(2, pairs, cost[1 + (pairs & 255)])
+    for lo in range(0, len(triples), 4096):
+        cost[n2 + lo:n2 + lo + 4096] = level(3, triples[lo:lo + 4096], cost[shorter[lo:lo + 4096]])
+    return Tree(block, rows, cost.ravel(), column, width)
+
+
+def _level(codes: np.ndarray, counts: np.ndarray, order: int, contexts: np.ndarray, shorter: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Bits of every next byte after each of the sorted contexts: its own count, or an escape and the shorter context's bits."""
     gram, at = np.unique(codes & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
     count = np.bincount(at, counts, len(gram)) if len(gram) else np.zeros(0)
-    ctx, byte = (gram >> 8).astype(np.int64), (gram & 255).astype(np.int64)
+    ctx, byte = (gram >> 8).astype(np.int64), column[gram & 255]
     row = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1) if len(contexts) else np.zeros(len(ctx), np.int64)
     own = contexts[row] == ctx if len(contexts) else np.zeros(len(ctx), bool)
     row, byte, count = row[own], byte[own], count[own]
@@ -98,12 +108,15 @@ def fit(samples: list[tuple[str, str]]) -> Ppm:
 
 
 def learn(docs: DataFrame, per_lang: int = 300, max_chars: int = 20_000, mod: int = 4, left_out: int = 2) -> Ppm:
-    """Learns from at most ``per_lang`` documents a language, of at most ``max_chars`` characters, in the order of a hash of doc_id.
+    """Learns from at most ``per_lang`` documents a language, in the order of a hash of doc_id; of a document of more than ``max_chars``
+    characters from so many in its middle.
 
     Rows whose crc32(doc_id) mod ``mod`` is ``left_out``, null languages and texts without a letter are not learned from.
     """
-    usable = docs.select("doc_id", "text", "lang").filter(
-        F.col("lang").isNotNull() & (crc_rest("doc_id", mod) != left_out) & F.length("text").between(1, max_chars) & F.col("text").rlike(r"\p{L}"))
+    beyond = F.greatest(F.lit(0), F.length("text") - max_chars)
+    window = F.when(beyond == 0, F.col("text")).otherwise(F.substr("text", F.floor(beyond / 2).cast("int") + 1, F.lit(max_chars)))
+    usable = docs.filter(F.col("lang").isNotNull() & (crc_rest("doc_id", mod) != left_out)).select("doc_id", "lang", window.alias("text")).filter(
+        F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang).select("doc_id", "lang").distinct()
     rows = usable.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
@@ -114,22 +127,23 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def code_lengths(texts: list[str], rows: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+def code_lengths(texts: list[str], trees: list[Tree]) -> np.ndarray:
     """Bits of each text under each language, texts by languages."""
     raws = [LEAD + _bytes(t) for t in texts]
     ends = np.cumsum([len(r) for r in raws])
     starts = np.concatenate([[0], ends[:-1]]) + ORDER
     b = np.frombuffer(b"".join(raws), np.uint8)
-    out = np.zeros((len(texts), len(bits)))
+    out = np.zeros((len(texts), len(trees)))
     step = 1 << 20
     for s in range(ORDER, len(b), step):
         e = min(len(b), s + step)
         w = b[s - ORDER:e].astype(np.int32)
-        at = rows[w[:-3] << 16 | w[1:-2] << 8 | w[2:-1]].astype(np.int32) << 8 | w[3:]
+        ending = w[1:-2] << 8 | w[2:-1]
         lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
         left, right = np.maximum(starts[lo:hi], s) - s, np.minimum(ends[lo:hi], e) - s
-        for k, table in enumerate(bits):
-            total = np.concatenate([[0.0], np.cumsum(table[at], dtype=np.float64)])
+        for k, tree in enumerate(trees):
+            at = tree.rows[tree.block[ending] + w[:-3]] * np.int64(tree.width) + tree.column[w[3:]]
+            total = np.concatenate([[0.0], np.cumsum(tree.bits[at], dtype=np.float64)])
             out[lo:hi, k] += total[np.maximum(right, left)] - total[left]
     return out
 
@@ -137,7 +151,7 @@ def code_lengths(texts: list[str], rows: np.ndarray, bits: list[np.ndarray]) ->
 def identify(docs: DataFrame, model: Ppm, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with lang_pred, score (the winner's posterior) and bits_per_byte under the winner."""
     def make():
-        rows, bits = model.tables()
+        trees = model.tables()
 
         def fn(column):
             texts = column.to_pylist()
@@ -146,7 +160,7 @@ def identify(docs: DataFrame, model: Ppm, text: str = "text", drop: tuple[str, .
             real = [i for i, t in enumerate(texts) if t and model.langs and LETTER.search(t)]
             for lo, hi in passes([texts[i] for i in real]):
                 part = real[lo:hi]
-                length = code_lengths([texts[i] for i in part], rows, bits)
+                length = code_lengths([texts[i] for i in part], trees)
                 best = length.argmin(1)
                 gap = np.exp2(-np.minimum(length - length.min(1)[:, None], 1000.0))
                 score[part] = 1.0 / gap.sum(1)

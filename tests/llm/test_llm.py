@@ -377,7 +377,7 @@ def slow_bits(model, k, text):
 def test_code_lengths_equal_a_tree_walk():
     model = language.fit([("en", "the cat sat on the mat"), ("fr", "le chat est là, été"), ("en", "a dog in the fog")])
     tables, texts = model.tables(), ["the dog", "été là", "x", "日本 the", "THE CAT " * 40]
-    got = language.code_lengths(texts, *tables)
+    got = language.code_lengths(texts, tables)
     assert got == pytest.approx(np.array([[slow_bits(model, k, t) for k in range(2)] for t in texts]), rel=1e-4)
 
 
@@ -448,7 +448,7 @@ def test_anchors_without_an_end(anchor):
 
 def test_links_over_blocks_still_weigh_nothing():
     card = "<a href=http://x.org/><div>teaser of another page, long enough</div><p>more of the teaser</p></a>"
-    assert [w for line, w, _ in extract.lines_of(f"<div>{card * 3}</div>") if line] == [0] * 6
+    assert [w for line, w, *_ in extract.lines_of(f"<div>{card * 3}</div>") if line] == [0] * 6
 
 
 def test_extract_of_odd_rows(spark):
