@@ -302,5 +302,5 @@ def quote_validate(spark, d):
              .when(F.col("turn") % 5 == 2, F.concat_ws("...", F.substring(F.upper(s), 1, 12), F.substr(s, F.lit(25))))
              .when(F.col("turn") % 5 == 3, F.regexp_replace(s, "e", "ee")).otherwise(F.reverse(s)))
     rows = t.select("conv_id", "turn", quote.alias("quote"), F.col("text").alias("chunk"))
-    valid, failed = QU.validate_quotes(rows, "quote", "chunk", ["conv_id", "turn"])
+    valid, failed = QU.validate_quotes(rows, "quote", "chunk", ["conv_id", "turn"], {end: end for end in QU.LOOSE_ENDS})
     return valid.unionByName(failed).select("conv_id", "turn", "status", "score", "detail")

@@ -108,9 +108,14 @@ i AS (SELECT *, CASE WHEN original = 'llm_exposure' THEN 'automation_exposure' W
   WHEN {_w('productivity', 'quote')} AND NOT {_w('job_roles', 'quote')} THEN 'productivity_effect' WHEN ai_relevance = 'indirect_labor_context' THEN 'labor_market_context' ELSE 'other' END AS impact_clean FROM r)"""
 
 
+#: Sentences of this binding: the rule's own name.
+WHY = {rule: rule for rule in L.IMPACT_RULES}
+WHY_DIRECTION = {rule: rule for rule in L.DIRECTION_RULES}
+
+
 @reg.add("impact_clean", SQL_IMPACT + " SELECT doc_id, position, impact_clean FROM i")
 def impact_clean(spark, d):
-    out = L.impact_type(related_claims(spark, d), TERMS, STRONG, VALID)
+    out = L.impact_type(related_claims(spark, d), WHY, TERMS, STRONG, VALID)
     return out.select("doc_id", "position", F.col("impact_type_clean").alias("impact_clean"))
 
 
@@ -131,21 +136,21 @@ _REASON_NEG = _first_words(_NEG, "claim", "text")
 
 @reg.add("direction_clean", SQL_IMPACT + f""",
 x AS (SELECT doc_id, position, CASE
-  WHEN moving AND {_any(D_TERMS['transition_harm'], 'claim')} THEN 'negative|transition with ' || {_first_words(D_TERMS['transition_harm'], 'claim')}
-  WHEN moving AND {_w('declining')} AND {_w('rising')} THEN 'mixed|declining to rising occupations' WHEN moving AND {_w('occupational_transition')} THEN 'uncertain|occupational transitions'
-  WHEN impact_clean = 'automation_exposure' AND NOT {_any(_NEG, 'text')} THEN 'uncertain|exposure without harm'
-  WHEN direction = 'uncertain' AND {_any(_UNC, 'text')} AND {_any(_NEG, 'claim')} AND {_any(_POS, 'claim')} THEN 'mixed|negative and positive terms'
-  WHEN direction = 'uncertain' AND {_any(_UNC, 'text')} THEN 'uncertain|uncertain terms ' || {_first_words(_UNC, 'text')}
-  WHEN direction = 'negative' AND {_ANYNEG} AND {_any(_POS, 'claim')} AND NOT {_any(D_TERMS['limiting'], 'claim')} THEN 'mixed|negative and positive terms: ' || {_REASON_NEG}
-  WHEN direction = 'negative' AND {_ANYNEG} THEN 'negative|negative terms ' || {_REASON_NEG}
-  WHEN direction = 'negative' AND exposed THEN 'uncertain|potential rather than harm' WHEN direction = 'negative' THEN 'negative|kept negative'
-  WHEN {_ANYNEG} AND {_any(_POS, 'claim')} THEN 'mixed|negative and positive terms: ' || {_REASON_NEG} WHEN {_ANYNEG} THEN 'negative|negative terms ' || {_REASON_NEG}
-  WHEN {_any(_POS, 'claim')} OR {_any(_POS, 'text')} THEN 'positive|positive terms ' || {_first_words(_POS, 'claim', 'text')}
-  WHEN {_any(_UNC, 'text')} THEN 'uncertain|uncertain terms ' || {_first_words(_UNC, 'text')}
+  WHEN moving AND {_any(D_TERMS['transition_harm'], 'claim')} THEN 'negative|harm ' || {_first_words(D_TERMS['transition_harm'], 'claim')}
+  WHEN moving AND {_w('declining')} AND {_w('rising')} THEN 'mixed|shift' WHEN moving AND {_w('occupational_transition')} THEN 'uncertain|occupational'
+  WHEN impact_clean = 'automation_exposure' AND NOT {_any(_NEG, 'text')} THEN 'uncertain|exposure'
+  WHEN direction = 'uncertain' AND {_any(_UNC, 'text')} AND {_any(_NEG, 'claim')} AND {_any(_POS, 'claim')} THEN 'mixed|both_uncertain'
+  WHEN direction = 'uncertain' AND {_any(_UNC, 'text')} THEN 'uncertain|uncertain ' || {_first_words(_UNC, 'text')}
+  WHEN direction = 'negative' AND {_ANYNEG} AND {_any(_POS, 'claim')} AND NOT {_any(D_TERMS['limiting'], 'claim')} THEN 'mixed|both ' || {_REASON_NEG}
+  WHEN direction = 'negative' AND {_ANYNEG} THEN 'negative|negative ' || {_REASON_NEG}
+  WHEN direction = 'negative' AND exposed THEN 'uncertain|potential' WHEN direction = 'negative' THEN 'negative|kept negative'
+  WHEN {_ANYNEG} AND {_any(_POS, 'claim')} THEN 'mixed|both ' || {_REASON_NEG} WHEN {_ANYNEG} THEN 'negative|negative ' || {_REASON_NEG}
+  WHEN {_any(_POS, 'claim')} OR {_any(_POS, 'text')} THEN 'positive|positive ' || {_first_words(_POS, 'claim', 'text')}
+  WHEN {_any(_UNC, 'text')} THEN 'uncertain|uncertain ' || {_first_words(_UNC, 'text')}
   WHEN direction IN ('positive', 'negative', 'mixed', 'uncertain') THEN direction || '|kept ' || direction ELSE 'uncertain|fallback' END AS r FROM i)
 SELECT doc_id, position, split_part(r, '|', 1) AS direction_clean, split_part(r, '|', 2) AS reason FROM x""")
 def direction_clean(spark, d):
-    out = L.impact_direction(L.impact_type(related_claims(spark, d), TERMS, STRONG, VALID), D_TERMS)
+    out = L.impact_direction(L.impact_type(related_claims(spark, d), WHY, TERMS, STRONG, VALID), WHY_DIRECTION, D_TERMS)
     return out.select("doc_id", "position", F.col("impact_direction_clean").alias("direction_clean"),
                       F.col("impact_direction_reason").alias("reason"))
 
@@ -159,6 +164,22 @@ def use_scope(spark, d):
     return c.select("doc_id", "position", scope.alias("generator_use_scope"))
 
 
+_SCOPE = (f"CASE WHEN {SQL_RELEVANCE} = 'non_ai_context' THEN 'exclude' WHEN affected = 'occupation' AND entity NOT IN ('src1', 'src2') THEN 'job_specific' "
+          "WHEN affected IN ('task', 'skill') THEN 'task_or_skill_linkable' ELSE 'background_context' END")
+
+
+@reg.add("claim_filters", SQL_IMPACT + f""",
+sc AS (SELECT *, {_SCOPE} AS scope, CASE WHEN position % 7 = 3 THEN 'failed' WHEN position % 7 = 4 THEN NULL ELSE 'exact_match' END AS quote_status FROM i)
+SELECT doc_id, position, scope, impact_clean FROM sc
+WHERE coalesce(quote_status, '') <> 'failed' AND scope <> 'exclude' AND scope IN ('job_specific', 'task_or_skill_linkable') AND impact_clean IN {_in(sorted(VALID))}""")
+def claim_filters(spark, d):
+    c = L.impact_type(related_claims(spark, d), WHY, TERMS, STRONG, VALID)
+    c = c.withColumn("scope", L.use_scope(F.col("ai_relevance"), F.col("affected_entity_type"), F.col("affected_entity_text"), ["src1", "src2"]))
+    status = F.when(F.col("position") % 7 == 3, "failed").when(F.col("position") % 7 != 4, "exact_match")
+    checks = [(F.col("ai_relevance"), None), (F.col("scope"), ["job_specific", "task_or_skill_linkable", " "]), (F.col("impact_type_clean"), sorted(VALID))]
+    return c.filter(L.claim_filter(status, F.col("scope"), checks)).select("doc_id", "position", "scope", F.col("impact_type_clean").alias("impact_clean"))
+
+
 @reg.add("dq_label_warnings", SQL_IMPACT + f"""
 SELECT doc_id, position, unnest(list_filter([CASE WHEN direction = 'negative' AND impact_clean = 'productivity_effect' THEN 'negative_to_productivity' END,
   CASE WHEN original = 'worker_vulnerability' AND impact_clean = 'productivity_effect' THEN 'vulnerability_to_productivity' END,
@@ -167,7 +188,7 @@ SELECT doc_id, position, unnest(list_filter([CASE WHEN direction = 'negative' AN
   CASE WHEN {Q.word('claim', 'thin')} AND impact_clean = 'productivity_effect' THEN 'vulnerable_words_productivity' END, CASE WHEN moving AND direction = 'positive' THEN 'transition_positive' END], lambda x: x IS NOT NULL)) AS warning_type FROM i""")
 def dq_label_warnings(spark, d):
     from dossierspark.operators.quality import label_warnings
-    c = L.impact_type(related_claims(spark, d), TERMS, STRONG, VALID).withColumn("key", F.struct("doc_id", "position"))
+    c = L.impact_type(related_claims(spark, d), WHY, TERMS, STRONG, VALID).withColumn("key", F.struct("doc_id", "position"))
     new, old, way, claim = F.col("impact_type_clean"), F.col("impact_type"), F.col("impact_direction"), F.col("_claim_words")
     rules = [
         ("negative_to_productivity", (way == "negative") & (new == "productivity_effect")),

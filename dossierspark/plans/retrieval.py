@@ -153,7 +153,8 @@ def knn_rerank(spark, d):
 @reg.add("dd_ranked_greedy")
 def dd_ranked_greedy(spark, d):
     hits = reranked(spark, d).withColumns({"tokens": X.tokens(F.coalesce("text", F.lit("")), (), 1), "norm": X.normalize_text(F.col("text"))}).drop("reasons")
-    keys = [("id", F.col("vec_id").cast("string")), ("claim", F.md5("norm")), ("task", F.when(F.col("lang") == "en", F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string"))))]
+    keys = [("id", F.col("vec_id").cast("string")), ("claim", F.md5("norm")), ("task", F.when(F.col("lang") == "en", F.concat_ws("|", "source", "lang", F.col("n_chars").cast("string")))),
+            ("source_metric", F.concat_ws("|", "source", "lang", "label", F.floor(F.col("n_chars") / 100).cast("string")))]
     out = greedy_ranked(hits, "qid", [F.col("place")], keys, "tokens", 8)
     return out.select(F.col("qid").cast("long").alias("qid"), F.col("rank").cast("long").alias("rank"), "vec_id", F.round("reranked", 6).alias("reranked"))
 

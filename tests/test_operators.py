@@ -197,7 +197,7 @@ def test_label_cases(spark):
     rows = [(i, c[0], c[0], "", None, c[1], c[2], "other", "indirect_labor_context") for i, c in enumerate(cases)]
     df = spark.createDataFrame(rows, "id int, claim_text string, evidence_quote string, affected_entity_text string, mentions array<string>, "
                                "impact_type string, impact_direction string, affected_entity_type string, ai_relevance string")
-    out = L.clean_claims(df).orderBy("id").collect()
+    out = L.clean_claims(df, {r: r for r in L.IMPACT_RULES}, {r: r for r in L.DIRECTION_RULES}).orderBy("id").collect()
     assert [(r.impact_type_clean, r.impact_direction_clean) for r in out] == [c[3:] for c in cases]
 
 
@@ -217,7 +217,7 @@ def test_quotes(spark):
     quotes = ["changes many tasks", "The first study shows that automation", "automation changes ... wages and total employment",
               "automation alters many tasks while wages and total employment stay the sane in most sectors", "nothing of this kind was ever said by anyone at any time", ""]
     df = spark.createDataFrame([(i, q, chunk) for i, q in enumerate(quotes)], "id int, q string, c string")
-    valid, failed = QU.validate_quotes(df, "q", "c", ["id"])
+    valid, failed = QU.validate_quotes(df, "q", "c", ["id"], {e: e for e in QU.LOOSE_ENDS})
     got = {r.id: r.status for r in valid.unionByName(failed).collect()}
     assert got == {0: "exact_match", 1: "normalized_match", 2: "relaxed_punctuation_match", 3: "fuzzy_match", 4: "failed", 5: "failed"}
 
@@ -379,9 +379,9 @@ def test_loose_quotes_find_the_best_window(spark):
     text = "the river ran past the old mill and the people of the valley lived by its water for many years " * 3
     quote = "river ran past an old mill and the peoples of the valley lived by the water"
     rows = spark.createDataFrame([(1, quote, text), (2, "nothing like this stands in that text at all, not one line of it", text), (3, "short one", text)], "k int, q string, c string")
-    valid, failed = validate_quotes(rows, "q", "c", ["k"])
+    valid, failed = validate_quotes(rows, "q", "c", ["k"], {e: e for e in QU.LOOSE_ENDS})
     assert [(r["k"], r["status"]) for r in valid.collect()] == [(1, "fuzzy_match")]
-    assert {r["k"]: r["detail"] for r in failed.collect()}[3] == "quote too short"
+    assert {r["k"]: r["detail"] for r in failed.collect()}[3] == "short"
 
 
 def test_knn_within_hot_entities_and_odd_rows(spark):
