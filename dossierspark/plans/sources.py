@@ -143,7 +143,7 @@ def inc_anti_insert(spark, d):
     tag = lambda df, n: df.select("o_orderkey", F.lit(n).cast("long").alias("batch"), "o_totalprice")
     incremental.incremental_append(tag(orders.filter("o_orderstatus = 'F'"), 1), store, "o_orderkey", [F.col("o_totalprice"), F.col("batch")])
     incremental.incremental_append(tag(orders.unionByName(orders), 2), store, "o_orderkey", [F.col("o_totalprice"), F.col("batch")])
-    return spark.read.parquet(store)
+    return incremental.read_store(spark, store)
 
 
 @reg.add("stream_incremental", "SELECT event_id, user_id, event_type, value FROM events")
@@ -155,7 +155,7 @@ def stream_incremental(spark, d):
     # The second drop repeats a part of the first; the restarted stream inserts only what is new.
     events.filter("value >= 5 OR value IS NULL").write.mode("append").parquet(source)
     incremental.ingest_stream(spark, source, events.schema, store, mark, "event_id", [F.col("user_id"), F.col("event_type"), F.col("value")])
-    return spark.read.parquet(store)
+    return incremental.read_store(spark, store)
 
 
 @reg.add("meta_flatten", """

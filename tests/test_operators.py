@@ -367,11 +367,23 @@ def test_shared_folder_or_refusal():
 
 def test_incremental_keeps_the_first_row_in_order(spark, tmp_path):
     from pyspark.sql import functions as F
-    from dossierspark.streaming.incremental import incremental_append
+    from dossierspark.streaming.incremental import incremental_append, read_store, stored_ids
+    store = str(tmp_path / "store")
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
     for _ in range(2):
-        incremental_append(rows, str(tmp_path / "store"), "k", [F.col("v")])
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [(1, "a"), (2, "c")]
+        incremental_append(rows, store, "k", [F.col("v")])
+    assert sorted(tuple(r) for r in read_store(spark, store).collect()) == [(1, "a"), (2, "c")]
+    incremental_append(spark.range(500).select(F.col("id").cast("int").alias("k"), F.lit("z").alias("v")), store, "k", [F.col("v")])
+    incremental_append(rows.limit(0), store, "k", [F.col("v")])
+    got = read_store(spark, store)
+    assert got.count() == 500 == got.select("k").distinct().count() and got.filter("v <> 'z'").count() == 2
+    ids = stored_ids(spark.read.parquet(store), "k", [3, 5])
+    assert "PartitionFilters: [isnotnull(_part" in (text := plan_of(ids)) or "PartitionFilters: [_part" in text, text
+    assert ids.select("_part").distinct().count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_loose_quotes_find_the_best_window(spark):
