@@ -20,11 +20,16 @@ BLOCK, TILE, SLICE = 2048, 8192, 256
 FIT_ROWS, FIT_QUERIES = 20_000, 200
 
 
-def _packed(rows: DataFrame, entity: str, id_: str, vec: str, sizes: DataFrame, number: str, most: int, name: str) -> DataFrame:
+def _sized(df: DataFrame, of: DataFrame, entity: list[str]) -> DataFrame:
+    """``df`` with ``_n``, how many rows of ``of`` its entity has; without an entity one number for all, a scalar subquery."""
+    count = F.count(F.lit(1)).alias("_n")
+    return df.join(of.groupBy(*entity).agg(count), entity) if entity else df.withColumn("_n", of.agg(count).scalar())
+
+
+def _packed(rows: DataFrame, entity: list[str], id_: str, vec: str, number: str, most: int, name: str) -> DataFrame:
     """One row per (entity, number) with the array ``name`` of (id, vec)."""
-    parts = F.ceil(F.col("_n") / most).cast("int")
-    dealt = rows.join(sizes, entity).withColumn(number, F.pmod(F.xxhash64(id_), parts).cast("int"))
-    return dealt.groupBy(entity, number).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vec).alias("vec"))).alias(name))
+    dealt = _sized(rows, rows, entity).withColumn(number, F.pmod(F.xxhash64(id_), F.ceil(F.col("_n") / most)).cast("int"))
+    return dealt.groupBy(*entity, number).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vec).alias("vec"))).alias(name))
 
 
 def _sides(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray]:
@@ -72,16 +77,15 @@ def pair_search(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec:
 
     Rows with a null id, vector or entity meet nothing. A query that stands in several entities meets the rows of each.
     """
-    entity = "_entity"
-    key = F.col(within) if within else F.lit(0)
-    q = queries.select(key.alias(entity), F.col(qid), F.col(vec)).dropna()
-    c = corpus.select(key.alias(entity), F.col(cid), F.col(vec)).dropna()
-    size = lambda df: df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    n_corpus = size(c)
-    tiles = _packed(c, entity, cid, vec, n_corpus, "_tile", tile, "_corpus")
-    blocks = _packed(q, entity, qid, vec, size(q), "_block", block, "_queries")
-    spread = blocks.join(n_corpus, entity).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / tile).cast("int") - 1)))
-    pairs = spread.join(tiles, [entity, "_tile"]).select("_queries", "_corpus")
+    entity = ["_entity"] if within else []
+    key = [F.col(within).alias("_entity")] if within else []
+    q = queries.select(*key, F.col(qid), F.col(vec)).dropna()
+    c = corpus.select(*key, F.col(cid), F.col(vec)).dropna()
+    tiles = _packed(c, entity, cid, vec, "_tile", tile, "_corpus")
+    blocks = _packed(q, entity, qid, vec, "_block", block, "_queries")
+    last = F.ceil(F.col("_n") / tile).cast("int") - 1
+    spread = _sized(blocks, c, entity).filter("_n > 0").withColumn("_tile", F.explode(F.sequence(F.lit(0), last)))
+    pairs = spread.join(tiles, [*entity, "_tile"]).select("_queries", "_corpus")
     names = [qid, cid, "distance"]
 
     def run(batches):
