@@ -9,6 +9,7 @@ from dossierspark.functions import fixed_terms as V
 from dossierspark.functions import rules as RU
 from dossierspark.functions import text as X
 from dossierspark.operators.ranking import best_row, ranked, top_n
+from dossierspark.session import durable
 
 # Weights of the composite score.
 WEIGHTS = {"interest_fit": 0.28, "level_fit": 0.18, "task_similarity": 0.22, "skill_similarity": 0.17,
@@ -157,23 +158,49 @@ def task_exposure(tasks: DataFrame, text: str, direct: Column, supported: Column
         "basis": F.when(direct, F.lit("direct signal")).otherwise(F.lit("inferred from task language"))})
 
 
+#: Words whose common occurrence is kept as bits, 64 of them a column.
+HEAVY = 256
+
+
 def supported_texts(tasks: DataFrame, id_: str, task_tokens: str, chunks: DataFrame, chunk_id: str,
-                    chunk_tokens: str) -> DataFrame:
+                    chunk_tokens: str, heavy: int = HEAVY) -> DataFrame:
     """Ids of tasks that share at least two tokens with one chunk.
 
-    Works on token pairs: the chunk side keeps tasks' words only and is reduced to its distinct
-    pairs, so a frequent word never joins all tasks with all chunks.
+    The ``heavy`` words in most chunks never meet by a join: a chunk carries them as bits, and the bits of all chunks with one heavy word
+    are one row, so a task with two heavy words needs that row alone. A light word is an inverted list: its chunks and tasks meet with
+    their bits, and either the bits share a heavy word or the pair must meet at a second light word. A chunk takes memory in proportion
+    to its words. Repeated tokens count once, null tokens not at all.
     """
-    def pairs(c: Column) -> Column:
-        s = F.array_sort(c)
-        return F.flatten(F.transform(s, lambda x: F.transform(F.filter(s, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-
-    words = tasks.select(F.explode(task_tokens).alias("word")).distinct()
-    spread = chunks.select(chunk_id, F.explode(F.array_distinct(chunk_tokens)).alias("word"))
-    known = spread.join(words, "word", "left_semi").groupBy(chunk_id).agg(F.collect_set("word").alias("_w"))
-    seen = known.select(F.explode(pairs(F.col("_w"))).alias("pair")).distinct()
-    wanted = tasks.select(id_, F.explode(pairs(F.array_distinct(task_tokens))).alias("pair"))
-    return wanted.join(seen, "pair", "left_semi").select(id_).distinct()
+    columns = range(-(-heavy // 64))
+    given = durable(tasks.select(id_, F.explode(task_tokens).alias("word")).dropna().distinct())
+    words = given.select("word").distinct()
+    spread = durable(chunks.select(chunk_id, F.explode(F.array_distinct(chunk_tokens)).alias("word")).join(words, "word", "left_semi"))
+    top = spread.groupBy("word").agg(F.count(F.lit(1)).alias("_f")).orderBy(F.col("_f").desc(), "word").limit(heavy)
+    # At most ``heavy`` rows, in any number of chunks.
+    numbered = F.broadcast(durable(top.agg(F.sort_array(F.collect_list("word")).alias("_w")).select(F.posexplode("_w").alias("_pos", "word"))))
+
+    def marked(rows: DataFrame, key: str) -> DataFrame:
+        """Rows (key, word) with the place of a heavy word and the bits of all heavy words of the key."""
+        placed = rows.join(numbered, "word", "left")
+        bit = F.expr("shiftleft(1L, _pos % 64)")
+        bits = placed.filter("_pos is not null").groupBy(key).agg(
+            *[F.bit_or(F.when(F.floor(F.col("_pos") / 64) == c, bit).otherwise(F.lit(0).cast("long"))).alias(f"_b{c}") for c in columns])
+        return placed.join(bits, key, "left").fillna(0, subset=[f"_b{c}" for c in columns])
+
+    both = lambda a, b: F.array(*[F.col(f"{a}._b{c}").bitwiseAND(F.col(f"{b}._b{c}")) for c in columns])
+    asked = durable(marked(given, id_))
+    held = durable(marked(spread, chunk_id))
+    # Of each heavy word, the heavy words of any chunk that it stands in; its own bit is taken off before the test.
+    seen = held.filter("_pos is not null").groupBy("_pos").agg(*[F.bit_or(f"_b{c}").alias(f"_b{c}") for c in columns])
+    own = lambda c: F.when(F.floor(F.col("a._pos") / 64) == c, F.expr("~shiftleft(1L, a._pos % 64)")).otherwise(F.lit(-1).cast("long"))
+    by_heavy = asked.alias("a").join(F.broadcast(seen).alias("s"), F.col("a._pos") == F.col("s._pos")).filter(
+        F.exists(F.array(*[F.col(f"a._b{c}").bitwiseAND(F.col(f"s._b{c}")).bitwiseAND(own(c)) for c in columns]), lambda x: x != 0)
+    ).select(F.col(f"a.{id_}").alias(id_)).distinct()
+    rest = asked.filter("_pos is null").join(by_heavy, id_, "left_anti")
+    met = rest.alias("a").join(held.filter("_pos is null").alias("h"), F.col("a.word") == F.col("h.word")).select(
+        F.col(f"a.{id_}").alias(id_), F.col(f"h.{chunk_id}").alias("_chunk"), F.exists(both("a", "h"), lambda x: x != 0).alias("_heavy"))
+    by_light = met.groupBy(id_, "_chunk").agg((F.max("_heavy") | (F.count(F.lit(1)) > 1)).alias("_two")).filter("_two").select(id_)
+    return by_heavy.unionByName(by_light).distinct()
 
 
 def skill_groups(skills: DataFrame, entity: str, skill: str, rank: str, labels: DataFrame, limits: dict[str, int]) -> DataFrame:

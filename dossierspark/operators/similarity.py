@@ -11,15 +11,20 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierspark.functions.udfs import char_counts, count_bound, ratios_at_least
 from dossierspark.operators.sets import jaccard
+from dossierspark.operators.vectors import FIT_ROWS, k_means, packed_side
 from dossierspark.session import durable
 
 FREQUENT = 10000
+#: Shells by angle that a pivot's vectors are cut into at most, before a hash cuts them further.
+SHELLS = 32
 
 
 def collapse(df: DataFrame, id_: str, block: str, key: Column):
@@ -142,32 +147,114 @@ def containment_pairs(df: DataFrame, id_: str, block: str, text: str, share: flo
     return found.select(block, F.least("short_id", "long_id").alias("id_a"), F.greatest("short_id", "long_id").alias("id_b")).distinct()
 
 
-def vector_pairs(df: DataFrame, id_: str, block: str, vec: str, threshold: float = 0.94, tile: int = 4000) -> DataFrame:
-    """Links of unit vectors with a cosine at or above the threshold, exact.
+def _pivots(df: DataFrame, id_: str, vec: str, most: int, rows: int = FIT_ROWS) -> np.ndarray:
+    """At most ``most`` unit directions: centres of at most ``rows`` vectors, taken in the order of a hash of their id."""
+    x = np.array([r[0] for r in df.orderBy(F.xxhash64(id_), id_).limit(rows).select(vec).collect()], dtype=np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = k_means(x, min(most, len(x)))
+    norm = np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.where(norm > 0, centres / np.where(norm > 0, norm, 1.0), x[:1])
 
-    A block is cut into tiles by hash. Each pair of tiles is one matrix product in one task of
-    bounded size, and only pairs above the threshold leave it.
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def vector_tiles(rows: DataFrame, id_: str, block: str, vec: str, pivots: np.ndarray, tile: int) -> DataFrame:
+    """``(block, _tile, _pivot, _lo, _hi, _rows)``: vectors packed by nearest pivot and by their angle to it, with the range of the angles to
+    every pivot. A tile holds about ``tile`` vectors. A block has as many pivots as it has tiles, so small blocks stay in one piece."""
+    counted = rows.join(rows.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_own")), block)
+
+    @F.pandas_udf("pivot int, angle double")
+    def nearest(v: pd.Series, own: pd.Series) -> pd.DataFrame:
+        angles = _angles(np.stack(v.to_list()).astype(np.float64), pivots)
+        angles[np.arange(len(pivots))[None, :] >= own.to_numpy()[:, None]] = np.inf
+        place = angles.argmin(1)
+        return pd.DataFrame({"pivot": place.astype(np.int32), "angle": angles[np.arange(len(place)), place]})
+
+    cell = [block, "_pivot"]
+    placed = durable(counted.withColumn("_n", nearest(vec, "_own")).select(id_, block, vec, F.col("_n.pivot").alias("_pivot"), F.col("_n.angle").alias("_angle")))
+    shares = [i / SHELLS for i in range(1, SHELLS)]
+    cells = placed.groupBy(*cell).agg(F.percentile_approx("_angle", shares).alias("_cuts"), F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("_tiles"))
+    # The angle's place among the cuts gives the shell; a shell of many equal angles is cut once more by hash.
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_angle")))
+    shelled = placed.join(cells, cell).withColumn("_shell", F.floor(place * F.least(F.col("_tiles"), F.lit(SHELLS)) / SHELLS).cast("int"))
+    parts = shelled.groupBy(*cell, "_shell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_parts"))
+    dealt = shelled.join(parts, [*cell, "_shell"]).withColumn("_part", F.pmod(F.xxhash64(id_), F.col("_parts")).cast("int"))
+    packed = dealt.groupBy(*cell, "_shell", "_part").agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vec).alias("vec"))).alias("_rows"))
+
+    @F.pandas_udf("lo array<double>, hi array<double>, norm double")
+    def ranges(v: pd.Series) -> pd.DataFrame:
+        tiles = [np.stack(list(t)).astype(np.float64) for t in v]
+        angles = [_angles(t, pivots) for t in tiles]
+        return pd.DataFrame({"lo": [a.min(0) for a in angles], "hi": [a.max(0) for a in angles],
+                             "norm": [float(np.linalg.norm(t, axis=1).max()) for t in tiles]})
+
+    bounds = packed.withColumn("_b", ranges(F.col("_rows.vec")))
+    return bounds.select(block, F.concat_ws(".", "_pivot", "_shell", "_part").alias("_tile"), "_pivot", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"),
+                         F.col("_b.norm").alias("_norm"), "_rows")
+
+
+def tile_pairs(tiles: DataFrame, block: str, threshold: float) -> DataFrame:
+    """Pairs of tiles of a block, each once and each with itself, that can hold a link.
+
+    Vectors with a cosine of at least t stand at most ``acos(t)`` apart, so their angles to any pivot differ by no more: the ranges of two
+    tiles must come that near at every pivot. Nor can a vector be nearest to a pivot that is over ``2 acos(t)`` further from its partner than
+    the partner's own. The summaries meet by pivot, not all in one block. Longer or shorter vectors get the angle that their norms allow.
+    """
+    far = lambda norms: F.acos(F.least(F.lit(1.0), F.lit(threshold) / norms)) + F.lit(1e-6)
+    ends = tiles.groupBy(block).agg(F.max("_norm").alias("_most"))
+    summary = tiles.select(block, "_tile", "_pivot", "_lo", "_hi", "_norm").join(ends, block)
+    reach = far(F.col("_norm") * F.col("_most")) * 2
+    own = F.get(F.col("_hi"), F.col("_pivot"))
+    asked = summary.withColumn("_to", F.explode(F.filter(F.transform("_lo", lambda lo, q: F.when(lo <= own + reach, q)), lambda q: q.isNotNull())))
+    a, b = asked.alias("a"), summary.alias("b")
+    near = far(F.col("a._norm") * F.col("b._norm"))
+    apart = lambda x, y: F.exists(F.zip_with(F.col(f"{x}._lo"), F.col(f"{y}._hi"), lambda lo, hi: lo - hi > near), lambda out: out)
+    met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._to") == F.col("b._pivot")) & (F.col("a._tile") <= F.col("b._tile")))
+    return met.filter(~apart("a", "b") & ~apart("b", "a")).select(F.col(f"a.{block}").alias(block), F.col("a._tile").alias("_i"), F.col("b._tile").alias("_j"))
+
+
+def vector_pairs(df: DataFrame, id_: str, block: str, vec: str, threshold: float = 0.94, tile: int = 4000, most_pivots: int = 64) -> DataFrame:
+    """Links of unit vectors with a cosine (of other vectors: an inner product) at or above a threshold above 0, exact.
+
+    A block is cut into tiles around pivots; only tiles whose angles to all pivots allow a link meet, by their number, and one pair is a matrix
+    product of bounded size. Vectors are packed once and travel once more for each tile that theirs can have a link with. Pivots come from a
+    bounded sample and decide the cost alone. How many pairs of tiles are left depends on the vectors: few in clusters, all if they fill the
+    sphere evenly. A null id or vector, a vector of zeros or with an entry that is not finite has no link but to its copies.
     """
-    reps, copies = collapse(df.select(id_, block, vec), id_, block, F.array_join(F.transform(vec, lambda v: v.cast("string")), ","))
-    sizes = reps.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
-    tiled = reps.join(sizes, block).withColumn("_t", F.pmod(F.xxhash64(id_), F.col("_tiles")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda o: F.struct(
-        F.least(F.col("_t"), o).alias("i"), F.greatest(F.col("_t"), o).alias("j")))
-    spread = tiled.select(id_, block, vec, "_t", F.explode(others).alias("_p")).select(id_, block, vec, "_t", "_p.i", "_p.j")
-
-    def compare(pdf):
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left = pdf[pdf["_t"] == i]
-        right = left if i == j else pdf[pdf["_t"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({block: [], "id_a": [], "id_b": [], "similarity": []})
-        sims = np.stack(left[vec].to_list()).astype("float64") @ np.stack(right[vec].to_list()).astype("float64").T
-        x, y = np.nonzero(sims >= threshold)
-        a, b = left[id_].to_numpy()[x], right[id_].to_numpy()[y]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        a, b, s = a[keep], b[keep], sims[x, y][keep]
-        return pd.DataFrame({block: pdf[block].iat[0], "id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "similarity": s})
-
-    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{block} {kind[block]}, id_a {kind[id_]}, id_b {kind[id_]}, similarity double"
-    return spread.groupBy(block, "i", "j").applyInPandas(compare, schema).unionByName(copies.withColumn("similarity", F.lit(1.0)))
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or less links vectors at any angle")
+    reps, copies = collapse(df.select(id_, block, vec).dropna(), id_, block, F.array_join(F.transform(vec, lambda v: v.cast("string")), ",", "null"))
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    reps = durable(reps.filter(F.exists(vec, lambda v: v != 0) & ~F.exists(vec, odd)))
+    most = reps.groupBy(block).count().agg(F.max("count")).first()[0] or 0
+    pivots = _pivots(reps, id_, vec, max(1, min(most_pivots, -(-most // tile))))
+    tiles = durable(vector_tiles(reps, id_, block, vec, pivots, tile))
+    side = lambda name, rows: tiles.select(block, F.col("_tile").alias(name), F.col("_rows").alias(rows))
+    met = tile_pairs(tiles, block, threshold).join(side("_i", "_left"), [block, "_i"]).join(side("_j", "_right"), [block, "_j"])
+    names = [block, "id_a", "id_b", "similarity"]
+
+    def compare(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (x_ids, x), (y_ids, y) = packed_side(batch.column(2), row), packed_side(batch.column(3), row)
+                same = batch.column(1)[row].as_py()
+                for lo in range(0, len(x), 512):
+                    sims = x[lo:lo + 512] @ y.T
+                    i, j = np.nonzero(sims >= threshold)
+                    s, i = sims[i, j], i + lo
+                    a, b = x_ids.take(pa.array(i)), y_ids.take(pa.array(j))
+                    later = pc.less(b, a)
+                    a, b = pc.if_else(later, b, a), pc.if_else(later, a, b)
+                    keep = pa.array(i < j if same else np.ones(len(i), bool))
+                    kept = [c.filter(keep) for c in (a, b, pa.array(s))]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(kept[0])), *kept], names=names)
+
+    kind = dict(df.dtypes)
+    schema = f"`{block}` {kind[block]}, id_a {kind[id_]}, id_b {kind[id_]}, similarity double"
+    rows = met.select(block, (F.col("_i") == F.col("_j")).alias("_same"), "_left", "_right")
+    return rows.mapInArrow(compare, schema).unionByName(copies.withColumn("similarity", F.lit(1.0)))

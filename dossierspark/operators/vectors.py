@@ -32,7 +32,7 @@ def _packed(rows: DataFrame, entity: list[str], id_: str, vec: str, number: str,
     return dealt.groupBy(*entity, number).agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vec).alias("vec"))).alias(name))
 
 
-def _sides(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray]:
+def packed_side(column: pa.Array, row: int) -> tuple[pa.Array, np.ndarray]:
     items = column[row].values
     vectors = items.field("vec")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -91,7 +91,7 @@ def pair_search(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                (qids, q_vecs), (cids, c_vecs) = _sides(batch.column(0), row), _sides(batch.column(1), row)
+                (qids, q_vecs), (cids, c_vecs) = packed_side(batch.column(0), row), packed_side(batch.column(1), row)
                 a, b, d = nearest(q_vecs, c_vecs, np.array(cids.to_pylist()), k, metric)
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(a)), cids.take(pa.array(b)), pa.array(d)], names=names)
 
@@ -118,7 +118,7 @@ class Lists:
         return places(vec)
 
 
-def _k_means(x: np.ndarray, n: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+def k_means(x: np.ndarray, n: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[np.sort(rng.choice(len(x), n, replace=False))]
     for _ in range(rounds):
@@ -142,7 +142,7 @@ def fit_lists(corpus: DataFrame, cid: str, vec: str, k: int, lists: int | None =
         return Lists(np.zeros((1, 1)), 1, 1.0)
     x = np.array([r[1] for r in taken], dtype=np.float64)
     n = min(len(x), lists or max(1, int(len(x) ** 0.5)))
-    centres = _k_means(x, n)
+    centres = k_means(x, n)
     own = _rough(x, centres, "l2sq").argmin(1)
     asked = x[:sample_queries]
     row, col, _ = nearest(asked, x, np.arange(len(x)), min(k, len(x)), "l2sq")

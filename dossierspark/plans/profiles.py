@@ -228,7 +228,7 @@ def _count(words):
 @reg.add("task_exposure", f"""
 WITH t AS (SELECT p_name || ' ' || p_type AS task, max(CASE WHEN l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 49 THEN 1 ELSE 0 END) AS direct FROM {FACTS} GROUP BY 1),
 w AS (SELECT task, direct, list_distinct(string_split(lower(task), ' ')) AS w FROM t),
-c AS (SELECT DISTINCT string_split(lower(p_name || ' ' || p_brand), ' ') AS c FROM part WHERE p_size > 48),
+c AS (SELECT DISTINCT string_split(lower(p_name || ' ' || p_brand), ' ') AS c FROM part),
 s AS (SELECT *, EXISTS (SELECT 1 FROM c WHERE len(list_intersect(w.w, c.c)) >= 2) AS sup FROM w),
 x AS (SELECT *, {_count(INFO)} + {_count(COMPLY)} - least({_count(PHYSICAL)}, 2) + 3 * direct + CAST(sup AS INT) AS score FROM s)
 SELECT task, CAST(score AS BIGINT) AS exposure_score, CASE WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Medium' WHEN score >= 1 THEN 'Low-Medium' ELSE 'Low' END AS applicability,
@@ -237,7 +237,7 @@ def task_exposure(spark, d):
     strong = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.1) & (F.col("l_quantity") >= 49)
     tasks = named_facts(spark, d).groupBy(F.concat_ws(" ", "p_name", "p_type").alias("task")).agg(F.max(strong).alias("direct"))
     tasks = tasks.withColumn("w", F.array_distinct(F.split(F.lower("task"), " ")))
-    chunks = table(spark, d, "part").filter("p_size > 48").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("chunk")).distinct()
+    chunks = table(spark, d, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("chunk")).distinct()
     supported = P.supported_texts(tasks, "task", "w", chunks.withColumn("c", F.split("chunk", " ")), "chunk", "c").withColumn("supported", F.lit(True))
     rows = tasks.join(supported, "task", "left").fillna(False, subset=["supported"])
     return P.task_exposure(rows, "task", F.col("direct"), F.col("supported"), INFO, COMPLY, PHYSICAL).select(
