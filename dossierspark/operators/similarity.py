@@ -23,6 +23,8 @@ from dossierspark.operators.vectors import FIT_ROWS, k_means, packed_side
 from dossierspark.session import durable
 
 FREQUENT = 10000
+#: Rows of one join key on one side that a task takes; a key with more is dealt to several.
+HOT = 2000
 #: Shells by angle that a pivot's vectors are cut into at most, before a hash cuts them further.
 SHELLS = 32
 
@@ -36,12 +38,26 @@ def collapse(df: DataFrame, id_: str, block: str, key: Column):
     return chosen, linked.select(block, F.col("rep").alias("id_a"), F.col(id_).alias("id_b"))
 
 
-def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, prefix: Column, compatible, size: Column | None = None) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], id_: str, most: int = HOT):
+    """Both sides with ``_salt``: of a key with more than ``most`` rows on the left, each left row has one of several salts and each right row all."""
+    hot = durable(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_f")).filter(F.col("_f") > most).select(
+        *keys, F.ceil(F.col("_f") / F.lit(most)).cast("int").alias("_k")))
+    if hot.isEmpty():
+        return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    salts = F.coalesce("_k", F.lit(1))
+    one = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(id_), salts).cast("int")).drop("_k")
+    return one, right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_k")
+
+
+def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, prefix: Column, compatible, size: Column | None = None,
+                      overlap=None, hot: int = HOT) -> DataFrame:
     """Pairs of one block that share one of their rarest elements, each pair once.
 
     ``prefix`` is how many of the rarest elements must be looked at, ``compatible(n_a, n_b)`` the test of both
     sides' ``size``, by default the number of elements. Only the order of the elements uses frequencies, so the bounded list of the most
-    frequent ones is an optimisation and drops nothing.
+    frequent ones is an optimisation and drops nothing. ``overlap(n_a, n_b)`` is the number of common elements that a pair needs: the first
+    common element must leave as many on both sides, which the places tell in the join. An element of more than ``hot`` sets of a block is
+    dealt to several tasks.
     """
     rows = sets.select(id_, block, (F.size(elements) if size is None else size).alias("_n"), prefix.alias("_p"), F.explode(elements).alias("_e"))
     frequent = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_f")).orderBy(F.col("_f").desc(), "_e").limit(FREQUENT)
@@ -50,12 +66,16 @@ def prefix_candidates(sets: DataFrame, id_: str, block: str, elements: str, pref
         .groupBy(id_, block, "_n", "_p")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0).cast("long")).alias("f"), F.col("_e").alias("e")))).alias("_s"))
     )
-    spread = ordered.select(id_, block, "_n", F.explode(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1)))).alias("_pick")).select(
-        id_, block, "_n", F.col("_pick.e").alias("_e"))
-    a, b = spread.alias("a"), spread.alias("b")
+    picked = ordered.select(id_, block, "_n", F.size("_s").alias("_m"), F.posexplode(F.slice("_s", F.lit(1), F.greatest(F.col("_p"), F.lit(1)))).alias("_at", "_pick"))
+    # Written once: it is counted and read by both sides of the join. Elements meet by hash, which can only add candidates.
+    spread = durable(picked.select(id_, block, "_n", "_at", "_m", F.xxhash64("_pick.e").alias("_e")))
+    left, right = dealt(spread, spread, [block, "_e"], id_, hot)
+    a, b = left.alias("a"), right.alias("b")
+    enough = F.lit(True) if overlap is None else (
+        F.least(F.col("a._m") - F.col("a._at"), F.col("b._m") - F.col("b._at")) + F.lit(1e-9) >= overlap(F.col("a._m"), F.col("b._m")))
     met = a.join(
-        b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._e") == F.col("b._e"))
-        & (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & compatible(F.col("a._n"), F.col("b._n")))
+        b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a._e") == F.col("b._e")) & (F.col("a._salt") == F.col("b._salt"))
+        & (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & compatible(F.col("a._n"), F.col("b._n")) & enough)
     # A pair may share several prefix elements; the ids alone are cheap to make distinct.
     return met.select(F.col(f"a.{block}").alias(block), F.col(f"a.{id_}").alias("id_a"), F.col(f"b.{id_}").alias("id_b")).distinct()
 
@@ -68,7 +88,7 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, id_: str, column: str) -> Dat
     return pairs.repartition(width, "id_a").join(left, "id_a").join(right, "id_b")
 
 
-def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: float = 0.94, least_tokens: int = 1) -> DataFrame:
+def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: float = 0.94, least_tokens: int = 1, hot: int = HOT) -> DataFrame:
     """Links with token Jaccard at or above the threshold: copies by star, distinct sets by pair."""
     # Written once: the sets are read by the collapse, the prefixes and both sides of the check.
     sets = durable(df.select(id_, block, F.array_sort(F.array_distinct(tokens)).alias("_t")).filter(F.size("_t") >= least_tokens))
@@ -77,7 +97,8 @@ def jaccard_pairs(df: DataFrame, id_: str, block: str, tokens: str, threshold: f
     n = F.size("_t")
     prefix = (n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1).cast("int")
     near = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.lit(threshold) * F.greatest(x, y))
-    pairs = _with_sides(prefix_candidates(reps, id_, block, "_t", prefix, near), reps, id_, "_t")
+    common = lambda x, y: F.lit(threshold / (1 + threshold)) * (x + y)
+    pairs = _with_sides(prefix_candidates(reps, id_, block, "_t", prefix, near, overlap=common, hot=hot), reps, id_, "_t")
     scored = pairs.select(block, "id_a", "id_b", jaccard(F.col("side_a"), F.col("side_b")).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold).unionByName(copies.withColumn("similarity", F.lit(1.0)))
 
@@ -128,23 +149,28 @@ def ratio_pairs(df: DataFrame, id_: str, block: str, text: str, threshold: float
 
 
 def containment_pairs(df: DataFrame, id_: str, block: str, text: str, share: float = 0.9, least: int = 40,
-                      anchor: int = 16) -> DataFrame:
+                      anchor: int = 16, hot: int = HOT) -> DataFrame:
     """Pairs where the shorter text lies inside the longer one with at least ``share`` of its length.
 
     The match starts in the first tenth of the longer text, so the shorter text's opening is joined
-    with the few grams that start there.
+    with the few grams that start there. An opening of more than ``hot`` texts is dealt to several tasks.
     """
     texts = durable(df.select(id_, block, F.col(text).alias("_x")).filter(F.length("_x") >= least))
     reps, _ = collapse(texts, id_, block, F.col("_x"))
     reps = durable(reps)
     slack = F.floor(F.length("_x") * (1 - share) + 1e-9).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), slack), lambda i: F.substr(F.col("_x"), i + 1, F.lit(anchor)))
-    longer = reps.select(F.col(id_).alias("long_id"), block, F.col("_x").alias("long_text"), F.explode(F.array_distinct(starts)).alias("_a"))
-    shorter = reps.select(F.col(id_).alias("short_id"), block, F.col("_x").alias("short_text"), F.substring("_x", 1, anchor).alias("_a"))
-    hit = (F.length("short_text") < F.length("long_text")) & F.col("long_text").contains(F.col("short_text")) & (
-        F.length("short_text") + F.lit(1e-9) >= F.lit(share) * F.length("long_text"))
-    found = shorter.join(longer, [block, "_a"]).filter(hit)
-    return found.select(block, F.least("short_id", "long_id").alias("id_a"), F.greatest("short_id", "long_id").alias("id_b")).distinct()
+    starts = F.transform(F.sequence(F.lit(0), slack), lambda i: F.xxhash64(F.substr(F.col("_x"), i + 1, F.lit(anchor))))
+    # Anchors travel as hashes with lengths; texts join the pairs whose lengths fit.
+    n = F.length("_x").alias("_n")
+    longer = reps.select(F.col(id_).alias("long_id"), block, n, F.explode(F.array_distinct(starts)).alias("_a"))
+    shorter = durable(reps.select(F.col(id_).alias("short_id"), block, n, F.xxhash64(F.substring("_x", 1, anchor)).alias("_a")))
+    one, other = dealt(shorter, longer, [block, "_a"], "short_id", hot)
+    s, l = one.alias("s"), other.alias("l")
+    fits = (F.col("s._n") < F.col("l._n")) & (F.col("s._n") + F.lit(1e-9) >= F.lit(share) * F.col("l._n"))
+    met = s.join(l, (F.col(f"s.{block}") == F.col(f"l.{block}")) & (F.col("s._a") == F.col("l._a")) & (F.col("s._salt") == F.col("l._salt")) & fits)
+    pairs = met.select(F.col(f"s.{block}").alias(block), F.col("short_id").alias("id_a"), F.col("long_id").alias("id_b")).distinct()
+    found = _with_sides(pairs, reps, id_, "_x").filter(F.col("side_b").contains(F.col("side_a")))
+    return found.select(block, F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def _pivots(df: DataFrame, id_: str, vec: str, most: int, rows: int = FIT_ROWS) -> np.ndarray:
