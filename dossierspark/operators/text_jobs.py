@@ -80,12 +80,12 @@ def _split_long(text: str, maximum: int) -> list[tuple[str, int]]:
     return [(t.strip(), n) for t, n in pieces if t.strip()]
 
 
-def pack_units(units, target: int, maximum: int, overlap: int, minimum: int) -> Iterator[tuple[str, int]]:
-    """Chunks of consecutive units; linear in the units because each keeps its word count."""
+def pack_paged(units, target: int, maximum: int, overlap: int, minimum: int) -> Iterator[tuple[str, int, int]]:
+    """(text, words, first page) of chunks of consecutive (unit, page); linear in the units because each keeps its word count."""
     sized = []
-    for unit in units:
+    for unit, page in units:
         n = _count(unit)
-        sized += [(unit, n)] if n <= maximum else _split_long(unit, maximum)
+        sized += [(unit, n, page)] if n <= maximum else [(t, k, page) for t, k in _split_long(unit, maximum)]
 
     def tail(held):
         total, start = 0, len(held)
@@ -94,38 +94,79 @@ def pack_units(units, target: int, maximum: int, overlap: int, minimum: int) ->
             total += held[start][1]
         return held[start:], total
 
+    def joined(held, words):
+        return "\n\n".join(t for t, _, _ in held), words, held[0][2]
+
     held, words = [], 0
-    for text, n in sized:
+    for text, n, page in sized:
         if held and words + n > maximum:
             if words >= minimum:
-                yield "\n\n".join(t for t, _ in held), words
+                yield joined(held, words)
             held, words = tail(held)
-        held.append((text, n))
+        held.append((text, n, page))
         words += n
         if target and words >= target:
             if words >= minimum:
-                yield "\n\n".join(t for t, _ in held), words
+                yield joined(held, words)
             held, words = tail(held)
     if held and words >= minimum:
-        yield "\n\n".join(t for t, _ in held), words
+        yield joined(held, words)
+
+
+def pack_units(units, target: int, maximum: int, overlap: int, minimum: int) -> Iterator[tuple[str, int]]:
+    """Chunks of consecutive units without pages."""
+    return ((text, n) for text, n, _ in pack_paged(((u, 1) for u in units), target, maximum, overlap, minimum))
 
 
 def chunk(df: DataFrame, id_: str, text: str, sep: str = r"\n\s*\n", target: int | None = 700, maximum: int = 900,
-          overlap: int = 100, minimum: int = 120) -> DataFrame:
-    """Overlapping word-bounded chunks; one document in, its chunks out, no shuffle."""
+          overlap: int = 100, minimum: int = 120, page_sep: str | None = None) -> DataFrame:
+    """Overlapping word-bounded chunks; one document in, its chunks out, no shuffle.
+
+    With ``page_sep`` the text is cut to pages first, chunks run over their ends, and ``page`` is the number, from 1, of the page that a chunk
+    starts on. A null or empty text has no chunks.
+    """
     splitter = re.compile(sep)
+    page_splitter = re.compile(page_sep) if page_sep else None
+    columns = [id_, "chunk_index", "n_words", "chunk_text"] + (["page"] if page_sep else [])
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, body in zip(pdf[id_], pdf[text]):
-                units = [u for u in (re.sub(r"\s+", " ", p).strip() for p in splitter.split(body or "")) if u]
-                for i, (chunk_text, n) in enumerate(pack_units(units, target, maximum, overlap, minimum), 1):
-                    rows.append((key, i, n, chunk_text))
-            yield pd.DataFrame(rows, columns=[id_, "chunk_index", "n_words", "chunk_text"])
+                pages = page_splitter.split(body or "") if page_splitter else [body or ""]
+                units = [(u, number) for number, page in enumerate(pages, 1)
+                         for u in (re.sub(r"\s+", " ", p).strip() for p in splitter.split(page)) if u]
+                for i, (chunk_text, n, page) in enumerate(pack_paged(units, target, maximum, overlap, minimum), 1):
+                    rows.append((key, i, n, chunk_text, page)[:len(columns)])
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, text).mapInPandas(run, f"{id_} {kind}, chunk_index long, n_words long, chunk_text string")
+    return df.select(id_, text).mapInPandas(run, f"{id_} {kind}, chunk_index long, n_words long, chunk_text string" + (", page long" if page_sep else ""))
+
+
+def relevant_chunks(df: DataFrame, id_: str, text: str, relevant, page_sep: str = "\f", sep: str = r"\n[ \t]*\n", maximum: int = 850) -> DataFrame:
+    """(id, page, chunk_index, chunk_text): per page the paragraphs that ``relevant(paragraph)`` keeps, packed in order without overlap.
+
+    A chunk is closed before the paragraph that would lift it above ``maximum`` words between spaces; a longer paragraph is a chunk of its
+    own. Pages and chunks count from 1, of equal chunks of a page the first stays, pages without a relevant paragraph have none. All in columns,
+    one row at a time.
+    """
+    pages = df.select(id_, F.posexplode(F.split(F.col(text), page_sep, -1)).alias("_p", "_page"))
+    kept = F.filter(F.transform(F.split("_page", sep, -1), X.one_line), lambda p: (p != "") & relevant(p))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("words"))
+
+    def add(state, paragraph):
+        n = F.size(F.split(paragraph, " "))
+        full = (state["words"] > 0) & (state["words"] + n > maximum)
+        alone = full | (state["words"] == 0)
+        return F.struct(
+            F.when(full, F.array_append(state["done"], state["held"])).otherwise(state["done"]).alias("done"),
+            F.when(alone, paragraph).otherwise(F.concat(state["held"], F.lit("\n\n"), paragraph)).alias("held"),
+            F.when(alone, n).otherwise(state["words"] + n).alias("words"))
+
+    packed = F.aggregate(kept, start, add, lambda s: F.when(s["words"] > 0, F.array_append(s["done"], s["held"])).otherwise(s["done"]))
+    return pages.select(id_, (F.col("_p") + 1).cast("long").alias("page"), F.posexplode(F.array_distinct(packed)).alias("_i", "chunk_text")).select(
+        id_, "page", (F.col("_i") + 1).cast("long").alias("chunk_index"), "chunk_text")
 
 
 def useful_chunk(c: Column, wanted, skip, heading, heading_terms, window: int | None = None) -> Column:

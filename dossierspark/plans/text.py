@@ -271,6 +271,29 @@ def txt_chunks_plain(spark, d):
     return TJ.chunk(docs(spark, d), "doc_id", "text", sep=r"\n", target=None, maximum=850, overlap=0, minimum=1)
 
 
+@reg.add("txt_chunks_paged")
+def txt_chunks_paged(spark, d):
+    """Chunks over the ends of pages, here blocks between blank lines, with the page they start on."""
+    return TJ.chunk(docs(spark, d), "doc_id", "text", sep=r"\n", target=70, maximum=90, overlap=10, minimum=12, page_sep=r"\n[ \t]*\n")
+
+
+@reg.add("txt_chunks_relevant", f"""
+WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts(l, 1) AS page, unnest(l) AS body FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents)),
+u AS (SELECT doc_id, page, generate_subscripts(l, 1) AS i, {Q.one_line('unnest(l)')} AS t FROM (SELECT doc_id, page, string_split(body, chr(10)) AS l FROM p)),
+r AS MATERIALIZED (SELECT doc_id, page, t, len(string_split(t, ' ')) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS pos FROM u
+  WHERE length(t) > 20 AND ({Q.sub('lower(t)', 'the', 'que', 'der')})),
+f(doc_id, page, pos, grp, words) AS (SELECT doc_id, page, pos, 1, n FROM r WHERE pos = 1
+  UNION ALL SELECT r.doc_id, r.page, r.pos, CASE WHEN words + n > 60 THEN grp + 1 ELSE grp END, CASE WHEN words + n > 60 THEN n ELSE words + n END
+  FROM f JOIN r ON r.doc_id = f.doc_id AND r.page = f.page AND r.pos = f.pos + 1),
+c AS (SELECT doc_id, page, grp, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS body FROM f JOIN r USING (doc_id, page, pos) GROUP BY ALL),
+o AS (SELECT doc_id, page, body, min(grp) AS grp FROM c GROUP BY ALL)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY grp) AS chunk_index, md5(body) AS chunk_md5 FROM o""")
+def txt_chunks_relevant(spark, d):
+    relevant = lambda p: (F.length(p) > 20) & RU.any_substring(F.lower(p), STAT_TERMS)
+    return TJ.relevant_chunks(docs(spark, d), "doc_id", "text", relevant, page_sep="\n\n", sep="\n", maximum=60).select(
+        "doc_id", "page", "chunk_index", F.md5("chunk_text").alias("chunk_md5"))
+
+
 WANTED, SKIP = ["thth", "ment", "tion"], ["cookie", "subscribe", "eauou"]
 
 
