@@ -147,15 +147,19 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY list_positio
   row_number() OVER (PARTITION BY user_id, match_group ORDER BY p_name) AS group_rank FROM once WHERE k = 1),
 docs AS (SELECT p_name, p_type, row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY p_name, p_type),
 sig AS (SELECT p_name, list(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS tasks, list(list_distinct(string_split(lower(p_type), ' '))) AS skills FROM docs WHERE r <= 4 GROUP BY 1),
+ctx AS (SELECT p_name, list(list_distinct(string_split(lower(p_name || ' ' || p_brand), ' '))) AS contexts FROM (
+  SELECT p_name, p_brand, row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY p_name, p_brand) WHERE r <= 4 GROUP BY 1),
 expo AS (SELECT p_name, max(l_tax) * 10 AS exposure FROM {FACTS} WHERE l_returnflag = 'R' GROUP BY 1),
-base AS (SELECT cand.*, t.n, t.place, w, tasks, skills, exposure, future_level FROM cand JOIN wish USING (user_id) JOIN sig USING (p_name) JOIN prof USING (user_id) LEFT JOIN expo USING (p_name)
+base AS (SELECT cand.*, t.n, t.place, w, tasks, skills, contexts, exposure, future_level FROM cand JOIN wish USING (user_id) JOIN sig USING (p_name) JOIN ctx USING (p_name) JOIN prof USING (user_id) LEFT JOIN expo USING (p_name)
   LEFT JOIN (SELECT user_id, {_case('event_type', CATEGORY)} AS category, n, CASE WHEN place <= 3 THEN place END AS place FROM top) t ON t.user_id = cand.user_id AND t.category = cand.category),
 comp AS (SELECT user_id, p_name, match_group, original_rank, group_rank, future_level, round(least(1.0, greatest(0.0, CAST(0.55 AS DOUBLE) * CASE WHEN place IS NULL THEN CAST(0.25 AS DOUBLE) ELSE 1 - CAST(0.16 AS DOUBLE) * (place - 1) END + CAST(0.45 AS DOUBLE) * least(CAST(1 AS DOUBLE), n / CAST(40 AS DOUBLE)))), 4) AS interest_fit,
   round(greatest(CAST(0 AS DOUBLE), 1 - abs(level - future_level) / CAST(4 AS DOUBLE)), 4) AS level_fit,
   round(list_max(list_transform(tasks, lambda x: least(CAST(1 AS DOUBLE), len(list_intersect(w, x)) / CAST(greatest(6, least(len(w), len(x))) AS DOUBLE)))), 4) AS task_similarity,
   round(list_max(list_transform(skills, lambda x: least(CAST(1 AS DOUBLE), len(list_intersect(w, x)) / CAST(greatest(6, least(len(w), len(x))) AS DOUBLE)))), 4) AS skill_similarity,
-  CASE WHEN list_contains(w, 'tools') AND contains(p_name, 'ring') THEN CAST(0.85 AS DOUBLE) WHEN list_contains(w, 'repair') AND contains(p_name, 'bolt') THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END AS context_fit,
-  CASE WHEN NOT list_contains(w, 'tools') AND NOT list_contains(w, 'repair') OR exposure IS NULL THEN CAST(0.5 AS DOUBLE) WHEN list_contains(w, 'repair') THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - exposure)) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), exposure)) END AS exposure_fit FROM base)"""
+  CASE WHEN list_contains(w, 'repair') AND contains(p_name, 'bolt') THEN CASE WHEN raised > 0 THEN least(raised, CAST(0.35 AS DOUBLE)) ELSE CAST(0.35 AS DOUBLE) END WHEN raised > 0 THEN raised ELSE CAST(0.35 AS DOUBLE) END AS context_fit,
+  CASE WHEN NOT list_contains(w, 'tools') AND NOT list_contains(w, 'repair') OR exposure IS NULL THEN CAST(0.5 AS DOUBLE) WHEN list_contains(w, 'repair') THEN greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - exposure)) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), exposure)) END AS exposure_fit FROM (
+  SELECT *, greatest(round(list_max(list_transform(contexts, lambda x: least(CAST(1 AS DOUBLE), len(list_intersect(w, x)) / CAST(greatest(6, least(len(w), len(x))) AS DOUBLE)))), 4),
+    CASE WHEN list_contains(w, 'tools') AND contains(p_name, 'ring') THEN CAST(0.85 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS raised FROM base))"""
 
 
 def components(spark, d):
@@ -167,9 +171,13 @@ def components(spark, d):
     kept = top_n(kinds, ["p_name"], [F.col("n").desc(), F.col("p_type")], 4)
     words = lambda *c: F.array_distinct(F.split(F.lower(F.concat_ws(" ", *c)), " "))
     signals = kept.groupBy("p_name").agg(F.collect_list(words("p_name", "p_type")).alias("tasks"), F.collect_list(words("p_type")).alias("skills"))
+    # The surroundings of an entity are described by its most frequent brands.
+    brands = table(spark, d, "part").groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    contexts = top_n(brands, ["p_name"], [F.col("n").desc(), F.col("p_brand")], 4).groupBy("p_name").agg(
+        F.collect_list(words("p_name", "p_brand")).alias("contexts"))
     exposure = named_facts(spark, d).filter("l_returnflag = 'R'").groupBy("p_name").agg((F.max("l_tax") * 10).alias("exposure"))
     interest = t.select("user_id", _lookup(F.col("area"), CATEGORY).alias("category"), "place", "score")
-    rows = (cand.join(wish, "user_id").join(signals, "p_name").join(exposure, "p_name", "left")
+    rows = (cand.join(wish, "user_id").join(signals, "p_name").join(contexts, "p_name").join(exposure, "p_name", "left")
             .join(interest, ["user_id", "category"], "left"))
     w = F.col("w")
     has = lambda word: F.array_contains(w, word)
@@ -180,7 +188,7 @@ def components(spark, d):
         "level_fit": F.round(P.level_fit(F.col("level"), F.col("future_level")), 4),
         "task_similarity": F.round(P.best_overlap(w, F.col("tasks")), 4),
         "skill_similarity": F.round(P.best_overlap(w, F.col("skills")), 4),
-        "context_fit": P.context_fit(F.lit(0.0), F.size(w) > 0, raises, lowers),
+        "context_fit": P.context_fit(F.round(P.best_overlap(w, F.col("contexts")), 4), F.size(w) > 0, raises, lowers),
         "exposure_fit": P.exposure_fit(F.col("exposure"), has("tools") | has("repair"), has("repair")),
     }).select("user_id", "p_name", "match_group", "original_rank", "group_rank", "future_level", *P.WEIGHTS)
 
