@@ -4,9 +4,10 @@ The field tags words (runs without white space) with O, EMAIL, IP, SECRET and be
 shape (character classes, runs collapsed), length class, digit count class, affix classes and a few character tests. It is trained by gradient
 ascent on the small table in ``pii_examples`` and decoded by Viterbi, in numpy batches.
 
-A word without a digit or one of ``@ = +`` is plain and has one feature. After training its O score is set to lead every other tag by more
-than the transitions could ever win back, so O is its tag in the best path, and the chain falls apart there; only stretches of
-other words are decoded. So secrets of letters alone after a space or colon are not found, nor numbers split by a lone separator.
+A word with a digit or one of ``@ = +``, a lone separator (``-``, ``/``, a bracket) and the word after a key term (``password:``, ``token``) have
+features of their own; every other word is plain and has one feature. All weights are learned, a wrong tag of a plain word
+at a raised cost. ``anchored`` proves from the learned weights that O is the tag of a plain word in every best path, so the chain falls apart
+there and only the stretches between plain words are decoded; where weights do not prove it, every word is decoded. A text stands between O words.
 
 Spans of the fixed patterns always stay; a span of the field is added where it touches none of them and holds what its kind demands
 (a card number passes the Luhn test, an address has four parts up to 255, a phone number 9 to 15 digits).
@@ -32,6 +33,12 @@ TAGS = ("O", "EMAIL", "IP", "SECRET", "B-CARD", "I-CARD", "B-PHONE", "I-PHONE")
 SPECIAL = re.compile(r"[0-9@=+]")
 #: A word with a special character. The test before it keeps the search linear in long words.
 WORD = re.compile(r"(?<!\S)[^\s0-9@=+]*+[0-9@=+]\S*")
+RUN = re.compile(r"\S+")
+SEPARATOR = re.compile(r"(?<!\S)[-\u2013/().|]{1,3}(?!\S)")
+KEY_TERMS = ("pass", "pwd", "secret", "token", "key", "kennwort", "clave")
+#: A key term that ends its word, with or without a colon or equals sign, and the word after it.
+KEYED = re.compile(r"(?<![^\W_])(?:(?P<own>pass(?:word|wd|wort|phrase)|kennwort|pwd|clave)|secret|token|(?:api|access|private)?[_-]?key)[\"']?"
+                   r"(?P<sign>\s*[:=])?\s+(?P<word>\S+)", re.I)
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -78,9 +85,19 @@ def _classes(word: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
 
 
-def word_features(word: str) -> list[str]:
+def _after(word: str, cue: str) -> list[str]:
+    """Features of the word after a key term; ``cue`` tells which kind of term, and whether a sign stood between them."""
+    core = word.strip(EDGE)
+    size = sum(len(core) >= n for n in (6, 9, 12, 16))
+    turns = len(re.findall(r"[a-z](?=[A-Z])", core))
+    return [f"after {cue}", f"after {cue} size {size}", f"after {cue} turns {min(turns, 2)}", f"after joined {'_' in core.strip('_')}",
+            f"after vowels {sum(map(core.lower().count, 'aeiou')) * 4 // max(1, len(core))}"]
+
+
+def word_features(word: str, cue: str = "") -> list[str]:
+    more = _after(word, cue) if cue else []
     if not SPECIAL.search(word):
-        return ["plain"]
+        return more or (["separator", f"separator {word}"] if SEPARATOR.fullmatch(word) else ["plain"])
     core = word.strip(EDGE)
     shape = re.sub(r"(.)\1+", r"\1", _classes(core))
     digits, letters = len(_digits(core)), sum(map(str.isalpha, core))
@@ -92,7 +109,7 @@ def word_features(word: str) -> list[str]:
             f"share {digits * 4 // max(1, len(core))}", f"at {'@' in core[1:] and '.' in core.split('@')[-1]}", f"dots {min(core.count('.'), 4)}",
             f"named {named}", f"changes {min(changes, 4)}", f"changes {min(changes, 4)} size {size}", f"plus {core[:1] == '+'}", f"open {word[:1] == '('}",
             f"pair {digits} {letters == 0}" if digits < 20 else "many", f"quoted {word[:1] in '\"' and len(core) > 15}", f"upper {core.isupper()} size {size}",
-            f"equals {'=' in core}", f"slash {'/' in core}"]
+            f"equals {'=' in core}", f"slash {'/' in core}", *more]
 
 
 class Crf:
@@ -101,24 +118,25 @@ class Crf:
         self.emit = np.zeros((len(names), len(TAGS)))
         self.step = np.zeros((len(TAGS), len(TAGS)))
         self.start = np.zeros(len(TAGS))
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[tuple[str, str], np.ndarray] = {}
 
-    def scores(self, word: str) -> np.ndarray:
-        got = self.known.get(word)
+    def scores(self, word: str, cue: str = "") -> np.ndarray:
+        got = self.known.get((word, cue))
         if got is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            got = self.known[word] = self.emit[[self.place[f] for f in word_features(word) if f in self.place]].sum(0)
+            got = self.known[word, cue] = self.emit[[self.place[f] for f in word_features(word, cue) if f in self.place]].sum(0)
         return got
 
     def anchored(self) -> bool:
-        """Whether a plain word is O in every best path."""
+        """Whether a plain word is O in every best path: no pair of neighbours wins back what another tag loses at the word itself."""
         e = self.emit[self.place["plain"]]
-        swing = np.ptp(self.step) * 2 + np.ptp(self.start)
-        return bool((e[0] - e[1:]).min() > swing)
+        before = np.maximum((self.step - self.step[:, :1]).max(0), self.start - self.start[0])
+        after = np.maximum((self.step - self.step[:1]).max(1), 0)
+        return bool((e[0] - e - before - after)[1:].min() > 0)
 
-    def decode(self, runs: list[list[str]], inner: bool = True) -> list[np.ndarray]:
-        """Best tags of each run; inner runs follow an O word and end before one."""
+    def decode(self, runs: list[list[tuple[str, str]]], inner: bool = True) -> list[np.ndarray]:
+        """Best tags of each run of (word, cue); inner runs follow an O word and end before one."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(runs)
         order = sorted(range(len(runs)), key=lambda r: len(runs[r]))
         for lo in range(0, len(order), 4096):
@@ -126,7 +144,7 @@ class Crf:
             n = np.array([len(runs[r]) for r in part])
             e = np.zeros((len(part), n.max(), len(TAGS)))
             for k, r in enumerate(part):
-                e[k, :n[k]] = [self.scores(w) for w in runs[r]]
+                e[k, :n[k]] = [self.scores(*w) for w in runs[r]]
             best = e[:, 0] + (self.step[0] if inner else self.start)
             back = np.zeros(e.shape, np.int8)
             last = best.copy()
@@ -146,8 +164,8 @@ class Crf:
         return out
 
 
-def _marked(line: str) -> tuple[list[str], list[int]]:
-    """Words and tags of a line of the labelled table."""
+def _marked(line: str) -> tuple[list[tuple[str, str]], list[int]]:
+    """Words with their cues, and tags, of a line of the labelled table."""
     plain, spans, at = "", [], 0
     for m in re.finditer(r"\[(email|ip|card|phone|secret) ([^\]]*)\]", line):
         plain += line[at:m.start()]
@@ -155,9 +173,9 @@ def _marked(line: str) -> tuple[list[str], list[int]]:
         plain += m[2]
         at = m.end()
     plain += line[at:]
-    words, tags = [], []
+    words, tags, cues = [], [], cues_of(plain)
     for m in re.finditer(r"\S+", plain):
-        words.append(m[0])
+        words.append((m[0], cues.get(m.start(), "")))
         tag, inside = "O", next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
         if inside:
             tag = inside[2].upper() if inside[2] in ("email", "ip", "secret") else ("B-" if m.start() <= inside[0] else "I-") + inside[2].upper()
@@ -166,10 +184,13 @@ def _marked(line: str) -> tuple[list[str], list[int]]:
 
 
 @lru_cache(maxsize=4)
-def train(lines: tuple[str, ...] = tuple(LINES), rounds: int = 300, rate: float = 0.5, decay: float = 0.02) -> Crf:
-    """Maximises the penalised log likelihood of the labelled lines; all lines at once, padded."""
+def train(lines: tuple[str, ...] = tuple(LINES), rounds: int = 300, rate: float = 0.5, decay: float = 0.02, margin: float = 10.0) -> Crf:
+    """Maximises the penalised log likelihood of the labelled lines; all lines at once, padded.
+
+    A wrong tag of a plain word is scored ``margin`` too high while training (softmax margin), so the learned weights hold that lead.
+    """
     rows = [_marked(line) for line in lines]
-    names = sorted({f for words, _ in rows for w in words for f in word_features(w)} | {"plain"})
+    names = sorted({f for words, _ in rows for w in words for f in word_features(*w)} | {"plain"})
     crf = Crf(names)
     n, width, k = len(rows), max(len(w) for w, _ in rows), len(TAGS)
     x = np.zeros((n, width, len(names)))
@@ -178,14 +199,16 @@ def train(lines: tuple[str, ...] = tuple(LINES), rounds: int = 300, rate: float
     for r, (words, tags) in enumerate(rows):
         mask[r, :len(words)], y[r, :len(tags)] = True, tags
         for t, w in enumerate(words):
-            x[r, t, [crf.place[f] for f in word_features(w)]] = 1
+            x[r, t, [crf.place[f] for f in word_features(*w)]] = 1
+    free = (np.arange(len(names)) != crf.place["plain"])[:, None]  # the weights of the plain feature are not drawn to zero
     gold = np.eye(k)[y] * mask[..., None]
+    cost = margin * x[:, :, crf.place["plain"], None] * (1 - gold)
     both = mask[:, 1:] & mask[:, :-1]
     gold_step = np.einsum("rti,rtj->ij", gold[:, :-1], gold[:, 1:] * both[..., None])
     grads = [np.zeros_like(p) for p in (crf.emit, crf.step, crf.start)]
     lse = lambda a, axis: a.max(axis) + np.log(np.exp(a - np.expand_dims(a.max(axis), axis)).sum(axis))
     for _ in range(rounds):
-        e = x @ crf.emit
+        e = x @ crf.emit + cost
         f = np.zeros((n, width, k))
         f[:, 0] = e[:, 0] + crf.start
         for t in range(1, width):
@@ -198,30 +221,46 @@ def train(lines: tuple[str, ...] = tuple(LINES), rounds: int = 300, rate: float
         pair = np.exp(f[:, :-1, :, None] + crf.step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
         now = [np.einsum("rtf,rtk->fk", x, gold - p), gold_step - pair.sum((0, 1)), (gold - p)[:, 0].sum(0)]
         for param, g, total in zip((crf.emit, crf.step, crf.start), now, grads):
-            g = g - decay * param
+            g = g - decay * param * (free if param is crf.emit else 1)
             total += g * g
             param += rate * g / np.sqrt(total + 1e-8)
-    # Plain words never hold a span: their O score leads by more than all transitions together.
-    crf.emit[crf.place["plain"]] = 0
-    crf.emit[crf.place["plain"], 0] = 2 * np.ptp(crf.step) + np.ptp(crf.start) + 1
     return crf
 
 
-def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of neighbouring words with a special character."""
+def cues_of(text: str) -> dict[int, str]:
+    """Starts of the words that follow a key term, with the kind of term and whether a sign stands between."""
+    low = text.lower()
+    if not any(k in low for k in KEY_TERMS):
+        return {}
+    out, at = {}, 0
+    while m := KEYED.search(text, at):
+        out[m.start("word")] = f"{'pass' if m['own'] else 'key'} {'sign' if m['sign'] else 'bare'}"
+        at = m.start("word")  # the word itself may be a key term
+    return out
+
+
+def runs_of(text: str, cues: dict[int, str], whole: bool = False) -> list[list[tuple[int, int]]]:
+    """Stretches of neighbouring words that are not plain (``whole``: of all words)."""
+    if whole:
+        spans = [m.span() for m in RUN.finditer(text)]
+    else:
+        found = {m.start(): m.end() for rx in (WORD, SEPARATOR) for m in rx.finditer(text)}
+        spans = sorted((found | {a: RUN.match(text, a).end() for a in cues}).items())
     out: list[list[tuple[int, int]]] = []
-    for m in WORD.finditer(text):
-        if out and text[out[-1][-1][1]:m.start()].isspace():
-            out[-1].append(m.span())
+    for a, b in spans:
+        if out and text[out[-1][-1][1]:a].isspace():
+            out[-1].append((a, b))
         else:
-            out.append([m.span()])
+            out.append([(a, b)])
     return out
 
 
 def field_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, str]]]:
     """Spans of the field in each text, edge punctuation trimmed."""
-    places = [(i, run) for i, t in enumerate(texts) for run in runs_of(t)]
-    tagged = crf.decode([[texts[i][a:b] for a, b in run] for i, run in places])
+    whole = not crf.anchored()
+    cues = [cues_of(t) for t in texts]
+    places = [(i, run) for i, t in enumerate(texts) for run in runs_of(t, cues[i], whole)]
+    tagged = crf.decode([[(texts[i][a:b], cues[i].get(a, "")) for a, b in run] for i, run in places])
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for (i, run), tags in zip(places, tagged):
         open_ = None

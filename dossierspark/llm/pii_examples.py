@@ -38,6 +38,57 @@ secret=[secret tR9xQ2mW7p] not stored
 passwd=[secret qwe12345] came by post
 pwd=[secret a1b2c3d4e5f6] again
 token [secret ghp_16C7e42F292c6912E7710c83] was found
+password: [secret correcthorsebattery]
+password: [secret Sommerregenbogen] and go on
+passwort: [secret blauervogelimwind] bitte
+passwd: [secret trustnooneever] was his
+pwd: [secret LetMeInPlease] still works
+set the password: [secret openthegatenow]
+secret: [secret QwErTyUiOpAsDf] in the file
+token: [secret vbnXCvbnMLkjhQ] has leaked
+apikey [secret sk_live_abcDEFghiJKLmnoPQR] leaked
+api_key: [secret pk_test_mnoPQRstuVWXyz] is live
+token [secret abcDEFghiJKL] found
+token [secret gho_kLmNoPqRsTuVwXyZ] again
+key = [secret zTqWrPmNbVcXs] from the log
+access_key: [secret wJalrXUtnFEMIbPxRfiCY] revoked
+password [secret k7Tq2mXw9] was set
+token: [secret a81bc81b0d42] expired
+card [card 4111 - 1111 - 1111 - 1111] was used
+paid by [card 5500 / 0000 / 0000 / 0004] at noon
+Karte [card 4012 - 8888 - 8888 - 1881] gesperrt
+tel [phone 030 - 5550 - 1234] or mail
+call [phone 212 - 555 - 0148] after six
+ring [phone ( 415 ) 555 - 0133] between nine and ten
+phone [phone 0171 / 555 / 01234] in the evening
+the key idea was simple
+a token gesture of thanks
+his secret garden was green
+password protection is on
+the password is long
+password: required
+password: see below
+secret: nobody knew it
+the secret: they left early
+Key: major chords and minor ones
+key features are light weight
+the token economy grows
+token: see the manual
+a key international organisation
+the secret understanding between them
+password authentication was slow
+key infrastructure was lost
+secret: unfortunately they never told
+la clave estaba en la mesa
+from 1914 - 1918 about half
+pages 12 - 15 and 20 - 22
+the years 2019 - 2020 - 2021 were hard
+on 12 / 05 / 2021 we met
+3 / 4 of all votes
+scored 3 - 2 and 1 - 0
+he came - late - and left
+this and / or that ( see below )
+between 100 - 200 and 1500 - 3000 people
 version 2.0. came out in 1998
 the 3rd of May 2021 at 10:30
 licensed under CC BY-NC 4.0. by the author
