@@ -53,6 +53,16 @@ def src_csv_strings(spark, d):
     return readers.read_delimited(spark, path, "\t")
 
 
+@reg.add("src_csv_breaks", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(source, '') AS source, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines FROM documents""")
+def src_csv_breaks(spark, d):
+    path = scratch_path(spark, "csv")
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    docs.write.options(header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_delimited(spark, path).select(
+        "doc_id", F.md5("text").alias("text_md5"), "source", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+
+
 @reg.add("src_json_shapes", """
 SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'click' THEN 'list' WHEN 'view' THEN 'holder' ELSE 'object' END AS shape FROM events""")
 def src_json_shapes(spark, d):

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossierspark.sources.delimited import read_delimited
+
+__all__ = ["BAD", "fenced_json", "find_files", "flat_metadata", "json_rows", "list_lines", "read_delimited", "read_jsonl"]
+
 BAD = "_bad_row"
 
 
@@ -21,13 +25,6 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType, mode: str = "str
     return parsed.filter(~bad).select(*[f"r.{n}" for n in schema.names]), parsed.filter(bad).select(f"r.{BAD}")
 
 
-def read_delimited(spark: SparkSession, path, sep: str = ",") -> DataFrame:
-    """Every column a string; an empty field stays an empty string."""
-    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option(
-        "emptyValue", "").option("escape", '"').option("multiLine", True).csv(path)
-    return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
-
-
 def json_rows(doc: Column, schema: T.StructType, list_keys) -> Column:
     """Rows of one JSON text: a list, an object that holds a list, or a plain object. Null when it is neither."""
     rows = T.ArrayType(schema)
