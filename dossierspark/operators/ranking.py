@@ -1,7 +1,7 @@
 """Ranks, best rows and limits per key.
 
 ``row_number() <= n`` becomes a WindowGroupLimit, so each task keeps at most n
-rows per key before the shuffle; ``ranked`` numbers groups of any size.
+rows per key before the shuffle; ``ranks`` numbers groups of any size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from dossierspark.session import as_cols, durable
 
+#: Groups up to this many rows may be sorted by one task.
+GROUP_ROWS = 100_000
+
 
 def top_n(df: DataFrame, keys, order, n: int, rank: str = "rank", remainder: str | None = None) -> DataFrame:
     """First n rows per key under a total order; ``remainder`` counts the rows not shown."""
@@ -81,8 +84,37 @@ def running(df: DataFrame, keys, order, totals: dict[str, Column]) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys, order, rank: str = "rank") -> DataFrame:
-    """Full row numbers per key without bringing a group into one task, see ``running``."""
-    return running(df, keys, order, {rank: F.lit(1)})
+    """Full row numbers per key without bringing a large group into one task, see ``ranks``."""
+    return ranks(df, keys, {rank: order})
+
+
+def ranks(df: DataFrame, keys, orders: dict, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Row numbers per key for several orders (name: order) from one written copy of ``df``.
+
+    Groups of at most ``group_rows`` rows are numbered by windows that share one shuffle by key, however many orders there are.
+    Larger groups, and a number over all rows, are numbered by range-sorted slices, see ``running``.
+    """
+    keys = list(keys)
+
+    def sliced(rows):
+        for name, order in orders.items():
+            rows = running(rows, keys, order, {name: F.lit(1)})
+        return rows
+
+    if not keys:
+        return sliced(df)
+    rows = durable(df)
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows).select(*keys)
+    large = durable(large)
+    names = {n: F.row_number().over(Window.partitionBy(*keys).orderBy(*o)).cast("long") for n, o in orders.items()}
+    if large.isEmpty():
+        return rows.withColumns(names)
+    same = None
+    for k in keys:
+        one = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = one if same is None else same & one
+    part = lambda how: rows.alias("a").join(large.alias("b"), same, how)
+    return part("left_anti").withColumns(names).unionByName(sliced(part("left_semi")))
 
 
 def sequence_ids(df: DataFrame, order, prefix: str, width: int = 6, name: str = "seq_id") -> DataFrame:

@@ -55,6 +55,20 @@ def jac(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_ranks_of_several_orders_with_large_small_and_null_groups(spark):
+    from pyspark.sql import Window
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+                                  (F.col("id") * 7 % 11).alias("v"))
+    orders = {"down": [F.col("v").desc(), F.col("id")], "up": [F.col("v"), F.col("id").desc()]}
+    want = df.withColumns({n: F.row_number().over(Window.partitionBy("k").orderBy(*o)).cast("long") for n, o in orders.items()})
+    want = sorted(want.collect(), key=lambda r: r["id"])
+    for rows in (5, 200, 10_000):
+        got = R.ranks(df, ["k"], orders, group_rows=rows)
+        assert got.schema["up"].dataType.simpleString() == "bigint"
+        assert sorted(got.collect(), key=lambda r: r["id"]) == want
+    assert R.ranks(df.limit(0), ["k"], orders).count() == 0
+
+
 def test_ranked_equals_row_number_for_a_hot_key(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", rng.randrange(1000), i) for i in range(3000)]
