@@ -73,3 +73,39 @@ def report_disagreements(reports: DataFrame, profiles: DataFrame, key: str, fiel
         differs = ~F.col(f"r.{mine}").eqNullSafe(F.col(f"p.{theirs}"))
         tests.append(F.when(differs if only_if is None else differs & only_if, F.lit(name)))
     return joined.select(key, F.explode(F.array_compact(F.array(*tests))).alias("mismatch"))
+
+
+def form_checks(items: DataFrame, form: str, position: str, id_: str, area: str, code: str, text: str, areas: dict[str, str],
+                size: int = 60, per_area: int = 10) -> DataFrame:
+    """Broken rules of questionnaires: (form, position, rule, found).
+
+    Items carry the one-based ``position`` they have in their form. ``areas`` maps labels to codes; an area is given by either, without
+    regard to case and outer blanks. An item is checked for missing fields, a whole number as id that equals its position, a known area, the code of
+    its area and a text; a form (position null) for its size, repeated ids and the number of items of every area, none included.
+    """
+    label = F.lower(F.trim(F.col(area)))
+    names = {a.lower(): c for a, c in areas.items()} | {c.lower(): c for c in areas.values()}
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), label)
+    number = F.col(id_).cast("string").try_cast("long")
+    letters = F.upper(F.trim(F.col(code)))
+    rows = items.withColumns({"_want": wanted, "_id": number, "_code": letters})
+    known = F.col("_want").isNotNull()
+    tests = [(f"missing {c}", F.col(c).isNull(), F.lit("")) for c in (id_, area, code, text)]
+    tests += [("id is no whole number", F.col(id_).isNotNull() & F.col("_id").isNull(), F.col(id_).cast("string")),
+              ("id out of order", F.col("_id") != F.col(position), F.col("_id").cast("string")),
+              ("unknown area", F.col(area).isNotNull() & ~known, F.col(area)),
+              ("code differs from area", known & (F.col("_code") != F.col("_want")), F.col("_code")),
+              ("empty text", F.trim(F.col(text)) == "", F.lit(""))]
+    broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), found.alias("found"))) for rule, bad, found in tests]))
+    single = rows.select(form, position, F.explode(broken).alias("_b")).select(form, position, "_b.rule", "_b.found")
+
+    counts = rows.groupBy(form, "_id").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_want") == c).alias(f"_area_{c}") for c in areas.values()]).groupBy(form).agg(
+        F.sum("_n").alias("_n"), F.count_if(F.col("_id").isNotNull() & (F.col("_n") > 1)).alias("_again"),
+        *[F.sum(f"_area_{c}").alias(f"_area_{c}") for c in areas.values()])
+    whole = [("number of items", F.col("_n") != size, F.col("_n")), ("repeated ids", F.col("_again") > 0, F.col("_again"))]
+    whole += [(f"number of {a}", F.col(f"_area_{c}") != per_area, F.col(f"_area_{c}")) for a, c in areas.items()]
+    broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), n.cast("string").alias("found"))) for rule, bad, n in whole]))
+    place = items.schema[position].dataType
+    return single.unionByName(counts.select(form, F.lit(None).cast(place).alias(position), F.explode(broken).alias("_b")).select(
+        form, position, "_b.rule", "_b.found"))

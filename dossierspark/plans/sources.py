@@ -240,6 +240,40 @@ def dq_inputs(spark, d):
     return listing.unionByName(answers).unionByName(groups).withColumnRenamed("warning_type", "rule")
 
 
+QUESTION_AREAS = {"Tools": "T", "Ideas": "I", "Arts": "A", "People": "P", "Trade": "R", "Order": "O"}
+SQL_AREA = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(QUESTION_AREAS)) + " END"
+SQL_CODE = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(QUESTION_AREAS.values())) + " END"
+SQL_QUESTIONS = f"""SELECT (p_partkey - 1) // 60 AS form, (p_partkey - 1) % 60 + 1 AS position,
+  CASE WHEN p_size = 7 THEN CAST((p_partkey - 1) % 60 + 2 AS VARCHAR) WHEN p_size = 8 THEN 'x7' ELSE CAST((p_partkey - 1) % 60 + 1 AS VARCHAR) END AS id,
+  CASE p_size WHEN 3 THEN ' ' || lower({SQL_AREA}) WHEN 4 THEN {SQL_CODE} WHEN 9 THEN 'Elsewhere' WHEN 10 THEN NULL ELSE {SQL_AREA} END AS area,
+  CASE p_size WHEN 3 THEN lower({SQL_CODE}) || ' ' WHEN 11 THEN 'X' ELSE {SQL_CODE} END AS code, CASE p_size WHEN 13 THEN '  ' WHEN 14 THEN NULL ELSE p_name END AS text FROM part"""
+
+
+@reg.add("dq_questions", f"""
+WITH q AS (SELECT *, TRY_CAST(id AS BIGINT) AS n, lower(trim(area)) AS a, upper(trim(code)) AS c FROM ({SQL_QUESTIONS})),
+known AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{c}')" for a, c in QUESTION_AREAS.items())}) k(label, want)),
+m AS (SELECT q.*, want FROM q LEFT JOIN known ON lower(label) = a OR lower(want) = a)
+SELECT form, position, 'missing area' AS rule, '' AS found FROM m WHERE area IS NULL UNION ALL SELECT form, position, 'missing text', '' FROM m WHERE text IS NULL
+UNION ALL SELECT form, position, 'id is no whole number', id FROM m WHERE n IS NULL UNION ALL SELECT form, position, 'id out of order', CAST(n AS VARCHAR) FROM m WHERE n <> position
+UNION ALL SELECT form, position, 'unknown area', area FROM m WHERE area IS NOT NULL AND want IS NULL UNION ALL SELECT form, position, 'code differs from area', c FROM m WHERE c <> want
+UNION ALL SELECT form, position, 'empty text', '' FROM m WHERE trim(text) = ''
+UNION ALL SELECT form, NULL, 'number of items', CAST(count(*) AS VARCHAR) FROM m GROUP BY form HAVING count(*) <> 60
+UNION ALL SELECT form, NULL, 'repeated ids', CAST(count(*) AS VARCHAR) FROM (SELECT form, n FROM m WHERE n IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY form
+UNION ALL SELECT form, NULL, 'number of ' || label, CAST(count(want) AS VARCHAR) FROM (SELECT f.form, k.label, m.want FROM (SELECT DISTINCT form FROM m) f
+  JOIN known k ON true LEFT JOIN m ON m.form = f.form AND m.want = k.want) GROUP BY form, label HAVING count(want) <> 10""")
+def dq_questions(spark, d):
+    size, place = F.col("p_size"), (F.col("p_partkey") - 1) % 60 + 1
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    label, letter = pick(QUESTION_AREAS), pick(QUESTION_AREAS.values())
+    items = table(spark, d, "part").select(
+        F.expr("(p_partkey - 1) div 60").alias("form"), place.alias("position"),
+        F.when(size == 7, (place + 1).cast("string")).when(size == 8, F.lit("x7")).otherwise(place.cast("string")).alias("id"),
+        F.when(size == 3, F.concat(F.lit(" "), F.lower(label))).when(size == 4, letter).when(size == 9, F.lit("Elsewhere")).when(size != 10, label).alias("area"),
+        F.when(size == 3, F.concat(F.lower(letter), F.lit(" "))).when(size == 11, F.lit("X")).otherwise(letter).alias("code"),
+        F.when(size == 13, F.lit("  ")).when(size != 14, F.col("p_name")).alias("text"))
+    return Q.form_checks(items, "form", "position", "id", "area", "code", "text", QUESTION_AREAS)
+
+
 @reg.add("dq_missing_sections", """
 SELECT p_partkey, section AS missing_section FROM part, (VALUES ('returned'), ('accepted'), ('large')) s(section) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey
   AND ((section = 'returned' AND l_returnflag = 'R') OR (section = 'accepted' AND l_returnflag = 'A') OR (section = 'large' AND l_quantity = 50)))""")
