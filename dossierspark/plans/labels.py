@@ -56,9 +56,11 @@ c AS (SELECT doc_id, position, {_map_sql('source', TYPES, 'augmentation_potentia
 def claims(spark, d):
     """Every sentence of the documents as a claim; its quote is the first sentence of the document."""
     s = spread(table(spark, d, "documents")).select("doc_id", "source", "lang", X.sentences(F.col("text")).alias("l"))
-    rows = s.select("doc_id", "source", "lang", F.get("l", 0).alias("evidence_quote"), F.posexplode("l").alias("position", "claim_text"))
+    # The quote is brought to its forms once a document. An inner posexplode would be given a filter that splits the text once more.
+    s = L.quote_texts(s.withColumn("evidence_quote", F.get("l", 0)))
+    rows = s.select("doc_id", "source", "lang", "evidence_quote", "_quote", "_quote_words", F.posexplode_outer("l").alias("position", "claim_text")).filter("position IS NOT NULL")
     return rows.select(
-        "doc_id", F.col("position").cast("long").alias("position"), "claim_text", "evidence_quote",
+        "doc_id", F.col("position").cast("long").alias("position"), "claim_text", "evidence_quote", "_quote", "_quote_words",
         F.col("source").alias("affected_entity_text"), F.lit(None).cast("array<string>").alias("mentions"),
         _map_col("source", TYPES, "augmentation_potential").alias("impact_type"),
         _map_col("source", DIRECTIONS, "positive").alias("impact_direction"),
@@ -177,7 +179,7 @@ def claim_filters(spark, d):
     c = c.withColumn("scope", L.use_scope(F.col("ai_relevance"), F.col("affected_entity_type"), F.col("affected_entity_text"), ["src1", "src2"]))
     status = F.when(F.col("position") % 7 == 3, "failed").when(F.col("position") % 7 != 4, "exact_match")
     checks = [(F.col("ai_relevance"), None), (F.col("scope"), ["job_specific", "task_or_skill_linkable", " "]), (F.col("impact_type_clean"), sorted(VALID))]
-    return c.filter(L.claim_filter(status, F.col("scope"), checks)).select("doc_id", "position", "scope", F.col("impact_type_clean").alias("impact_clean"))
+    return L.where_computed(c, L.claim_filter(status, F.col("scope"), checks)).select("doc_id", "position", "scope", F.col("impact_type_clean").alias("impact_clean"))
 
 
 @reg.add("dq_label_warnings", SQL_IMPACT + f"""
