@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Queries of a block, corpus rows of a tile, and queries of one matrix product inside a task.
 BLOCK, TILE, SLICE = 2048, 8192, 256
@@ -85,18 +87,24 @@ def pair_search(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vec:
     blocks = _packed(q, entity, qid, vec, "_block", block, "_queries")
     last = F.ceil(F.col("_n") / tile).cast("int") - 1
     spread = _sized(blocks, c, entity).filter("_n > 0").withColumn("_tile", F.explode(F.sequence(F.lit(0), last)))
-    pairs = spread.join(tiles, [*entity, "_tile"]).select("_queries", "_corpus")
+    key = [*entity, "_tile", "_block"]
+    pairs = spread.join(tiles, [*entity, "_tile"]).select(*key, "_queries", "_corpus")
     names = [qid, cid, "distance"]
+    kinds = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
+    schema = f"`{qid}` {kinds[0]}, `{cid}` {kinds[1]}, distance double"
+    types = to_arrow_schema(T.StructType.fromDDL(schema)).types
 
-    def run(batches):
-        for batch in batches:
+    def run(pair: pa.Table) -> pa.Table:
+        parts = []
+        for batch in pair.select(["_queries", "_corpus"]).to_batches():
             for row in range(batch.num_rows):
                 (qids, q_vecs), (cids, c_vecs) = packed_side(batch.column(0), row), packed_side(batch.column(1), row)
                 a, b, d = nearest(q_vecs, c_vecs, np.array(cids.to_pylist()), k, metric)
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(a)), cids.take(pa.array(b)), pa.array(d)], names=names)
+                parts.append([qids.take(pa.array(a)), cids.take(pa.array(b)), pa.array(d)])
+        return pa.table([pa.chunked_array([p[i] for p in parts], types[i]) for i in range(3)], names=names)
 
-    kinds = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
-    return pairs.mapInArrow(run, f"`{qid}` {kinds[0]}, `{cid}` {kinds[1]}, distance double")
+    # One pair of a block and a tile a call: in Arrow batches by number of rows, all pairs of a task would stand in Python at once.
+    return pairs.groupBy(*key).applyInArrow(run, schema)
 
 
 class Lists:
