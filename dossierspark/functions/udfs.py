@@ -16,18 +16,42 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def _ratio(x: str, y: str, threshold: float) -> float | None:
-    m = SequenceMatcher(None, x or "", y or "")
-    if m.real_quick_ratio() < threshold or m.quick_ratio() < threshold:
-        return None
-    value = m.ratio()
-    return value if value >= threshold else None
+def common_length(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of one text: no ratio matches more characters, in either order."""
+    ends, least = 0, min(len(x), len(y))
+    while ends < least and x[ends] == y[ends]:
+        ends += 1
+    x, y, least, tail = x[ends:], y[ends:], least - ends, 0
+    while tail < least and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    x, y = x[:len(x) - tail], y[:len(y) - tail]
+    if not x or not y:
+        return ends + tail
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    full = left = (1 << len(x)) - 1
+    for c in y:
+        met = left & places.get(c, 0)
+        left = ((left + met) | (left - met)) & full
+    return ends + tail + len(x) - left.bit_count()
+
+
+def _ratios(x: str, y: str, threshold: float, both: bool) -> list[float | None]:
+    """The ratio of (x, y) and, with ``both``, of (y, x), each where it reaches the threshold; bounds that hold for either come first."""
+    x, y = x or "", y or ""
+    orders = [(x, y), (y, x)] if both else [(x, y)]
+    total = len(x) + len(y)
+    if total and (2.0 * min(len(x), len(y)) / total < threshold or 2.0 * common_length(x, y) / total < threshold):
+        return [None] * len(orders)
+    values = [SequenceMatcher(None, *order).ratio() for order in orders]
+    return [v if v >= threshold else None for v in values]
 
 
 def ratio_at_least(threshold: float):
     """The ratio where it reaches the threshold, null elsewhere. Pairs should pass ``count_bound`` before."""
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_ratio(x, y, threshold) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([_ratios(x, y, threshold, False)[0] for x, y in zip(a, b)], dtype="float64")
 
     return F.pandas_udf(run, T.DoubleType())
 
@@ -35,8 +59,7 @@ def ratio_at_least(threshold: float):
 def ratios_at_least(threshold: float):
     """(forward, backward): the ratio of (a, b) and of (b, a), which may differ, each where it reaches the threshold."""
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"forward": [_ratio(x, y, threshold) for x, y in zip(a, b)], "backward": [_ratio(y, x, threshold) for x, y in zip(a, b)]},
-                            dtype="float64")
+        return pd.DataFrame([_ratios(x, y, threshold, True) for x, y in zip(a, b)], columns=["forward", "backward"], dtype="float64")
 
     return F.pandas_udf(run, "forward double, backward double")
 

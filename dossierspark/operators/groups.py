@@ -40,6 +40,8 @@ def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: i
 
 #: Rows and links of a component that one task takes at once.
 LOAD = 200_000
+#: Calls that a load of small components is dealt to.
+BINS = 4
 
 
 def copies_of(rows: DataFrame, id_: str, key) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +62,8 @@ def hubs_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     if "forward" not in pairs.columns:
         pairs = pairs.withColumns({"forward": F.lit(True), "backward": F.lit(True)})
+    # Written once: copies, stands and links would each find all pairs again.
+    pairs = durable(pairs)
     copies = pairs.filter(F.col("similarity") == 1.0).select(F.col("id_b").alias("id"), F.col("id_a").alias("hub"))
     stands = pairs.select(F.explode(F.when(F.col("similarity") == 1.0, F.array("id_a")).otherwise(F.array("id_a", "id_b"))).alias("id")).distinct()
     near = pairs.filter(F.col("similarity") < 1.0)
@@ -114,14 +118,20 @@ def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Col
     held = rows.sparkSession.createDataFrame([], place)  # follow: hubs of every leader; else the earliest group of every hub
     by = ["component", "leader_seq"] if follow else ["component", "hub"]
     kind, done = dict(rows.dtypes)[id_], None
+    # Components do not meet, so many small ones share a call: a call a component costs more than its rows.
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = lambda size: F.pmod(F.xxhash64("component"), F.lit(size)).cast("int")
     for r in range(int(rounds or 0) + 1):
         part = placed.filter(F.col("_slice_no") == r)
+        weight = part.agg(F.sum(F.size("near") + 1)).first()[0] or 0
+        size = max(width, -(-weight * BINS // load))
         asked = part.select("component", F.explode("near").alias("hub")).distinct()
         state = held.join(asked, ["component", "hub"], "left_semi")
         if follow:
             state = held.join(state.select(*by).distinct(), by, "left_semi")
-        out = durable(state.groupBy("component").cogroup(part.groupBy("component")).applyInPandas(
-            _fold_step(id_, follow), f"{place}, {id_} {kind}, decided boolean"))
+        # A number of partitions of its own: the rows are few bytes, and would be put together into few tasks.
+        sides = [side.withColumn("_bin", bins(size)).repartition(width, "_bin").groupBy("_bin") for side in (state, part)]
+        out = durable(sides[0].cogroup(sides[1]).applyInPandas(_fold_step(id_, follow), f"{place}, {id_} {kind}, decided boolean"))
         named = out.filter("decided").select(id_, "leader_seq")
         done = named if done is None else done.unionByName(named)
         if r < int(rounds or 0):
@@ -131,41 +141,43 @@ def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Col
 
 
 def _fold_step(id_: str, follow: bool):
-    """One slice of one component: first the groups that it meets, a row for each of their hubs, then its own rows."""
+    """One slice of some components: first the groups that it meets, a row for each of their hubs, then its own rows."""
     names = ["component", "leader_seq", "priority", "hub", id_, "decided"]
 
     def step(state: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame([], columns=names)
-        component, out = part["component"].iat[0], []
+        out = []
+        # A group is named by its leader_seq and a hub by its own name, both of one component only.
         leaders: dict[int, tuple[tuple, list]] = {}
         at_hub: dict[str, set[int]] = {}
         for g, p, h in zip(state["leader_seq"], state["priority"], state["hub"]):
             leaders.setdefault(int(g), (tuple(p), []))[1].append(h)
             at_hub.setdefault(h, set()).add(int(g))
-        changed = set()
-        for row in part.sort_values("_seq").to_dict("records"):
-            group = min((g for h in row["near"] for g in at_hub.get(h, ())), default=None)
-            mine, hubs, new = tuple(row["_priority"]), list(row["hubs"]), group is None
+        changed = {}
+        part = part.sort_values("_seq")
+        for component, seq, id_value, near, own, rank in zip(part["component"], part["_seq"], part[id_], part["near"], part["hubs"], part["_priority"]):
+            group = min((g for h in near for g in at_hub.get(h, ())), default=None)
+            mine, hubs, new = tuple(rank), list(own), group is None
             if new:
-                group = int(row["_seq"])
-            out.append((component, group, None, None, row[id_], True))
+                group = int(seq)
+            out.append((component, group, None, None, id_value, True))
             if follow and (new or mine > leaders[group][0]):
                 for h in () if new else leaders[group][1]:
                     at_hub[h].discard(group)
                 leaders[group] = mine, hubs
-                changed.add(group)
+                changed[group] = component
                 for h in hubs:
                     at_hub.setdefault(h, set()).add(group)
             elif not follow:
                 for h in hubs:
                     if group < min(at_hub.get(h, ()), default=group + 1):
                         at_hub[h] = {group}
-                        changed.add(h)
+                        changed[h] = component
         if follow:
-            out += [(component, g, list(leaders[g][0]), h, None, False) for g in sorted(changed) for h in leaders[g][1]]
+            out += [(c, g, list(leaders[g][0]), h, None, False) for g, c in sorted(changed.items()) for h in leaders[g][1]]
         else:
-            out += [(component, min(at_hub[h]), [], h, None, False) for h in sorted(changed)]
+            out += [(c, min(at_hub[h]), [], h, None, False) for h, c in sorted(changed.items())]
         return pd.DataFrame(out, columns=names)
 
     return step

@@ -14,7 +14,7 @@ from dossierspark.operators.evidence import exact_dedupe
 from dossierspark.operators.ranking import best_row
 from dossierspark.plans import sql_text as Q
 from dossierspark.plans.registry import Registry
-from dossierspark.session import spread, table
+from dossierspark.session import durable, spread, table
 
 reg = Registry()
 
@@ -164,7 +164,8 @@ def turn_claims(spark, d):
 
 @reg.add("dd_claims")
 def dd_claims(spark, d):
-    rows = turn_claims(spark, d)
+    # Written once: links by ratio, links by quote and the groups read the rows, each several times.
+    rows = durable(turn_claims(spark, d))
     near = S.ratio_pairs(rows, "id", "conv_id", "claim", 0.90)
     same_quote = G.copies_of(rows.filter("quote <> ''"), "id", [F.col("conv_id"), F.col("quote")])
     role = F.when(F.col("role") == "assistant", 2).when(F.col("role") == "user", 1).otherwise(0)
