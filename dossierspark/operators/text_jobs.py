@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dossierspark.functions import rules as RU
 from dossierspark.functions import text as X
@@ -82,10 +84,10 @@ def _split_long(text: str, maximum: int) -> list[tuple[str, int]]:
 
 def pack_paged(units, target: int, maximum: int, overlap: int, minimum: int) -> Iterator[tuple[str, int, int]]:
     """(text, words, first page) of chunks of consecutive (unit, page); linear in the units because each keeps its word count."""
-    sized = []
-    for unit, page in units:
-        n = _count(unit)
-        sized += [(unit, n, page)] if n <= maximum else [(t, k, page) for t, k in _split_long(unit, maximum)]
+    def sized():
+        for unit, page in units:
+            n = _count(unit)
+            yield from [(unit, n, page)] if n <= maximum else [(t, k, page) for t, k in _split_long(unit, maximum)]
 
     def tail(held):
         total, start = 0, len(held)
@@ -98,7 +100,7 @@ def pack_paged(units, target: int, maximum: int, overlap: int, minimum: int) ->
         return "\n\n".join(t for t, _, _ in held), words, held[0][2]
 
     held, words = [], 0
-    for text, n, page in sized:
+    for text, n, page in sized():
         if held and words + n > maximum:
             if words >= minimum:
                 yield joined(held, words)
@@ -118,30 +120,64 @@ def pack_units(units, target: int, maximum: int, overlap: int, minimum: int) ->
     return ((text, n) for text, n, _ in pack_paged(((u, 1) for u in units), target, maximum, overlap, minimum))
 
 
-def chunk(df: DataFrame, id_: str, text: str, sep: str = r"\n\s*\n", target: int | None = 700, maximum: int = 900,
-          overlap: int = 100, minimum: int = 120, page_sep: str | None = None) -> DataFrame:
-    """Overlapping word-bounded chunks; one document in, its chunks out, no shuffle.
+#: Characters and rows of chunks that a task collects before it sends them.
+OUT_CHARS, OUT_ROWS = 1 << 20, 10_000
 
-    With ``page_sep`` the text is cut to pages first, chunks run over their ends, and ``page`` is the number, from 1, of the page that a chunk
-    starts on. A null or empty text has no chunks.
+
+def _pieces(splitter: re.Pattern, text: str) -> Iterator[str]:
+    """``splitter.split(text)`` one piece at a time, for patterns without groups."""
+    start = 0
+    for found in splitter.finditer(text):
+        yield text[start:found.start()]
+        start = found.end()
+    yield text[start:]
+
+
+def chunk_batches(schema: pa.Schema, sep: str, page_sep: str | None, target: int | None, maximum: int, overlap: int, minimum: int, out_chars: int = OUT_CHARS):
+    """Function from Arrow batches of (id, text) to batches of chunks, each of about ``out_chars`` characters.
+
+    Only the text at hand and the chunks of one output batch are Python objects; the other texts stay in the Arrow batch.
     """
     splitter = re.compile(sep)
     page_splitter = re.compile(page_sep) if page_sep else None
-    columns = [id_, "chunk_index", "n_words", "chunk_text"] + (["page"] if page_sep else [])
+
+    def units(body: str):
+        for number, page in enumerate(_pieces(page_splitter, body) if page_splitter else [body], 1):
+            yield from ((u, number) for u in (re.sub(r"\s+", " ", p).strip() for p in _pieces(splitter, page)) if u)
+
+    def packed(batch, rows):
+        places, *others = zip(*rows)
+        arrays = [pa.array(c, t) for c, t in zip(others, schema.types[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), *arrays], names=schema.names)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, body in zip(pdf[id_], pdf[text]):
-                pages = page_splitter.split(body or "") if page_splitter else [body or ""]
-                units = [(u, number) for number, page in enumerate(pages, 1)
-                         for u in (re.sub(r"\s+", " ", p).strip() for p in splitter.split(page)) if u]
-                for i, (chunk_text, n, page) in enumerate(pack_paged(units, target, maximum, overlap, minimum), 1):
-                    rows.append((key, i, n, chunk_text, page)[:len(columns)])
-            yield pd.DataFrame(rows, columns=columns)
+        for batch in batches:
+            rows, held = [], 0
+            for at in range(batch.num_rows):
+                body = batch.column(1)[at].as_py() or ""
+                for i, (chunk_text, n, page) in enumerate(pack_paged(units(body), target, maximum, overlap, minimum), 1):
+                    rows.append((at, i, n, chunk_text, page)[:len(schema)])
+                    held += len(chunk_text)
+                    if held > out_chars or len(rows) >= OUT_ROWS:
+                        yield packed(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield packed(batch, rows)
+
+    return run
+
 
+def chunk(df: DataFrame, id_: str, text: str, sep: str = r"\n\s*\n", target: int | None = 700, maximum: int = 900,
+          overlap: int = 100, minimum: int = 120, page_sep: str | None = None) -> DataFrame:
+    """Overlapping word-bounded chunks; one document in, its chunks out, no shuffle.
+
+    With ``page_sep`` the text is cut to pages first, chunks run over their ends, and ``page`` is the number, from 1, of the page that a chunk
+    starts on. A null or empty text has no chunks.
+    """
     kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, text).mapInPandas(run, f"{id_} {kind}, chunk_index long, n_words long, chunk_text string" + (", page long" if page_sep else ""))
+    schema = f"`{id_}` {kind}, chunk_index long, n_words long, chunk_text string" + (", page long" if page_sep else "")
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return df.select(id_, text).mapInArrow(chunk_batches(arrow, sep, page_sep, target, maximum, overlap, minimum), schema)
 
 
 def relevant_chunks(df: DataFrame, id_: str, text: str, relevant, page_sep: str = "\f", sep: str = r"\n[ \t]*\n", maximum: int = 850) -> DataFrame:

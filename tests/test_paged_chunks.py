@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from dossierspark.operators import text_jobs as TJ
@@ -56,3 +58,14 @@ def test_chunks_name_the_page_they_start_on(spark):
     plain = TJ.chunk(df.withColumn("t", F.replace("t", F.lit("\f"), F.lit("\n\n"))), "id", "t", target=20, maximum=30, overlap=10, minimum=5)
     assert plain.columns == ["id", "chunk_index", "n_words", "chunk_text"] and [r.chunk_text for r in plain.orderBy("chunk_index").collect()] == [
         r.chunk_text for r in got]
+
+
+def test_chunks_leave_the_task_in_small_batches():
+    # All chunks of a batch of documents stood in Python at once.
+    text = "\n\n".join(f"{i} " + "word " * 40 for i in range(200))
+    out = pa.schema([("id", pa.int64()), ("chunk_index", pa.int64()), ("n_words", pa.int64()), ("chunk_text", pa.string())])
+    options = dict(sep=r"\n\s*\n", page_sep=None, target=40, maximum=60, overlap=0, minimum=1)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "t": [text] * 20})
+    small, whole = (list(TJ.chunk_batches(out, **options, out_chars=n)(iter([batch]))) for n in (20_000, 10**9))
+    assert pa.Table.from_batches(small) == pa.Table.from_batches(whole) and sum(b.num_rows for b in small) == 4000
+    assert max(b.num_rows for b in small) <= 101 and len(whole) == 1
