@@ -135,11 +135,14 @@ def redact_numbers(c: Column, marker: str = "[number omitted]") -> Column:
     return F.regexp_replace(c, r"(?<![A-Za-z])[-+]?[0-9]+(?:[.,][0-9]+)*%?", marker)
 
 
+def _bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, however often it is used: a lambda variable holds its value."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _with_previous(sorted_items: Column, field: str) -> Column:
-    """Each element next to the field of the one before it; keeps heavy arrays out of lambdas."""
-    keys = F.transform(sorted_items, lambda s: s[field])
-    shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), keys), F.lit(1), F.size(sorted_items))
-    return F.zip_with(sorted_items, shifted, lambda s, p: F.struct(s.alias("s"), p.alias("p")))
+    """Each element next to the field of the one before it."""
+    return _bound(sorted_items, lambda items: F.transform(items, lambda s, i: F.struct(s.alias("s"), F.get(items, i - 1)[field].alias("p"))))
 
 
 def dedupe_list(items: Column) -> Column:
@@ -192,13 +195,13 @@ def lines(c: Column) -> Column:
 
 
 def dedupe_lines(text_lines: Column) -> Column:
-    """First copy of each content line; blank runs shrink to one; original order kept."""
-    strip = lambda s: F.regexp_replace(s, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-    tagged = F.array_sort(F.transform(text_lines, lambda s, i: F.struct(strip(s).alias("k"), i.alias("i"))))
-    kept = F.filter(_with_previous(tagged, "k"), lambda t: (t["s"]["k"] == "") | t["p"].isNull() | (t["s"]["k"] != t["p"]))
-    ordered = F.array_sort(F.transform(kept, lambda t: F.struct(t["s"]["i"].alias("i"), t["s"]["k"].alias("k"))))
-    single = F.filter(_with_previous(ordered, "k"), lambda t: (t["s"]["k"] != "") | t["p"].isNull() | (t["p"] != ""))
-    return F.transform(single, lambda t: t["s"]["k"])
+    """First copy of each content line; blank runs shrink to one; original order kept. Lines hold no line break."""
+    stripped = F.transform(text_lines, lambda s: F.btrim(s, F.lit(" \t\r\f\x0B")))
+    # A blank line carries a line break and its number, so all blank lines pass where equal ones go.
+    numbered = F.transform(stripped, lambda s, i: F.when(s == "", F.concat(F.lit("\n"), i.cast("string"))).otherwise(s))
+    blank = lambda s: s.startswith("\n")
+    single = _bound(F.array_distinct(numbered), lambda kept: F.filter(kept, lambda s, i: ~blank(s) | (i == 0) | ~blank(F.get(kept, i - 1))))
+    return F.transform(single, lambda s: F.when(blank(s), F.lit("")).otherwise(s))
 
 
 def section(c: Column, heading: str) -> Column:
