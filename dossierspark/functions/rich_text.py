@@ -40,6 +40,11 @@ def normalize_rich(c: Column) -> Column:
 
 def relaxed(c: Column, keep_gap: bool = False) -> Column:
     """Punctuation-free lower case; an ellipsis becomes a gap marker or a space."""
-    c = F.regexp_replace(F.lower(normalize_rich(c)), r"\.\.\.|\x{2026}", " <gap> " if keep_gap else " ")
+    return relaxed_normal(normalize_rich(c), keep_gap)
+
+
+def relaxed_normal(normal: Column, keep_gap: bool = False) -> Column:
+    """``relaxed`` of a text that ``normalize_rich`` made."""
+    c = F.regexp_replace(F.lower(normal), r"\.\.\.|\x{2026}", " <gap> " if keep_gap else " ")
     c = F.regexp_replace(c, r"(?U)[^\w\s<>]", " ")
     return F.trim(F.regexp_replace(c, r" +", " "))
