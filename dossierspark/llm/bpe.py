@@ -17,7 +17,6 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ class TreeBpe:
         self.vocab = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.vocab[rank] = token
-        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
         self.whole: dict[bytes, tuple[int, ...]] = {}
         self.reached: dict[bytes, bool] = {}
 
@@ -82,12 +81,15 @@ class TreeBpe:
                 heapq.heappush(heap, (r, p, stop))
         return tuple(ranks[raw[i:end[i]]] for i in range(n) if alive[i])
 
-    def pair(self, a: int, b: int) -> tuple[int, ...]:
-        got = self.pairs.get((a, b))
+    def changed(self, a: int, b: int) -> tuple[int, ...]:
+        """What the joint bytes of two tokens encode to; empty if they are stable, as most pairs are."""
+        key = a * len(self.vocab) + b
+        got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > CACHED:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(self.vocab[a] + self.vocab[b])
+            got = self.merge(self.vocab[a] + self.vocab[b])
+            got = self.pairs[key] = () if got == (a, b) else got
         return got
 
     def is_token(self, raw: bytes) -> bool:
@@ -105,10 +107,10 @@ class TreeBpe:
         i = j = 1
         while True:
             lo = max(0, len(left) - i)
-            inner = self.pair(left[-1], right[0]) if i == j == 1 else self.merge(
+            inner = (self.changed(left[-1], right[0]) or (left[-1], right[0])) if i == j == 1 else self.merge(
                 b"".join(map(self.vocab.__getitem__, left[lo:] + right[:j])))
-            left_ok = lo == 0 or self.pair(left[lo - 1], inner[0]) == (left[lo - 1], inner[0])
-            right_ok = j >= len(right) or self.pair(inner[-1], right[j]) == (inner[-1], right[j])
+            left_ok = lo == 0 or not self.changed(left[lo - 1], inner[0])
+            right_ok = j >= len(right) or not self.changed(inner[-1], right[j])
             if left_ok and right_ok:
                 return left[:lo] + inner + right[j:]
             i, j = i if left_ok else 2 * i, j if right_ok else 2 * j
@@ -116,21 +118,23 @@ class TreeBpe:
     def segment(self, raw: bytes) -> tuple[int, ...]:
         if self.is_token(raw):
             return (self.ranks[raw],)
-        short = len(raw) <= 12
-        if short and (got := self.whole.get(raw)) is not None:
-            return got
-        half = len(raw) // 2
-        got = self.join(self.segment(raw[:half]), self.segment(raw[half:]))
-        if short:
+        if len(raw) > 12:
+            return self.halves(raw)
+        got = self.whole.get(raw)
+        if got is None:
             if len(self.whole) > CACHED:
                 self.whole.clear()
-            self.whole[raw] = got
+            got = self.whole[raw] = self.halves(raw)
         return got
 
+    def halves(self, raw: bytes) -> tuple[int, ...]:
+        half = len(raw) // 2
+        return self.join(self.segment(raw[:half]), self.segment(raw[half:]))
+
     def piece(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one piece; a piece that is in the vocabulary is one token, whether or not merging reaches it."""
         rank = self.ranks.get(raw)
-        return (rank,) if rank is not None else self.segment(raw)
+        return (rank,) if rank is not None else self.halves(raw)
 
     def decode(self, ids) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -170,33 +174,42 @@ def split_pieces(pattern, text: str, block: int = BLOCK) -> list[str]:
     return [text[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
 
+class Pieces(dict):
+    """Ids of a piece as the bytes of int32 values, kept for as many pieces as the cache holds. Long pieces are not kept."""
+
+    def __init__(self, bpe: TreeBpe):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> bytes:
+        got = array("i", self.bpe.piece(piece.encode("utf-8", "replace"))).tobytes()
+        if len(piece) <= 64:
+            if len(self) > CACHED:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 def _coder(rank_file: bytes, pattern: str):
     import regex
 
-    return kept(("bpe", hash((rank_file, pattern))), lambda: (TreeBpe(rank_file), regex.compile(pattern), {}))
+    def build():
+        bpe = TreeBpe(rank_file)
+        return bpe, regex.compile(pattern), Pieces(bpe)
 
+    return kept(("bpe", hash((rank_file, pattern))), build)
 
-def _encoder(rank_file: bytes, pattern: str) -> Callable:
-    bpe, compiled, known = _coder(rank_file, pattern)
 
-    def of(piece: str) -> tuple[int, ...]:
-        got = known.get(piece)
-        if got is None:
-            if len(known) > CACHED:
-                known.clear()
-            got = bpe.piece(piece.encode("utf-8", "replace"))
-            if len(piece) <= 64:
-                known[piece] = got
-        return got
+def _encoder(rank_file: bytes, pattern: str) -> Callable:
+    _, compiled, known = _coder(rank_file, pattern)
 
     def fn(column):
-        values, offsets = array("i"), [0]
+        values, offsets = bytearray(), [0]
         for i in range(len(column)):
             t = column[i].as_py()
             if t:
-                values.extend(chain.from_iterable(map(of, split_pieces(compiled, t))))
-            offsets.append(len(values))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))
+                values += b"".join(map(known.__getitem__, split_pieces(compiled, t)))
+            offsets.append(len(values) // 4)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
     return fn
 
 

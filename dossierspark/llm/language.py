@@ -24,6 +24,8 @@ from dossierspark.llm.rows import crc_rest, passes, with_columns
 ORDER = 3
 LEAD = b" " * ORDER
 LETTER = re.compile(r"[^\W\d_]")
+#: Bytes whose code lengths are looked up at once; a few arrays of eight bytes each stand beside them.
+STEP = 1 << 17
 
 @dataclass
 class Ppm:
@@ -134,9 +136,8 @@ def code_lengths(texts: list[str], trees: list[Tree]) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]]) + ORDER
     b = np.frombuffer(b"".join(raws), np.uint8)
     out = np.zeros((len(texts), len(trees)))
-    step = 1 << 20
-    for s in range(ORDER, len(b), step):
-        e = min(len(b), s + step)
+    for s in range(ORDER, len(b), STEP):
+        e = min(len(b), s + STEP)
         w = b[s - ORDER:e].astype(np.int32)
         ending = w[1:-2] << 8 | w[2:-1]
         lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")

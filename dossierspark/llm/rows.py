@@ -16,7 +16,7 @@ from dossierspark.session import is_at_most
 #: Rows up to which a side is broadcast; larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Arrow bytes that a Python function gets at once, and about what it gives back; a longer row comes alone.
-CUT_BYTES = 8 << 20
+CUT_BYTES = 4 << 20
 #: Characters that one numpy pass handles at once.
 PASS_CHARS = 2_000_000
 
