@@ -46,7 +46,8 @@ BINS = 4
 
 def copies_of(rows: DataFrame, id_: str, key) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of rows with an equal ``key`` (a list of columns without nulls): one hub per key, no links between hubs."""
-    keyed = rows.select(F.col(id_).alias("id"), *[k.alias(f"_k{i}") for i, k in enumerate(key)])
+    # Written once: hubs and members would each make the keys again.
+    keyed = durable(rows.select(F.col(id_).alias("id"), *[k.alias(f"_k{i}") for i, k in enumerate(key)]))
     names = [f"_k{i}" for i in range(len(key))]
     hubs = keyed.groupBy(*names).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     members = keyed.join(hubs, names).select("id", "hub")

@@ -147,7 +147,7 @@ def dd_claims_jaccard(spark, d):
 def dd_claims_greedy(spark, d):
     rows = doc_tokens(spark, d)
     near = S.jaccard_pairs(rows, "doc_id", "lang", "tokens", 0.92, least_tokens=6)
-    copies = G.copies_of(rows, "doc_id", [F.col("lang"), F.col("norm")])
+    copies = G.copies_of(rows, "doc_id", [F.col("lang"), F.unhex(F.sha2("norm", 256))])
     relations = [G.hubs_of(near), G.text_hubs(copies, S.containment_pairs(rows, "doc_id", "lang", "norm"))]
     return G.leader_dedupe(rows, relations, "doc_id", [F.col("n_chars")], F.col("doc_id"))
 
