@@ -18,28 +18,35 @@ from dossierspark.session import durable
 def components(edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: int = 100) -> DataFrame:
     """(id, component) of all linked ids; the component is its smallest id.
 
-    Smallest-label spreading with pointer jumps, one written table per round.
+    Each round names every id by its smallest neighbour, follows these names to their ends on the ids alone, and puts the ends in the place
+    of the links: those inside a component vanish, so only the first round reads them all.
     """
-    ends = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
-    both = durable(edges.select(F.explode(F.array(ends(a, b), ends(b, a))).alias("e")).select("e.*").distinct())
-    labels = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "id"))
+    left = durable(edges.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct())
+    known, ends = None, lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"))
     for _ in range(max_rounds):
-        spread = both.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(
-            F.min("label").alias("near"))
-        lower = labels.join(spread, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        # A label is itself an id, so one lookup halves the remaining path.
-        after = durable(lower.join(jump, "label", "left").select(
-            "id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = after.filter(F.col("old") != F.col("label")).limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        both = left.select(F.explode(F.array(ends("src", "dst"), ends("dst", "src"))).alias("e")).select("e.*")
+        labels = durable(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("label")))
+        for _ in range(max_rounds):
+            # A label is itself an id, so one lookup halves the remaining path.
+            after = durable(labels.withColumnRenamed("label", "old").join(labels.select(F.col("id").alias("old"), "label"), "old").select("id", "old", "label"))
+            labels = after.select("id", "label")
+            if after.filter(F.col("old") != F.col("label")).isEmpty():
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        step = labels.withColumnRenamed("id", "component")
+        known = labels.withColumnRenamed("label", "component") if known is None else known.join(step, "component", "left").select(
+            "id", F.coalesce("label", "component").alias("component"))
+        of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
+        left = durable(left.join(of("src"), "src").join(of("dst"), "dst").filter("_src <> _dst").select(
+            F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).distinct())
+        if left.isEmpty():
+            return durable(known)
     raise RuntimeError("components did not settle")
 
 
 #: Rows and links of a component that one task takes at once.
-LOAD = 200_000
+LOAD = 2_000_000
 #: Calls that a load of small components is dealt to.
 BINS = 4
 
@@ -70,7 +77,7 @@ def hubs_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = pairs.filter(F.col("similarity") < 1.0)
     ends = lambda x, y, holds: F.struct(F.col(x).alias("hub"), F.col(y).alias("other"), F.col(holds).alias("holds"))
     links = near.select(F.explode(F.array(ends("id_a", "id_b", "forward"), ends("id_b", "id_a", "backward"))).alias("e")).filter("e.holds").select(
-        "e.hub", "e.other").distinct()
+        "e.hub", "e.other")
     return copies.unionByName(stands.withColumn("hub", F.col("id"))), links
 
 
@@ -78,28 +85,37 @@ def text_hubs(copies: tuple[DataFrame, DataFrame], pairs: DataFrame) -> tuple[Da
     """``(members, links)`` where pairs link the first rows of ``copies_of``: a pair holds for all copies of both."""
     ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     both = pairs.select(F.col("id_a").alias("hub"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("hub"), F.col("id_a").alias("other")))
-    return copies[0].unionByName(ends.withColumn("hub", F.col("id"))).distinct(), both.distinct()
+    return copies[0].unionByName(ends.withColumn("hub", F.col("id"))), both
+
+
+def _hub_names(rows: DataFrame, relations, id_: str):
+    """Hubs of relation k by number, ``id * relations + k``, where the ids leave room for it; else by text, ``k|id``."""
+    if dict(rows.dtypes)[id_] in ("tinyint", "smallint", "int", "bigint"):
+        many = len(relations)
+        if all(v is None or abs(v) < 2**62 // many for v in rows.agg(F.min(id_), F.max(id_)).first()):
+            return lambda k, c: F.col(c).cast("long") * many + k
+    return lambda k, c: F.concat(F.lit(f"{k}|"), F.col(c).cast("string"))
 
 
-def _linked_rows(rows: DataFrame, relations, id_: str) -> tuple[DataFrame, DataFrame]:
-    """``(linked, single)``: rows with their component, own hubs and the hubs linked to them; rows without any link.
+def _linked_rows(rows: DataFrame, relations, id_: str) -> DataFrame:
+    """Rows that have links, with their component, own hubs and the hubs linked to them.
 
-    A hub of relation k is named ``k|id``. Members of a hub are linked with each other and with those of linked hubs.
+    Members of a hub are linked with each other and with those of linked hubs.
     """
-    named = lambda k, c: F.concat(F.lit(f"{k}|"), F.col(c).cast("string"))
+    named = _hub_names(rows, relations, id_)
     parts = [(m.select(F.col("id").alias(id_), named(k, "hub").alias("hub")), l.select(named(k, "hub").alias("hub"), named(k, "other").alias("other")))
              for k, (m, l) in enumerate(relations)]
     members = durable(reduce(DataFrame.unionByName, [m for m, _ in parts]).distinct())
-    links = durable(reduce(DataFrame.unionByName, [l for _, l in parts]).distinct())
+    links = durable(reduce(DataFrame.unionByName, [l for _, l in parts]))
     # Components of hubs; the hubs of a row belong together.
     joined = members.groupBy(id_).agg(F.min("hub").alias("hub")).join(members.withColumnRenamed("hub", "other"), id_).filter("hub <> other").select("hub", "other")
-    comp = durable(components(links.unionByName(joined).select(F.col("hub").alias("id_a"), F.col("other").alias("id_b")))).withColumnRenamed("id", "hub")
-    others = links.groupBy("hub").agg(F.collect_list("other").alias("others"))
+    comp = components(links.unionByName(joined), "hub", "other").withColumnRenamed("id", "hub")
+    others = links.groupBy("hub").agg(F.collect_set("other").alias("others"))
+    none = F.array().cast(members.select(F.array("hub")).dtypes[0][1])
     near = (members.join(others, "hub", "left").join(comp, "hub", "left")
-            .groupBy(id_).agg(F.collect_set("hub").alias("hubs"), F.flatten(F.collect_list(F.coalesce("others", F.array().cast("array<string>")))).alias("others"),
+            .groupBy(id_).agg(F.collect_set("hub").alias("hubs"), F.flatten(F.collect_list(F.coalesce("others", none))).alias("others"),
                               F.min(F.coalesce("component", "hub")).alias("component")))
-    found = durable(near.select(id_, "component", "hubs", F.array_union("hubs", "others").alias("near")))
-    return rows.join(found, id_), rows.join(found, id_, "left_anti")
+    return rows.join(near.select(id_, "component", "hubs", F.array_union("hubs", "others").alias("near")), id_)
 
 
 def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Column, follow: bool, load: int = LOAD) -> DataFrame:
@@ -111,21 +127,22 @@ def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Col
     A component goes past in slices of about ``load`` rows and links. What travels with a slice are its rows with the hubs they are linked to,
     and of the groups so far those that stand at one of these hubs. Texts and sets never travel, and no component lands whole in a task.
     """
-    linked, _ = _linked_rows(rows.select(id_, seq.alias("_seq"), priority.alias("_priority")), relations, id_)
+    linked = _linked_rows(rows.select(id_, seq.alias("_seq"), priority.alias("_priority")), relations, id_)
     weighed = running(linked, ["component"], [F.col("_seq")], {"_load": F.size("near") + 1})
     placed = durable(weighed.withColumn("_slice_no", F.floor((F.col("_load") - 1) / load)).drop("_load"))
-    rounds = placed.agg(F.max("_slice_no")).first()[0]
-    place = "component string, leader_seq long, priority array<double>, hub string"
+    weights = {r[0]: r[1] for r in placed.groupBy("_slice_no").agg(F.sum(F.size("near") + 1)).collect()}
+    hub = dict(placed.dtypes)["component"]
+    place = f"component {hub}, leader_seq long, priority array<double>, hub {hub}"
     held = rows.sparkSession.createDataFrame([], place)  # follow: hubs of every leader; else the earliest group of every hub
     by = ["component", "leader_seq"] if follow else ["component", "hub"]
     kind, done = dict(rows.dtypes)[id_], None
     # Components do not meet, so many small ones share a call: a call a component costs more than its rows.
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bins = lambda size: F.pmod(F.xxhash64("component"), F.lit(size)).cast("int")
-    for r in range(int(rounds or 0) + 1):
+    last = int(max(weights, default=0))
+    for r in range(last + 1):
         part = placed.filter(F.col("_slice_no") == r)
-        weight = part.agg(F.sum(F.size("near") + 1)).first()[0] or 0
-        size = max(width, -(-weight * BINS // load))
+        size = max(width, -(-weights.get(r, 0) * BINS // load))
         asked = part.select("component", F.explode("near").alias("hub")).distinct()
         state = held.join(asked, ["component", "hub"], "left_semi")
         if follow:
@@ -135,7 +152,7 @@ def fold_linked(rows: DataFrame, relations, id_: str, seq: Column, priority: Col
         out = durable(sides[0].cogroup(sides[1]).applyInPandas(_fold_step(id_, follow), f"{place}, {id_} {kind}, decided boolean"))
         named = out.filter("decided").select(id_, "leader_seq")
         done = named if done is None else done.unionByName(named)
-        if r < int(rounds or 0):
+        if r < last:
             fresh = out.filter("not decided").select(*held.columns)
             held = durable(held.join(fresh.select(*by).distinct(), by, "left_anti").unionByName(fresh))
     return done
@@ -151,15 +168,15 @@ def _fold_step(id_: str, follow: bool):
         out = []
         # A group is named by its leader_seq and a hub by its own name, both of one component only.
         leaders: dict[int, tuple[tuple, list]] = {}
-        at_hub: dict[str, set[int]] = {}
+        at_hub: dict[int | str, set[int]] = {}
         for g, p, h in zip(state["leader_seq"], state["priority"], state["hub"]):
             leaders.setdefault(int(g), (tuple(p), []))[1].append(h)
             at_hub.setdefault(h, set()).add(int(g))
         changed = {}
         part = part.sort_values("_seq")
         for component, seq, id_value, near, own, rank in zip(part["component"], part["_seq"], part[id_], part["near"], part["hubs"], part["_priority"]):
-            group = min((g for h in near for g in at_hub.get(h, ())), default=None)
-            mine, hubs, new = tuple(rank), list(own), group is None
+            group = min((g for groups in [at_hub[h] for h in near.tolist() if h in at_hub] for g in groups), default=None)
+            mine, hubs, new = tuple(rank), own.tolist(), group is None
             if new:
                 group = int(seq)
             out.append((component, group, None, None, id_value, True))
@@ -179,7 +196,8 @@ def _fold_step(id_: str, follow: bool):
             out += [(c, g, list(leaders[g][0]), h, None, False) for g, c in sorted(changed.items()) for h in leaders[g][1]]
         else:
             out += [(c, min(at_hub[h]), [], h, None, False) for h, c in sorted(changed.items())]
-        return pd.DataFrame(out, columns=names)
+        # As objects: whole numbers beside nulls would become doubles.
+        return pd.DataFrame(out, columns=names, dtype=object)
 
     return step
 
